@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, packing, quality, simhash
+from . import decontam, exact, packing, quality, simhash, tokencount, toxicity, wavelet
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,14 @@ def op7_decontamination(spark, sf_dir):
     return decontam.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_matrix(spark, sf_dir):
+    return wavelet.sharded(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark, sf_dir):
+    return tokencount.recounted(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark, sf_dir):
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,4 +64,4 @@ SQL = {
             SELECT doc_id, min(start) AS start, max(stop) AS "end", min(item_id) AS item_id FROM run GROUP BY doc_id, g)""",
 }
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op5_simhash, op7_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_toxicity, op5_simhash, op7_decontamination, op8_token_matrix, op9_token_counts, op10_quality)}
