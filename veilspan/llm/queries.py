@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, packing, quality, simhash, tokencount, toxicity, wavelet
+from . import decontam, exact, packing, pii, quality, simhash, substring, tokencount, toxicity, wavelet
 from .common import table
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact.duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_simhash(spark, sf_dir):
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_identifiers(spark, sf_dir):
+    return pii.extracted(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontam.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,4 +72,4 @@ SQL = {
             SELECT doc_id, min(start) AS start, max(stop) AS "end", min(item_id) AS item_id FROM run GROUP BY doc_id, g)""",
 }
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op4_toxicity, op5_simhash, op7_decontamination, op8_token_matrix, op9_token_counts, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_best_fit_packing, op4_toxicity, op5_simhash, op6_identifiers, op7_decontamination, op8_token_matrix, op9_token_counts, op10_quality)}
