@@ -1,0 +1 @@
+"""Finding, scoring, auditing and redacting sensitive data, as Spark plans."""
