@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, words_of
+from .common import arrow_map, stored, words_of
 from .kernel import bytes_of, slices, word_hashes, word_spans
 
 GRADES = 4
@@ -64,13 +64,29 @@ def _counted(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return row[at], h[at], np.diff(np.append(at, len(h))), n
 
 
-def _sample_batches(batches):
+def _seen_batches(batches):
+    """Of a task's documents, in how many toxic and clean ones each feature is."""
     for batch in batches:
         for part in slices(batch, "words"):
-            row, h, count, words = _counted(part.column(2))
-            ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-            arrays = [part.column(0), part.column(1), pa.array(words.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "n", "h", "c"])
+            row, h, _, _ = _counted(part.column(2))
+            toxic = part.column(1).to_numpy() > 0
+            words, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
+            bad = np.bincount(inverse, toxic[row], minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(bad), pa.array(df - bad)], ["h", "toxic", "clean"])
+
+
+def _selected_batches(words: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "words"):
+                row, h, count, n = _counted(part.column(2))
+                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+                hit = words[at] == h
+                ends = pa.array(np.searchsorted(row[hit], np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[hit].astype(np.int32))) for x in (at, count)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), *lists], ["doc_id", "toxic", "n", "k", "c"])
+
+    return run
 
 
 class OrdinalModel:
@@ -98,21 +114,18 @@ class OrdinalModel:
         return p
 
 
-def select_words(row: np.ndarray, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def select_words(words: np.ndarray, toxic: np.ndarray, clean: np.ndarray, nt: int, nc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of at least three documents that tell most by the likelihood ratio: hashes (sorted), log odds, signed roots of the ratio."""
-    words, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
-    toxic = np.bincount(inverse, y[row] > 0, minlength=len(words))
-    nt, nc = max((y > 0).sum(), 1), max((y == 0).sum(), 1)
-    clean = df - toxic
+    df, n = toxic + clean, max(nt + nc, 1)
     odds = np.log((toxic + 0.5) / (nt - toxic + 0.5)) - np.log((clean + 0.5) / (nc - clean + 0.5))
     g = np.zeros(len(words))
-    for seen, all_ in ((toxic, nt), (clean, nc), (nt - toxic, nt), (nc - clean, nc)):
-        share = df / len(y) if seen is toxic or seen is clean else 1 - df / len(y)
-        g += 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(all_ * share, 1e-9))
+    for seen, all_, part in ((toxic, nt, df / n), (clean, nc, df / n), (nt - toxic, nt, 1 - df / n), (nc - clean, nc, 1 - df / n)):
+        g += 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(all_ * part, 1e-9))
     root = np.sign(odds) * np.sqrt(np.maximum(g, 0))
     root[df < 3] = 0
-    best = np.sort(np.argsort(-np.abs(root), kind="stable")[:MAX_FEATURES])
+    best = np.argsort(-np.abs(root), kind="stable")[:MAX_FEATURES]
     best = best[np.abs(root[best]) > 3]
+    best = best[np.argsort(words[best], kind="stable")]
     return words[best], odds[best], root[best]
 
 
@@ -147,25 +160,22 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel | None:
     sample = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     # the sample's size is bounded by MAX_LABELLED rows of two integers
     some = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    some = some.select("doc_id", F.col("toxic").cast("int").alias("toxic"), words_of(F.col("text")).alias("words"))
-    got = arrow_map(some, _sample_batches, "doc_id long, toxic int, n long, h array<long>, c array<int>").toArrow().combine_chunks()
-    if not got.num_rows:
-        return None
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    got = got.take(pa.array(order)).combine_chunks()
-    one = lambda c: got[c].chunk(0)
-    y, n = got["toxic"].to_numpy(), got["n"].to_numpy()
-    if len(set((y > 0).tolist())) < 2:
+    some = stored(some.select("doc_id", F.col("toxic").cast("int").alias("toxic"), words_of(F.col("text")).alias("words")), "toxicity-sample")
+    size = {bool(r["t"]): r["n"] for r in some.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(size) < 2:
         return None
-    h = one("h").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    c = one("c").flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(y)), np.diff(one("h").offsets.to_numpy()))
-    words, odds, z = select_words(row, h, y)
+    seen = arrow_map(some, _seen_batches, "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= 3).toPandas()
+    seen = seen.sort_values("h")  # the order in which tasks end must not matter
+    words, odds, z = select_words(seen.h.to_numpy().view(np.uint64), seen.toxic.to_numpy(), seen.clean.to_numpy(), size[True], size[False])
     if not len(words):
         return None
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    hit = words[at] == h
-    row, col, count = row[hit], at[hit], c[hit]
+    got = arrow_map(some, _selected_batches(words), "doc_id long, toxic int, n long, k array<int>, c array<int>").toArrow().combine_chunks()
+    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
+    one = lambda c: got[c].chunk(0)
+    y, n = got["toxic"].to_numpy(), got["n"].to_numpy()
+    col = one("k").flatten().to_numpy(zero_copy_only=False)
+    count = one("c").flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(y)), np.diff(one("k").offsets.to_numpy()))
     bad = (z > 5) & (odds > 2)
     rate = np.bincount(row, count * bad[col], minlength=len(y)) / np.maximum(n, 1)
     grade = np.zeros(len(y), np.int64)
