@@ -13,6 +13,7 @@ from itertools import count
 SPAN = "struct<start:int,end:int,label:string,score:double,source:string,ord:int>"
 SPANS = f"array<{SPAN}>"
 EMPTY = f"CAST(array() AS {SPANS})"
+NO_LENGTHS = "CAST(array() AS array<struct<g:int,m:int>>)"
 #: Elements that a fold appends to before a new block begins; keeps appending linear for long texts.
 BLOCK = 128
 
@@ -65,9 +66,9 @@ def _greatest(a: str, b: str) -> str:
 
 def lengths(text: str, pattern: str) -> str:
     """array<struct<g,m>>: length of each match and of what lies before it."""
-    p, m, g, x = quoted(pattern), var("m"), var("g"), var("x")
-    pairs = f"zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), ({m}, {g}) -> named_struct('g', length({g}), 'm', length({m})))"
-    return f"filter({pairs}, {x} -> {x}.m IS NOT NULL)"
+    p, m, g = quoted(pattern), var("m"), var("g")
+    pairs = lambda v: f"slice(zip_with({v}, split({text}, {p}, -1), ({m}, {g}) -> named_struct('g', length({g}), 'm', length({m}))), 1, size({v}))"
+    return let(f"regexp_extract_all({text}, {p}, 0)", lambda v: f"CASE WHEN size({v}) = 0 THEN {NO_LENGTHS} ELSE {pairs(v)} END")
 
 
 def offsets(z: str) -> str:

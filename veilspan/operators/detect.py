@@ -18,27 +18,50 @@ from ..sources.policies import FLAGS, PACK, PackEntry, Policy, Rule
 
 #: Rank of a detector, cheap ones first. What is not named comes last.
 RANK = {"regex": 0, "spacy": 1, "statistical": 2, "gliner": 3, "bert": 4, "deberta": 4, "openmed": 5}
-_NOTHING = "CAST(array() AS array<struct<g:int,m:int>>)"
 
 
 def base(source: str, place: int) -> int:
     return RANK.get(source, 99) * 20_000_000 + place * 80_000
 
 
-def _gate(text: str, pattern: str) -> str | None:
-    """A cheap test that every text with a match passes: a policy's mail and number patterns need an @ or a digit."""
+def _has_digit(tree) -> bool:
+    """Whether every match of a parsed pattern has a digit in it."""
+    for op, av in tree:
+        name = str(op)
+        if name == "LITERAL" and chr(av).isdigit():
+            return True
+        if name == "IN" and all((str(o) == "CATEGORY" and str(v) == "CATEGORY_DIGIT") or (str(o) == "RANGE" and chr(v[0]).isdigit() and chr(v[1]).isdigit()) or (str(o) == "LITERAL" and chr(v).isdigit()) for o, v in av):
+            return True
+        if name == "BRANCH" and all(_has_digit(b) for b in av[1]):
+            return True
+        if name == "SUBPATTERN" and _has_digit(av[3]):
+            return True
+        if name in ("MAX_REPEAT", "MIN_REPEAT") and av[0] > 0 and _has_digit(av[2]):
+            return True
+    return False
+
+
+def _about(text: str) -> str:
+    """What gates ask of a text, worked out once: itself in lower, then upper case (what the matcher takes for equal is then equal), and whether it has a digit."""
+    return rf"named_struct('f', upper(lower({text})), 'd', {text} RLIKE '\\p{{Nd}}')"
+
+
+def _gate(text: str, about: str, pattern: str) -> str | None:
+    """A cheap test that every text with a match passes: a keyword, an @ or a digit."""
+    tests = []
+    if keys := getattr(pattern, "keys", ()):
+        tests.append("(" + " OR ".join(f"contains({about}.f, {quoted(k)})" for k in keys) + ")")
     if "@" in pattern:
-        return f"contains({text}, '@')"
-    alternatives = re.sub(r"\[[^\]]*\]", "", re.sub(r"\((?:\?:)?[^()]*\)\?", "", pattern))
-    if "://" in pattern or "|" in alternatives and not all(r"\d" in a for a in alternatives.split("|")):
-        return None
-    return rf"{text} RLIKE '\\p{{Nd}}'" if re.search(r"\\d(?![*?])", alternatives) else None
+        tests.append(f"contains({text}, '@')")
+    if _has_digit(re._parser.parse(pattern, re.I)):
+        tests.append(f"{about}.d")
+    return " AND ".join(tests) or None
 
 
-def _gated(text: str, pattern: str) -> str:
+def _gated(text: str, fold: str, pattern: str) -> str:
     found = S.lengths(text, FLAGS + pattern)
-    test = _gate(text, pattern)
-    return f"CASE WHEN {test} THEN {found} ELSE {_NOTHING} END" if test else found
+    test = _gate(text, fold, pattern)
+    return f"CASE WHEN {test} THEN {found} ELSE {S.NO_LENGTHS} END" if test else found
 
 
 def by_rules(text: str, rules: list[Rule], source: str = "regex", score: float = 1.0, checks: bool = False) -> str:
@@ -48,14 +71,15 @@ def by_rules(text: str, rules: list[Rule], source: str = "regex", score: float =
         shared.setdefault(rule.pattern, []).append(k)
     if not shared:
         return S.EMPTY
-    found = []
+    found, fold = [], var("fold")
     for pattern, ks in shared.items():
         labels = ", ".join(f"named_struct('label', {quoted(rules[k].label)}, 'base', {base(source, k)})" for k in ks)
-        found.append(f"named_struct('labels', array({labels}), 'z', {_gated(text, pattern)})")
+        found.append(f"named_struct('labels', array({labels}), 'z', {_gated(text, fold, pattern)})")
     e, x, i, lab, f = var("e"), var("x"), var("i"), var("lab"), var("f")
     made = S.make(f"{x}.start", f"{x}.end", f"{lab}.label", str(score), quoted(source), f"{lab}.base + {i}")
     one = f"flatten(transform({S.let(f'{e}.z', S.offsets)}, ({x}, {i}) -> transform({e}.labels, {lab} -> {made})))"
-    out = f"flatten(transform(filter(array({', '.join(found)}), {f} -> size({f}.z) > 0), {e} -> {one}))"
+    lengths = f"transform(array({_about(text)}), {fold} -> array({', '.join(found)}))[0]"
+    out = f"flatten(transform(filter({lengths}, {f} -> size({f}.z) > 0), {e} -> {one}))"
     if checks:
         s = var("s")
         out = f"filter({out}, {s} -> {validators.valid(f'{s}.label', S.value_of(text, s))})"
@@ -92,18 +116,20 @@ def _allowed(value: str, rule: dict) -> str:
 
 def custom(text: str, pack: tuple[PackEntry, ...] = PACK, validators_: dict[str, dict] | None = None) -> str:
     """The custom entity pack: each pattern apart, scored by its static score and the length of its last group."""
-    found = []
+    found, fold = [], var("fold")
     for k, e in enumerate(pack):
         p, g = quoted(FLAGS + e.pattern), var("g")
-        z = f"CASE WHEN {text} RLIKE {p} THEN {S.lengths(text, FLAGS + e.pattern)} ELSE {_NOTHING} END"
+        test = _gate(text, fold, e.pattern)
+        test = f"{test} AND {text} RLIKE {p}" if test else f"{text} RLIKE {p}"
         groups = f"transform(regexp_extract_all({text}, {p}, {e.group}), {g} -> named_struct('n', length({g}), 'ok', {_allowed(g, (validators_ or {}).get(e.label, {}))}))"
-        found.append(f"named_struct('label', {quoted(e.label)}, 'base', {base('custom', k)}, 'static', {e.score}D, 'z', {z}, 'g', CASE WHEN {text} RLIKE {p} THEN {groups} END)")
+        found.append(f"named_struct('label', {quoted(e.label)}, 'base', {base('custom', k)}, 'static', {e.score}D, 'm', CASE WHEN {test} THEN named_struct('z', {S.lengths(text, FLAGS + e.pattern)}, 'g', {groups}) END)")
     e, x, i, f, s = var("e"), var("x"), var("i"), var("f"), var("s")
-    bonus = f"CASE WHEN {e}.g[{i}].n > 10 THEN 0.05D WHEN {e}.g[{i}].n < 4 THEN -0.1D ELSE 0.0D END"
+    bonus = f"CASE WHEN {e}.m.g[{i}].n > 10 THEN 0.05D WHEN {e}.m.g[{i}].n < 4 THEN -0.1D ELSE 0.0D END"
     score = f"round(least(1.0D, greatest(0.1D, {e}.static + {bonus})), 6)"
     made = S.make(f"{x}.start", f"{x}.end", f"{e}.label", score, "'custom'", f"{e}.base + {i}")
-    one = f"transform({S.let(f'{e}.z', S.offsets)}, ({x}, {i}) -> IF({e}.g[{i}].ok, {made}, NULL))"
-    all_ = f"flatten(transform(filter(array({', '.join(found)}), {f} -> size({f}.z) > 0), {e} -> {one}))"
+    one = f"transform({S.let(f'{e}.m.z', S.offsets)}, ({x}, {i}) -> IF({e}.m.g[{i}].ok, {made}, NULL))"
+    lengths = f"transform(array({_about(text)}), {fold} -> array({', '.join(found)}))[0]"
+    all_ = f"flatten(transform(filter({lengths}, {f} -> {f}.m IS NOT NULL), {e} -> {one}))"
     return f"coalesce(filter({all_}, {s} -> {s} IS NOT NULL), {S.EMPTY})"
 
 

@@ -12,13 +12,16 @@ def propagated(text: str, spans: str, threshold: float = 0.9) -> str:
     A value's label is the one it has most often (first seen on a tie). Longer values
     go first; word edges count where the value has a letter or digit at its edge. Case matters.
     """
-    s, k, v, l, x, y, o, r, acc, c, e = (var(n) for n in "s k v l x y o r acc c e".split())  # noqa: E741
+    s, k, t, v, l, x, y, o, r, acc, c, e, z, q, w = (var(n) for n in "s k t v l x y o r acc c e z q w".split())  # noqa: E741
     sure = f"filter({spans}, {s} -> {s}.score >= {threshold}D AND {s}.end - {s}.start > 3)"
 
-    def memory(known: str) -> str:
-        keys = f"array_distinct(transform({known}, {k} -> {S.value_of(text, k)}))"
-        own = f"filter({known}, {x} -> {S.value_of(text, x)} = {v})"
-        labels = S.let(own, lambda n: f"array_max(transform(array_distinct(transform({n}, {y} -> {y}.label)), ({l}, {o}) -> struct(size(filter({n}, {y} -> {y}.label = {l})) AS n, -{o} AS o, {l} AS label))).label")
+    vals = f"transform({sure}, {w} -> struct({S.value_of(text, w)} AS v, {w}.label AS l))"
+
+    def memory(vals: str) -> str:
+        # most values occur once and have nowhere to go
+        keys = f"filter(array_distinct(transform({vals}, {k} -> {k}.v)), {t} -> locate({t}, {text}, locate({t}, {text}) + 1) > 0)"
+        own = f"transform(filter({vals}, {x} -> {x}.v = {v}), {x} -> {x}.l)"
+        labels = S.let(own, lambda n: f"CASE WHEN size(array_distinct({n})) = 1 THEN {n}[0] ELSE array_max(transform(array_distinct({n}), ({l}, {o}) -> struct(size(filter({n}, {y} -> {y} = {l})) AS n, -{o} AS o, {l} AS label))).label END")
         rows = f"transform({keys}, ({v}, {o}) -> struct(-length({v}) AS size, {o} AS o, {v} AS value, {labels} AS label))"
         return f"array_sort({rows})"
 
@@ -32,12 +35,14 @@ def propagated(text: str, spans: str, threshold: float = 0.9) -> str:
         ok_left = rf"NOT (substring({value}, 1, 1) RLIKE '(?U)^\\w' AND {c} > 0 AND substring({text}, {c}, 1) RLIKE '(?U)^\\w')"
         ok_right = rf"NOT (substring({value}, -1) RLIKE '(?U)^\\w' AND substring({text}, {c} + length({value}) + 1, 1) RLIKE '(?U)^\\w')"
         cands = f"transform(filter({at}, {c} -> {ok_left} AND {ok_right}), {c} -> struct({c} AS a, {c} + length({value}) AS b, {r}.label AS label))"
-        all_ = f"flatten(transform({mem}, {r} -> {cands}))"
+        # what begins where a span does is taken; only the rest needs the full test
+        starts = f"transform({spans}, {z} -> {z}.start)"
+        all_ = S.let(starts, lambda b: f"filter(flatten(transform({mem}, {r} -> {cands})), {q} -> NOT array_contains({b}, {q}.a))")
         new = S.make(f"{e}.a", f"{e}.b", f"{e}.label", "0.99", "'context_memory'", f"1900000000 + size({acc})")
         free = f"NOT exists({acc}, {s} -> {s}.start < {e}.b AND {e}.a < {s}.end)"
         return f"aggregate({all_}, {spans}, ({acc}, {e}) -> IF({free}, concat({acc}, array({new})), {acc}))"
 
-    return f"CASE WHEN size({sure}) = 0 THEN {spans} ELSE {S.let(S.let(sure, memory), placed)} END"
+    return f"CASE WHEN size({sure}) = 0 THEN {spans} ELSE {S.let(S.let(vals, memory), placed)} END"
 
 
 def allowed(text: str, spans: str, terms: list[str]) -> str:

@@ -1,4 +1,444 @@
-"""Queries of the catalogue."""
+"""Queries over whole tables, and the SQL that gives the same rows.
+
+The SQL engine's patterns know ASCII classes only, so queries that are compared with
+it read texts with every other character folded to ``x`` (``FOLD``), on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import masking
+from ..functions import spans as S
+from ..functions import validators
+from ..operators import audit, detect, metrics, refine, reports, resolve
+from ..sources.policies import CARD, MAIL, POLICIES, QUAD, US, Rule
+from . import pipeline
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+FOLD = r"regexp_replace(text, '[^\\x00-\\x7F]', 'x')"
+_FOLD = r"regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')"
+_RULE = {r.label: r for r in US.rules}
+FIVE = ("CREDIT_CARD", "EMAIL", "IP_ADDRESS", "PHONE_US", "SSN")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, fold: bool = True) -> DataFrame:
+    """(doc_id, text) of documents; spread where the files make fewer tasks than there are cores, as patterns cost far more than a shuffle."""
+    df = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df.withColumn("text", F.expr(FOLD)) if fold else df
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _spans_sql(labels: dict[str, str]) -> str:
+    """Spans of patterns by label, as DuckDB: sums over the lengths of matches and gaps."""
+    parts = [
+        f"""SELECT doc_id, {_q(label)} AS label, {k} AS place, unnest(m) AS value, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS i
+        FROM (SELECT doc_id, regexp_extract_all(t, {_q('(?im)' + p)}, 0) AS m, string_split_regex(t, {_q('(?im)' + p)}) AS g FROM d)"""
+        for k, (label, p) in enumerate(labels.items())
+    ]
+    return f"""d AS (SELECT doc_id, {_FOLD} AS t FROM documents),
+        raw AS ({' UNION ALL '.join(parts)}),
+        span AS (SELECT doc_id, label, place * 80000 + i AS ord, value,
+            CAST(sum(length(gap) + length(value)) OVER (PARTITION BY doc_id, label ORDER BY i) - length(value) AS INT) AS start,
+            CAST(sum(length(gap) + length(value)) OVER (PARTITION BY doc_id, label ORDER BY i) AS INT) AS stop FROM raw)"""
+
+
+def _rules(*labels: str) -> list[Rule]:
+    return [_RULE[x] for x in labels]
+
+
+def _relation(spark, d, *labels: str) -> DataFrame:
+    found = texts(spark, d).select("doc_id", "text", F.explode(F.expr(detect.by_rules("text", _rules(*labels)))).alias("s"))
+    return found.select("doc_id", "s.*", F.expr(S.value_of("text", "s")).alias("value"))
+
+
+def _detect(label: str):
+    def run(spark, d):
+        return _relation(spark, d, label).select("doc_id", "start", "end", "value")
+
+    query(f"detect_{label.lower()}", f'WITH {_spans_sql({label: _RULE[label].pattern})} SELECT doc_id, start, stop AS "end", value FROM span')(run)
+
+
+for _label in (*FIVE, "URL", "ZIP_CODE", "DOB_ISO", "DRIVERS_LICENSE", "US_STATE"):
+    _detect(_label)
+
+
+def _digits(v: str) -> str:
+    return f"regexp_replace({v}, '[^0-9]', '', 'g')"
+
+
+def _weigh(d: str, weights: list[int], less: int = 0) -> str:
+    return "(" + " + ".join(f"(CAST(substr({d}, {k}, 1) AS INT) - {less if k == 1 else 0}) * {w}" for k, w in enumerate(weights, 1)) + ")"
+
+
+CHECK_SQL = {
+    "TFN": lambda v: f"CASE WHEN length({_digits(v)}) = 9 THEN {_weigh(_digits(v), [1, 4, 3, 7, 5, 8, 6, 9, 10])} % 11 = 0 ELSE false END",
+    "ABN": lambda v: f"CASE WHEN length({_digits(v)}) = 11 THEN {_weigh(_digits(v), [10, *range(1, 20, 2)], 1)} % 89 = 0 ELSE false END",
+    "ACN": lambda v: f"CASE WHEN length({_digits(v)}) = 9 THEN (10 - {_weigh(_digits(v), list(range(8, 0, -1)))} % 10) % 10 = CAST(substr({_digits(v)}, 9, 1) AS INT) ELSE false END",
+    "MEDICARE": lambda v: f"CASE WHEN length({_digits(v)}) = 11 THEN substr({_digits(v)}, 1, 1) BETWEEN '2' AND '6' AND {_weigh(_digits(v), [1, 3, 7, 9] * 2)} % 10 = CAST(substr({_digits(v)}, 9, 1) AS INT) ELSE false END",
+    "BSB": lambda v: f"length({_digits(v)}) = 6",
+    "CENTRELINK_CRN": lambda v: f"regexp_full_match(upper(trim({v})), '[0-9]{{9}}[A-Z]')",
+}
+
+
+def _policy_counts(country: str):
+    policy = POLICIES[country]
+
+    def run(spark, d):
+        found = texts(spark, d).select(F.explode(F.expr(detect.regex("text", policy))).alias("s"))
+        return found.groupBy(F.col("s.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+    def counted(r: Rule) -> str:
+        found = f"regexp_extract_all(t, {_q('(?im)' + r.pattern)}, 0)"
+        if country == "AU" and r.label in CHECK_SQL:
+            found = f"list_filter({found}, lambda v: {CHECK_SQL[r.label]('v')})"
+        return f"SELECT {_q(r.label)} AS label, CAST(sum(len({found})) AS BIGINT) AS n FROM d"
+
+    query(f"policy_counts_{country.lower()}", f"WITH d AS (SELECT {_FOLD} AS t FROM documents) SELECT * FROM ({' UNION ALL '.join(map(counted, policy.rules))}) WHERE n > 0")(run)
+
+
+for _country in POLICIES:
+    _policy_counts(_country)
+
+
+def _n(k: int, size: int) -> str:
+    return f"lpad(CAST(c_custkey * {k} % {10**size} AS VARCHAR(20)), {size}, '0')"
+
+
+#: A text with an identifier of most shapes, made from a key in words that both engines know.
+PLANTED = " || ".join([
+    "'Mr John Smith of 12 Oak Street, New South Wales; SSN '", _n(7919, 3), "'-'", _n(31, 2), "'-'", _n(104729, 4), "', phone ('", _n(613, 3), "') '", _n(617, 3), "'-'", _n(7907, 4), "' or +44 '", _n(7933, 10),
+    "', mail c'", "CAST(c_custkey AS VARCHAR(20))", "'@mail.example.org, card '", _n(9973, 4), "' '", _n(9967, 4), "' '", _n(9949, 4), "' '", _n(9941, 4), "'. Patient ID: AB'", _n(9931, 6), "' MRN '", _n(9929, 8),
+    "', account number: '", _n(9923, 9), "', routing # '", _n(9907, 9), "', passport X'", _n(9901, 7), "', born 19'", _n(3, 1), "'7-0'", "CAST(c_custkey % 9 + 1 AS VARCHAR(20))", "'-1'", _n(1, 1),
+    "' in Texas 7'", _n(9887, 4), "'-'", _n(9883, 4), "', see https://example.com/a?b='", "CAST(c_custkey AS VARCHAR(20))", "' from 10.2.'", "CAST(c_custkey % 256 AS VARCHAR(20))", "'.7 EMP-'", _n(9871, 6), "' K1A 0B'", _n(1, 1), "' GB'", _n(9859, 9), "' IBAN: DE'", _n(9857, 2), "'1234'", _n(9851, 10), "' Acme Holdings Pty'",
+])
+
+
+def _planted(country: str):
+    policy = POLICIES[country]
+
+    def run(spark, d):
+        df = read(spark, d, "customer").select("c_custkey", F.expr(PLANTED).alias("text"))
+        found = df.select(F.explode(F.expr(detect.regex("text", policy))).alias("s"), "text")
+        return found.groupBy(F.col("s.label").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("s.start").cast("long").alias("starts"), F.sum("s.end").cast("long").alias("ends"))
+
+    def one(k: int, r: Rule) -> str:
+        ok = f"WHERE {CHECK_SQL[r.label]('v')}" if country == "AU" and r.label in CHECK_SQL else ""
+        p = _q("(?im)" + r.pattern)
+        return f"""SELECT {_q(r.label)} AS label, count(*) AS n, CAST(sum(e - length(v)) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM (
+            SELECT v, sum(length(g) + length(v)) OVER (PARTITION BY c_custkey ORDER BY i) AS e FROM (
+                SELECT c_custkey, unnest(m) AS v, unnest(g[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM (SELECT c_custkey, regexp_extract_all(t, {p}, 0) AS m, string_split_regex(t, {p}) AS g FROM d))) {ok}"""
+
+    query(f"planted_{country.lower()}", f"WITH d AS (SELECT c_custkey, {PLANTED} AS t FROM customer) SELECT * FROM ({' UNION ALL '.join(one(k, r) for k, r in enumerate(policy.rules))}) WHERE n > 0")(run)
+
+
+for _country in POLICIES:
+    _planted(_country)
+
+
+def _validate(label: str):
+    size = {"TFN": 9, "ABN": 11, "ACN": 9, "MEDICARE": 11, "BSB": 6, "CENTRELINK_CRN": 9}[label]
+    tail = " || 'A'" if label == "CENTRELINK_CRN" else ""
+    number = f"lpad(CAST((o_orderkey * 7919 + 123456789) % {10**size} AS STRING), {size}, '0'){tail}"
+
+    def run(spark, d):
+        return read(spark, d, "orders").select("o_orderkey", F.expr(number).alias("number")).withColumn("valid", F.expr(validators.CHECKS[label]("number")))
+
+    query(f"validate_{label.lower()}", f"SELECT *, {CHECK_SQL[label]('number')} AS valid FROM (SELECT o_orderkey, {number.replace('STRING', 'VARCHAR')} AS number FROM orders)")(run)
+
+
+for _label in CHECK_SQL:
+    _validate(_label)
+
+_SOURCES = "".join(f"WHEN {_q(s)} THEN {w} " for s, w in resolve.WEIGHTS.items())
+_GROUPED = """mark AS (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY doc_id ORDER BY start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM span),
+    grp AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, ord ROWS UNBOUNDED PRECEDING) AS g FROM mark)"""
+_ADAPTIVE = f"""{_GROUPED},
+    fin AS (SELECT *, 1.0::DOUBLE * 2.0::DOUBLE * (1 + least(stop - start, 30) / 150.0::DOUBLE) * (1 + 0.15::DOUBLE * (count(*) OVER (PARTITION BY doc_id, g, label) - 1)) AS f FROM grp),
+    won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY f DESC, start, ord) AS r FROM fin) WHERE r = 1)"""
+_STANDARD = f"""{_GROUPED},
+    fin AS (SELECT *, 1.0::DOUBLE * 2.0::DOUBLE * (1 + least(stop - start, 20) / 100.0::DOUBLE) * 2.0::DOUBLE AS f FROM grp),
+    won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY f DESC, start, ord) AS r FROM fin) WHERE r = 1)"""
+_MIXED = ("SSN", "PHONE_US", "CREDIT_CARD", "EMAIL", "NPI", "BANK_ACCOUNT", "IP_ADDRESS", "ZIP_CODE", "EIN", "DRIVERS_LICENSE")
+_MIXED_SQL = _spans_sql({x: _RULE[x].pattern for x in _MIXED})
+
+
+@query("resolve_adaptive", f'WITH {_MIXED_SQL}, {_ADAPTIVE} SELECT doc_id, start, stop AS "end", label, value FROM won')
+def resolve_adaptive(spark, d):
+    return resolve.resolved(_relation(spark, d, *_MIXED)).select("doc_id", "start", "end", "label", "value")
+
+
+@query("resolve_standard", f'WITH {_MIXED_SQL}, {_STANDARD} SELECT doc_id, start, stop AS "end", label, value FROM won')
+def resolve_standard(spark, d):
+    return resolve.resolved(_relation(spark, d, *_MIXED), "standard").select("doc_id", "start", "end", "label", "value")
+
+
+@query("resolve_in_row", f'WITH {_MIXED_SQL}, {_ADAPTIVE} SELECT doc_id, start, stop AS "end", label FROM won')
+def resolve_in_row(spark, d):
+    won = texts(spark, d).withColumn("s", F.expr(resolve.winners(detect.by_rules("text", _rules(*_MIXED)))))
+    return won.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.start", "s.end", "s.label")
+
+
+@query("entity_totals", f"WITH {_MIXED_SQL}, {_ADAPTIVE} SELECT label, count(*) AS n, count(DISTINCT doc_id) AS documents FROM won GROUP BY label")
+def entity_totals(spark, d):
+    return resolve_adaptive(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query("entity_counts", f"WITH {_MIXED_SQL}, {_ADAPTIVE} SELECT doc_id, coalesce(n, 0) AS total_detections, coalesce(n, 0) > 0 AS has_pii FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM won GROUP BY doc_id) USING (doc_id)")
+def entity_counts(spark, d):
+    won = texts(spark, d).withColumn("s", F.expr(resolve.winners(detect.by_rules("text", _rules(*_MIXED)))))
+    return won.select("doc_id", F.size("s").cast("long").alias("total_detections"), (F.size("s") > 0).alias("has_pii"))
+
+
+@query("allow_list", f"WITH {_MIXED_SQL}, {_ADAPTIVE} SELECT label, count(*) AS n FROM won WHERE lower(value) NOT IN (SELECT lower(value) FROM won GROUP BY lower(value) HAVING count(DISTINCT doc_id) > 1) GROUP BY label")
+def allow_list(spark, d):
+    """Values of more than one document are on the list: too many to write into a plan, so an anti-join."""
+    won = resolve_adaptive(spark, d).withColumn("low", F.lower("value"))
+    listed = won.groupBy("low").agg(F.countDistinct("doc_id").alias("k")).where("k > 1").select("low")
+    return won.join(listed, "low", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+_STYLE_SQL = {
+    "mask": "repeat('*', length(v))", "replace": "'<IP_ADDRESS>'", "brackets": "'[IP_ADDRESS]'", "hash": "substr(sha256(v), 1, 12)",
+    "preserve_format": "regexp_replace(v, '[A-Za-z0-9]', 'X', 'g')", "encrypt": "substr(to_base64(encode(v)), 1, 20)",
+}
+
+
+def _redact(style: str):
+    def run(spark, d):
+        df = texts(spark, d).withColumn("s", F.expr(detect.by_rules("text", _rules("IP_ADDRESS"))))
+        return df.select("doc_id", F.expr(S.splice("text", "s", masking.style(style))).alias("redacted_text"))
+
+    p = _q("(?im)" + QUAD)
+    query(f"redact_{style}", f"""WITH d AS (SELECT doc_id, {_FOLD} AS t FROM documents),
+        m AS (SELECT doc_id, list_transform(regexp_extract_all(t, {p}, 0), lambda v: {_STYLE_SQL[style]}) AS r, string_split_regex(t, {p}) AS g FROM d)
+        SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(r[i], '')), '') AS redacted_text FROM m""")(run)
+
+
+for _style in _STYLE_SQL:
+    _redact(_style)
+
+
+@query("redact_us")
+def redact_us(spark, d):
+    return pipeline.redact(texts(spark, d, fold=False), pipeline.Config(country="US", masking_style="replace")).select("doc_id", "redacted_text", F.size("spans").alias("spans"))
+
+
+@query("scan_eu")
+def scan_eu(spark, d):
+    return pipeline.scan(texts(spark, d, fold=False), pipeline.Config(country="EU")).select("doc_id", "total_detections", "has_pii", F.map_entries("entity_counts").alias("counts"))
+
+
+@query("propagate_context")
+def propagate_context(spark, d):
+    df = texts(spark, d, fold=False).withColumn("s", F.expr(resolve.winners(detect.by_rules("text", _rules(*FIVE)))))
+    return df.select("doc_id", F.expr(f"size({refine.propagated('text', 's')})").alias("spans"), F.size("s").alias("before"))
+
+
+@query("garbage_filter")
+def garbage_filter(spark, d):
+    df = texts(spark, d, fold=False).withColumn("s", F.expr(detect.regex("text", POLICIES["CA"])))
+    return df.select(F.explode(F.expr(refine.clean("text", "s"))).alias("s")).groupBy("s.label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("custom_pack")
+def custom_pack(spark, d):
+    found = texts(spark, d, fold=False).select("doc_id", F.explode(F.expr(detect.custom("text"))).alias("s"))
+    return found.select("doc_id", "s.start", "s.end", "s.label", "s.score")
+
+
+@query("statistical_tokens")
+def statistical_tokens(spark, d):
+    found = read(spark, d, "conversations").select("conv_id", "turn", F.explode(F.expr(detect.statistical("text"))).alias("s"))
+    return found.select("conv_id", "turn", "s.start", "s.end", "s.label", "s.score")
+
+
+@query("domains")
+def domains(spark, d):
+    df = texts(spark, d, fold=False).withColumn("s", F.expr(detect.regex("text", US)))
+    return df.groupBy(F.expr(detect.domain("text", "s")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("reports_markdown")
+def reports_markdown(spark, d):
+    return reports.report(pipeline.scan_report(texts(spark, d, fold=False), pipeline.Config(detectors=("regex",))), "markdown")
+
+
+@query("risk_summary", f"""WITH {_MIXED_SQL}, {_ADAPTIVE},
+    n AS (SELECT doc_id, count(w.label) AS n, coalesce(bool_or(w.label IN ('SSN', 'CREDIT_CARD', 'BANK_ACCOUNT')), false) AS high FROM documents LEFT JOIN won w USING (doc_id) GROUP BY doc_id)
+    SELECT CASE WHEN high THEN 'HIGH' WHEN n > 10 THEN 'MEDIUM' WHEN n > 0 THEN 'LOW' ELSE 'MINIMAL' END AS risk, count(*) AS documents FROM n GROUP BY 1""")
+def risk_summary(spark, d):
+    won = texts(spark, d).withColumn("s", F.expr(resolve.winners(detect.by_rules("text", _rules(*_MIXED)))))
+    return won.groupBy(audit.risk(F.size("s"), F.col("s.label")).alias("risk")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("table_summary", f"""WITH t AS (SELECT doc_id, c, regexp_replace(x, '[^\\x00-\\x7F]', 'x', 'g') AS x FROM (SELECT doc_id, 'source' AS c, source AS x FROM documents UNION ALL SELECT doc_id, 'text', text FROM documents)),
+    s AS ({' UNION ALL '.join(f"SELECT doc_id, c, {_q(x)} AS label, unnest(regexp_extract_all(x, {_q('(?im)' + _RULE[x].pattern)}, 0)) AS v FROM t" for x in FIVE)})
+    SELECT c AS "column", label, count(*) AS entities, count(DISTINCT doc_id) AS "rows" FROM s GROUP BY GROUPING SETS ((c, label), (c), (label), ()) HAVING count(*) > 0""")
+def table_summary(spark, d):
+    df = read(spark, d, "documents")
+    found = None
+    for c in ("source", "text"):
+        one = df.select("doc_id", F.lit(c).alias("column"), F.explode(F.expr(S.let(FOLD.replace("text", c, 1), lambda t: detect.by_rules(t, _rules(*FIVE))))).alias("s")).select("doc_id", "column", "s.label")
+        found = one if found is None else found.unionByName(one)
+    return found.groupingSets([["column", "label"], ["column"], ["label"], []], "column", "label").agg(F.count(F.lit(1)).alias("entities"), F.countDistinct("doc_id").alias("rows"))
+
+
+_G, _P = ("CREDIT_CARD", "EMAIL", "IP_ADDRESS", "PHONE_US"), ("CREDIT_CARD", "IP_ADDRESS", "PHONE_US", "ZIP_CODE")
+_GP = _spans_sql({x: _RULE[x].pattern for x in sorted({*_G, *_P})})
+_RATES = """CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall"""
+_EXACT = f"""{_GP}, both_ AS (SELECT coalesce(g.label, p.label) AS label, g.label AS gl, p.label AS pl FROM (SELECT DISTINCT doc_id, start, stop, label FROM span WHERE label IN {_G}) g
+    FULL JOIN (SELECT DISTINCT doc_id, start, stop, label FROM span WHERE label IN {_P}) p ON g.doc_id = p.doc_id AND g.start = p.start AND g.stop = p.stop AND g.label = p.label),
+    n AS (SELECT label, count(*) FILTER (gl IS NOT NULL AND pl IS NOT NULL) AS tp, count(*) FILTER (gl IS NULL) AS fp, count(*) FILTER (pl IS NULL) AS fn FROM both_ GROUP BY label),
+    pr AS (SELECT *, {_RATES} FROM n)"""
+
+
+@query("span_metrics", f"WITH {_EXACT} SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pr")
+def span_metrics(spark, d):
+    return metrics.exact(_relation(spark, d, *_G), _relation(spark, d, *_P), by=("label",))
+
+
+@query("detector_weights", f"WITH {_EXACT}, f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pr) SELECT label, greatest(0.1, f1 * f1)::DOUBLE AS weight, CASE WHEN precision < 0.3 THEN 0.6 WHEN precision < 0.5 THEN 0.5 WHEN precision < 0.7 THEN 0.4 ELSE 0.3 END::DOUBLE AS threshold FROM f")
+def detector_weights(spark, d):
+    m = span_metrics(spark, d)
+    return m.select("label", metrics.detector_weight(F.col("f1"), F.col("precision")).alias("weight"), metrics.suggested_threshold(F.col("precision")).alias("threshold"))
+
+
+_PHONE = _spans_sql({x: _RULE[x].pattern for x in ("PHONE_US", "ZIP_CODE", "EIN")})
+
+
+@query("span_overlaps", f"""WITH {_PHONE} SELECT g.doc_id, g.start AS g_start, g.stop AS g_end, p.start AS p_start, p.stop AS p_end, p.label AS p_label,
+    (least(g.stop, p.stop) - greatest(g.start, p.start))::DOUBLE / (greatest(g.stop, p.stop) - least(g.start, p.start)) AS iou
+    FROM span g JOIN span p ON g.doc_id = p.doc_id AND g.start < p.stop AND p.start < g.stop
+    WHERE g.label = 'PHONE_US' AND p.label <> 'PHONE_US' AND (least(g.stop, p.stop) - greatest(g.start, p.start))::DOUBLE / (greatest(g.stop, p.stop) - least(g.start, p.start)) >= 0.1""")
+def span_overlaps(spark, d):
+    found = metrics.overlaps(_relation(spark, d, "PHONE_US"), _relation(spark, d, "ZIP_CODE", "EIN"), 0.1, same_label=False)
+    return found.select("doc_id", "g_start", "g_end", "p_start", "p_end", "p_label", F.col("iou").cast("double").alias("iou"))
+
+
+@query("span_partial")
+def span_partial(spark, d):
+    return metrics.partial(_relation(spark, d, *_G), _relation(spark, d, *_P))
+
+
+_SCORED = "SELECT CAST(quality AS VARCHAR) AS label, (doc_id * 37 % 100) / 100.0::DOUBLE AS score, toxic AS correct FROM labels"
+
+
+def _scored(spark, d):
+    return read(spark, d, "labels").select(F.col("quality").cast("string").alias("label"), ((F.col("doc_id") * 37 % 100) / 100.0).alias("score"), F.col("toxic").alias("correct"))
+
+
+@query("calibration_error", f"WITH s AS ({_SCORED}), b AS (SELECT least(floor(score * 10), 9) AS b, count(*) AS n, avg(score) AS c, avg(correct::DOUBLE) AS a FROM s GROUP BY 1) SELECT round(sum(n * abs(c - a)) / sum(n), 9) AS ece FROM b")
+def calibration_error(spark, d):
+    return metrics.calibration_error(_scored(spark, d)).select(F.round("ece", 9).alias("ece"))
+
+
+@query("grid_search", f"""WITH s AS ({_SCORED}), k AS (SELECT label, count(*) AS n, sum(correct) AS pos FROM s GROUP BY label HAVING count(*) >= 5),
+    g AS (SELECT label, t::DOUBLE AS threshold, sum(correct) AS tp, sum(1 - correct) AS fp FROM s, (SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS t) WHERE score >= t GROUP BY label, t),
+    pr AS (SELECT *, {_RATES.replace('tp + fn', 'pos').replace('/ (pos)', '/ pos')} FROM g JOIN k USING (label)),
+    f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pr)
+    SELECT label, threshold, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, threshold) AS r FROM f) WHERE r = 1""")
+def grid_search(spark, d):
+    return metrics.grid_search(_scored(spark, d)).select("label", "threshold", F.round("f1", 9).alias("f1"))
+
+
+@query("platt_transform", f"WITH s AS ({_SCORED}) SELECT label, score, round(1 / (1 + exp(-(-1.5 * score + 0.25))), 9) AS p, count(*) AS n FROM s GROUP BY ALL")
+def platt_transform(spark, d):
+    s = _scored(spark, d).withColumn("p", F.round(metrics.platt(F.col("score"), F.lit(-1.5), F.lit(0.25)), 9))
+    return s.groupBy("label", "score", "p").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("term_frequencies", f"WITH w AS (SELECT unnest(regexp_extract_all(lower({_FOLD}), '\\w+', 0)) AS term FROM documents) SELECT term, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM w) AS freq FROM w GROUP BY term")
+def term_frequencies(spark, d):
+    return detect.term_frequencies(texts(spark, d))
+
+
+@query("rare_terms", f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower({_FOLD}), '\\w+', 0)) AS term FROM documents), f AS (SELECT term, count(*)::DOUBLE / (SELECT count(*) FROM w) AS freq FROM w GROUP BY term)
+    SELECT doc_id, count(*) AS n FROM w JOIN f USING (term) WHERE freq < 0.01 AND length(term) > 2 AND term NOT IN ({', '.join(map(_q, detect.COMMON))}) GROUP BY doc_id""")
+def rare_terms(spark, d):
+    return detect.rare_terms(texts(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("token_statistics", """WITH c AS (SELECT DISTINCT c_name AS v FROM customer), x AS (SELECT v, unnest(string_split(lower(v), '')) AS ch FROM c), p AS (SELECT v, count(*)::DOUBLE / length(v) AS p FROM x GROUP BY v, ch)
+    SELECT v, round(-sum(p * log2(p)), 9) AS entropy, length(regexp_replace(v, '[^0-9]', '', 'g'))::DOUBLE / length(v) AS digits FROM p GROUP BY v""")
+def token_statistics(spark, d):
+    return read(spark, d, "customer").select(F.col("c_name").alias("v")).distinct().select("v", F.round(F.expr(detect.entropy("v")), 9).alias("entropy"), F.expr(detect.ratio("v", r"\p{Nd}")).alias("digits"))
+
+
+_BOOSTED = {"IP_ADDRESS": (r"\bthe\b", r"\bof\b")}
+
+
+@query("contextual_scores", f"""WITH {_spans_sql({'IP_ADDRESS': QUAD})}, n AS (SELECT span.*, lower(substr(t, greatest(start - 50, 0) + 1, stop + 50 - greatest(start - 50, 0))) AS near FROM span JOIN d USING (doc_id))
+    SELECT doc_id, start, round(least(1.0, greatest(0.1, 0.5 + 0.1 * (regexp_matches(near, '\\bthe\\b')::INT + regexp_matches(near, '\\bof\\b')::INT)))::DOUBLE, 6) AS score FROM n""")
+def contextual_scores(spark, d):
+    df = texts(spark, d).withColumn("s", F.expr(detect.by_rules("text", _rules("IP_ADDRESS"), score=0.5)))
+    return df.select("doc_id", F.explode(F.expr(detect.contextual("text", "s", boost=_BOOSTED))).alias("s")).select("doc_id", "s.start", F.round("s.score", 6).alias("score"))
+
+
+@query("normal_labels", f"SELECT label, CASE upper(label) {' '.join(f'WHEN {_q(k)} THEN {_q(v)}' for k, v in resolve.NORMAL.items())} ELSE label END AS normal FROM (SELECT unnest([{', '.join(map(_q, [*resolve.NORMAL, 'person', 'PHONE_US', 'Gpe', 'SSN']))}]) AS label)")
+def normal_labels(spark, d):
+    return spark.createDataFrame([(x,) for x in [*resolve.NORMAL, "person", "PHONE_US", "Gpe", "SSN"]], "label string").withColumn("normal", F.expr(resolve.normal_label("label")))
+
+
+@query("k_anonymity", """SELECT event_id, CASE WHEN count(*) OVER (PARTITION BY event_type, user_id) >= 5 THEN CAST(user_id AS VARCHAR) ELSE '<' || event_type || '>' END AS shown,
+    CASE WHEN row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) >= 5 THEN CAST(user_id AS VARCHAR) ELSE '<' || event_type || '>' END AS running FROM events""")
+def k_anonymity(spark, d):
+    e = read(spark, d, "events").withColumn("u", F.col("user_id").cast("string"))
+    return e.select("event_id", F.expr(masking.k_anonymous("u", "event_type", "event_id")).alias("shown"), F.expr(masking.k_anonymous("u", "event_type", "event_id", running=True)).alias("running"))
+
+
+@query("privacy_budget", "SELECT user_id, event_id, round(greatest(0, least(0.1, 1.0 - 0.1 * (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)))::DOUBLE, 6) AS epsilon FROM events")
+def privacy_budget(spark, d):
+    return read(spark, d, "events").select("user_id", "event_id", F.expr(f"round({masking.budget_spent('event_id', 'user_id')}, 6)").alias("epsilon"))
+
+
+@query("au_phones", """WITH p AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '04' || lpad(CAST(c_custkey * 7919 % 100000000 AS VARCHAR), 8, '0') WHEN 1 THEN '02 ' || lpad(CAST(c_custkey * 7919 % 100000000 AS VARCHAR), 8, '0') ELSE CAST(c_custkey % 9999 + 100 AS VARCHAR) END AS v FROM customer), q AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS n FROM p)
+    SELECT c_custkey, CASE WHEN length(n) < 10 THEN 'XX' || repeat('X', length(n) - 2) WHEN starts_with(n, '04') THEN '04XX-XXX-XXX' ELSE substr(n, 1, 2) || 'XX-XXX-XXX' END AS masked, regexp_replace(v, '[0-9]', '9', 'g') AS pattern FROM q""")
+def au_phones(spark, d):
+    eight = "lpad(CAST(c_custkey * 7919 % 100000000 AS STRING), 8, '0')"
+    v = F.expr(f"CASE c_custkey % 3 WHEN 0 THEN '04' || {eight} WHEN 1 THEN '02 ' || {eight} ELSE CAST(c_custkey % 9999 + 100 AS STRING) END")
+    return read(spark, d, "customer").select("c_custkey", v.alias("v")).select("c_custkey", F.expr(masking.strategy_au_phone("v", "''")).alias("masked"), F.expr(masking.pattern_of("v")).alias("pattern"))
+
+
+@query("distinct_texts", "SELECT md5(text) AS digest, count(*) AS copies FROM documents GROUP BY text")
+def distinct_texts(spark, d):
+    return pipeline.distinct_texts(read(spark, d, "documents")).select(F.md5("text").alias("digest"), "copies")
+
+
+@query("trust_scores", """WITH r AS (SELECT c_custkey, c_custkey % 2 = 0 AS a, c_custkey % 3 = 0 AS b, c_custkey % 5 = 0 AS c, c_custkey % 4 AS k FROM customer),
+    s AS (SELECT c_custkey, 3 * a::INT + 4 * b::INT + (3 * b::INT + 2 * a::INT + 2 * c::INT) + (CASE WHEN c THEN 4 WHEN a THEN 3 ELSE 0 END + 3 * b::INT) + CASE k WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 6 ELSE 4 END + (3 * a::INT + 4 * c::INT) + (5 - 3 * c::INT - 2 * b::INT) AS t FROM r)
+    SELECT c_custkey, round(t / 60.0 * 100, 6)::DOUBLE AS trust_score, t / 60.0 * 100 >= 70 AS trusted FROM s""")
+def trust_scores(spark, d):
+    a, b, c = F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 5 == 0
+    no = F.lit(False)
+    flags = dict(user_authenticated=a, mfa_verified=b, certificate_based_auth=no, device_managed=b, device_encrypted=a, antivirus_updated=c, os_patched=no, internal_network=c, vpn_connection=a, geo_location_verified=b, known_ip_address=no, business_hours=a, authorized_application=c, rate_limit_compliant=no, unusual_access_pattern=c, suspicious_volume=b, anomalous_timing=no)
+    r = read(spark, d, "customer").select("c_custkey", *(v.alias(k) for k, v in flags.items()), F.element_at(F.array(*map(F.lit, ("PUBLIC", "INTERNAL", "SENSITIVE", "RESTRICTED"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("data_classification"))
+    return audit.trusted(r).select("c_custkey", F.round("trust_score", 6).alias("trust_score"), "trusted")
+
+
+@query("hourly_props", f"""SELECT date_trunc('hour', ts) AS hour, event_type, CAST(sum(len(regexp_extract_all(props, '(?im)[0-9]+', 0))) AS BIGINT) AS n FROM events GROUP BY 1, 2""")  # noqa: F541
+def hourly_props(spark, d):
+    e = read(spark, d, "events").withColumn("n", F.size(F.expr(S.ranges("props", "(?im)[0-9]+"))))
+    return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.sum("n").cast("long").alias("n"))

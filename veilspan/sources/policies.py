@@ -7,17 +7,33 @@ Patterns are matched without regard to case and with ``FLAGS``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 #: Ignore case, anchors at lines, only \n ends a line, Unicode classes and case.
 FLAGS = "(?imduU)"
 B = r"\b"
 #: Words of an address or suburb name at most: Java's matcher recurses once a word.
-MOST_WORDS = 100
+MOST_WORDS = 20
 SEP = r"[\s-]?"
 WORD = r"[A-Z][a-z]+"
 
 
+class Keyed(str):
+    """A pattern that no text matches without one of ``keys`` (in upper case) in it."""
+
+    keys: tuple[str, ...] = ()
+
+
+def keyed(pattern: str, *words: str) -> Keyed:
+    """The keys are what the words begin with, up to the first sign that is no plain letter, blank or colon."""
+    out = Keyed(pattern)
+    out.keys = tuple(re.match(r"[A-Za-z :/.-]*", w)[0].upper() for w in words)
+    if not all(out.keys):
+        out.keys = ()
+    return out
+
+
 def edge(body: str) -> str:
     return f"{B}(?:{body}){B}"
 
@@ -31,14 +47,17 @@ def run(low: int, high: int | None = None, of: str = r"\d") -> str:
 
 
 def any_of(words: str) -> str:
-    """Alternatives given as words parted by blanks; ``_`` stands for white space within one."""
-    return "(?:" + "|".join(w.replace("_", r"\s+") for w in words.split()) + ")"
+    """Alternatives given as words parted by blanks, tried by first letter; ``_`` stands for white space within one."""
+    by: dict[str, list[str]] = {}
+    for w in words.split():
+        by.setdefault(w[0], []).append(w[1:].replace("_", r"\s+"))
+    return "(?:" + "|".join(k + (f"(?:{'|'.join(v)})" if len(v) > 1 else v[0]) for k, v in by.items()) + ")"
 
 
 def after(keys: str, value: str, number: str = "") -> str:
     """A keyword, perhaps a word for number, perhaps a colon, and a value. ``keys`` by ``/``."""
     middle = rf"\s*(?:{number}|#)?" if number else ""
-    return rf"{B}(?:{'|'.join(keys.split('/'))}){middle}\s*:?\s*{value}{B}"
+    return keyed(rf"{B}(?:{'|'.join(keys.split('/'))}){middle}\s*:?\s*{value}{B}", *keys.split("/"))
 
 
 ALNUM = "[A-Z0-9]"
@@ -49,7 +68,7 @@ MAIL = r"[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}".replace(r"\w", "A-Za-z0-9_")
 CARD = digits(4, 4, 4, 4)
 QUAD = B + r"\.".join([run(1, 3)] * 4) + B
 _UNSAFE = r"""[^\s<>"{}|\\^`\[\]]+"""
-LINK = rf"https?://{_UNSAFE}|www\.{_UNSAFE}\.[a-z]{{2,}}"
+LINK = keyed(rf"https?://{_UNSAFE}|www\.{_UNSAFE}\.[a-z]{{2,}}", "http", "www.")
 NANP = rf"{B}(?:\+?1[-.\s]?)?\(?\d{{3}}\)?[-.\s]?\d{{3}}[-.\s]?\d{{4}}{B}"
 UK_CODE = rf"{B}[A-Z]{{1,2}}[0-9R]{ALNUM}?\s?\d[A-Z]{{2}}{B}"
 NINO = rf"{B}[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]\d{{6}}[A-D]{B}"
@@ -280,11 +299,11 @@ class PackEntry:
 
 
 def _keyed(key: str, value: str, number: str = "") -> str:
-    return rf"{B}({key}){number}\s*:?\s*({value}){B}"
+    return keyed(rf"{B}({key}){number}\s*:?\s*({value}){B}", *key.split("|"))
 
 
 def _named(key: str, value: str) -> str:
-    return rf"{B}{key}\s*:?\s*({value}){B}"
+    return keyed(rf"{B}{key}\s*:?\s*({value}){B}", key)
 
 
 _NUM = r"\s+(?:number|#)"
@@ -295,7 +314,7 @@ _HALF = r"(?:\d{1,3}\.)"
 
 def _armour(kind: str) -> str:
     line = lambda word: rf"-----{word}\s+{kind}PRIVATE\s+KEY-----"
-    return line("BEGIN") + r"[\s\S]*?" + line("END")
+    return keyed(line("BEGIN") + r"[\s\S]*?" + line("END"), "-----BEGIN")
 
 
 PACK = tuple(PackEntry(*e) for e in (
@@ -326,18 +345,18 @@ PACK = tuple(PackEntry(*e) for e in (
     ("INVESTMENT_ACCOUNT", _keyed("investment|brokerage", run(6, 15, ALNUM), r"\s+account"), 0.90, 2),
     ("TAX_ID", _keyed(r"tax\s+(?:id|identification)", r"\d{2}-?\d{7}"), 0.95, 2),
     ("TAX_ID", _named("EIN", r"\d{2}-?\d{7}"), 0.80, 1),
-    ("API_KEY", rf"{B}(api[_\s]?key)\s*[:=]\s*{_QUOTE}([A-Za-z0-9]{{20,}}){_QUOTE}", 0.90, 2),
-    ("API_KEY", rf"{B}(token)\s*[:=]\s*{_QUOTE}([A-Za-z0-9]{{20,}}){_QUOTE}", 0.80, 2),
-    ("DATABASE_CONNECTION", r"((?:mongodb|mysql|postgresql|redis)://)\S+", 0.80, 1),
-    ("DATABASE_CONNECTION", rf"""{B}(connection\s+string)\s*[:=]\s*{_QUOTE}([^"']+){_QUOTE}""", 0.90, 2),
+    ("API_KEY", keyed(rf"{B}(api[_\s]?key)\s*[:=]\s*{_QUOTE}([A-Za-z0-9]{{20,}}){_QUOTE}", "api"), 0.90, 2),
+    ("API_KEY", keyed(rf"{B}(token)\s*[:=]\s*{_QUOTE}([A-Za-z0-9]{{20,}}){_QUOTE}", "token"), 0.80, 2),
+    ("DATABASE_CONNECTION", keyed(r"((?:mongodb|mysql|postgresql|redis)://)\S+", "mongodb", "mysql", "postgresql", "redis"), 0.80, 1),
+    ("DATABASE_CONNECTION", keyed(rf"""{B}(connection\s+string)\s*[:=]\s*{_QUOTE}([^"']+){_QUOTE}""", "connection"), 0.90, 2),
     ("IP_ADDRESS_PRIVATE", rf"{B}(10\.{_HALF}{{2}}\d{{1,3}}){B}", 0.80, 1),
     ("IP_ADDRESS_PRIVATE", rf"{B}(192\.168\.{_HALF}\d{{1,3}}){B}", 0.80, 1),
     ("IP_ADDRESS_PRIVATE", rf"{B}(172\.(?:1[6-9]|2\d|3[01])\.{_HALF}\d{{1,3}}){B}", 0.90, 1),
     ("MAC_ADDRESS", rf"{B}([0-9a-f]{{2}}[:-]){{5}}([0-9a-f]{{2}}){B}", 0.80, 2),
-    ("UUID", B + "-".join(f"[0-9a-f]{{{n}}}" for n in (8, 4, 4, 4, 12)) + B, 0.90, 0),
-    ("JWT_TOKEN", rf"{B}(eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+){B}", 0.90, 1),
+    ("UUID", keyed(B + "-".join(f"[0-9a-f]{{{n}}}" for n in (8, 4, 4, 4, 12)) + B, "-"), 0.90, 0),
+    ("JWT_TOKEN", keyed(rf"{B}(eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+){B}", "eyj"), 0.90, 1),
     ("PRIVATE_KEY", _armour(r"(?:RSA\s+)?"), 0.90, 0),
     ("PRIVATE_KEY", _armour(r"OPENSSH\s+"), 0.90, 0),
-    ("AWS_ACCESS_KEY", rf"{B}(AKIA[0-9A-Z]{{16}}){B}", 0.80, 1),
-    ("GCP_API_KEY", rf"{B}(AIza[\w-]{{35}}){B}", 0.80, 1),
+    ("AWS_ACCESS_KEY", keyed(rf"{B}(AKIA[0-9A-Z]{{16}}){B}", "akia"), 0.80, 1),
+    ("GCP_API_KEY", keyed(rf"{B}(AIza[\w-]{{35}}){B}", "aiza"), 0.80, 1),
 ))
