@@ -1,0 +1,328 @@
+"""Each operator against brute force, round trips or held-out labels, and on odd tables."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from veilspan.llm import decontam, exact, packing, pii, quality, simhash, substring, tokencount, tokens, toxicity, wavelet
+from veilspan.llm.common import fresh_path, words_of
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, key string, words string, start int"
+BENCH = "item_id long, text string, doc_id long"
+
+
+def _words(rnd, n, lo=0, hi=4000):
+    return [f"w{rnd.randrange(lo, hi)}" for _ in range(n)]
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", f"src{i % 3}" if i is not None else None, len(t) if t is not None else None, "x", "k", "w", 1) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Plain documents, exact copies, near copies, shared passages, benchmark passages, and odd rows."""
+    rnd = random.Random(7)
+    base = [_words(rnd, rnd.randrange(80, 300)) for _ in range(60)]
+    rows, near, passages = [], [], []
+    for w in base:
+        rows.append(" ".join(w))
+    for k in range(12):  # near copies: 3 % of the words
+        w = list(base[k])
+        for _ in range(max(1, len(w) * 3 // 100)):
+            w[rnd.randrange(len(w))] = f"z{rnd.randrange(10**6)}"
+        near.append((k, len(rows)))
+        rows.append(" ".join(w))
+    shared = " ".join(_words(rnd, 70))
+    for k in range(4):
+        passages.append(len(rows))
+        rows.append(" ".join([*_words(rnd, 60 + k), shared, *_words(rnd, 40)]))
+    for k in (0, 1, 2):
+        rows.append(rows[k])
+    item = _words(rnd, 30)
+    leak = len(rows)
+    rows.append(" ".join([*_words(rnd, 50), *item, *_words(rnd, 20)]))
+    long_ = len(rows)
+    rows.append(" ".join(_words(rnd, 20_000)))
+    out = [(i, t) for i, t in enumerate(rows)]
+    n = len(out)
+    out += [(n, None), (n + 1, ""), (n + 2, "  \n "), (n + 3, "Éa ß one two"), (5, rows[5]), (n + 4, "")]
+    return {"rows": out, "near": near, "passages": passages, "item": " ".join(item), "leak": leak, "long": long_}
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return _docs(spark, corpus["rows"]).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return _docs(spark, [])
+
+
+def test_exact(spark, docs, empty, corpus):
+    got = {(r.doc_id, r.duplicate_of) for r in exact.duplicates(docs).collect()}
+    first, want = {}, set()
+    for i, t in sorted(((i, t) for i, t in corpus["rows"] if t is not None)):
+        if t in first and first[t] != i:
+            want.add((i, first[t]))
+        first.setdefault(t, i)
+    assert got == want
+    kept = exact.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _ in corpus["rows"]} - {i for i, _ in want})
+    assert exact.duplicates(empty).count() == 0 and exact.deduplicated(empty).count() == 0
+
+
+def test_exact_index_persists(spark):
+    path = fresh_path(spark, "index")
+    one, two = _docs(spark, [(1, "a"), (2, "b")]), _docs(spark, [(3, "b"), (4, "c"), (5, "c")])
+    assert exact.duplicates(one, exact.DigestIndex(spark, path, 4)).count() == 0
+    again = exact.DigestIndex(spark, path, 4)
+    assert {tuple(r) for r in exact.duplicates(two, again).collect()} == {(3, 2), (5, 4)}
+    assert again.rows().count() == 3
+    plan = again.rows().join(again.rows().withColumnRenamed("doc_id", "d").hint("merge"), "digest")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # bucketed on both sides
+
+
+def test_simhash(spark, docs, empty, corpus):
+    fingers = simhash.fingerprinted(docs).dropDuplicates(list(simhash.LANES)).toPandas()
+    fp = fingers[list(simhash.LANES)].to_numpy()
+    want = set()
+    for i in range(len(fp)):
+        d = np.bitwise_count((fp[i] ^ fp).astype(np.uint64)).sum(1)
+        want |= {tuple(sorted((int(fingers.doc_id[i]), int(fingers.doc_id[j])))) for j in np.flatnonzero(d <= simhash.THRESHOLD) if j != i}
+    got = {(r.x, r.y) for r in simhash.near_pairs(spark.createDataFrame(fingers)).collect()}
+    assert got <= want and len(got & want) >= 0.9 * len(want)
+    owner = {r.doc_id: r.duplicate_of for r in simhash.groups(docs).collect()}
+    assert sum(owner.get(b) == a for a, b in corpus["near"]) >= 0.75 * len(corpus["near"])
+    members = {b for _, b in corpus["near"]} | {r for r in owner if owner[r] in (0, 1, 2)}
+    assert set(owner) <= members  # unrelated documents stay
+    left = simhash.deduplicated(docs)
+    assert left.columns == docs.columns and not {r.doc_id for r in left.collect()} & set(owner)
+    assert simhash.groups(empty).count() == 0
+
+
+def test_simhash_recall_over_many_pairs(spark):
+    """Pairs at 1 to THRESHOLD bits as near copies have them (about 8 % of the bits in the mean)."""
+    rnd = np.random.default_rng(3)
+    rows, want = [], []
+    for k in range(1500):
+        bits = rnd.random(simhash.BITS) < 0.5
+        other = bits.copy()
+        n = min(max(1, rnd.binomial(simhash.BITS, 0.08)), simhash.THRESHOLD)
+        other[rnd.choice(simhash.BITS, n, replace=False)] ^= True
+        for j, b in enumerate((bits, other)):
+            blocks = (b.reshape(simhash.BLOCKS, simhash.WIDTH) * (1 << np.arange(simhash.WIDTH))).sum(1)
+            rows.append((2 * k + j, *(int((blocks[2 * m] << simhash.WIDTH) | blocks[2 * m + 1]) for m in range(4))))
+        want.append((2 * k, 2 * k + 1))
+    got = {(r.x, r.y) for r in simhash.near_pairs(spark.createDataFrame(rows, "doc_id long, a long, b long, c long, d long")).collect()}
+    assert len(got & set(want)) >= 0.9 * len(want)
+
+
+def test_components(spark):
+    rnd = random.Random(5)
+    pairs = [(k, k + 1) for k in range(0, 40)] + [(rnd.randrange(100, 160), rnd.randrange(100, 160)) for _ in range(45)]
+    pairs = [(min(p), max(p)) for p in pairs if p[0] != p[1]]
+    up = {v: v for p in pairs for v in p}
+    for _ in range(200):
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "x long, y long").repartition(4)).collect()}
+    assert got == {v: r for v, r in up.items() if v != r}
+
+
+def _bench(spark, corpus):
+    return spark.createDataFrame([(1, corpus["item"], 0), (2, None, 0), (3, "", 0), (4, "one two", 0), (5, corpus["item"], 0)], BENCH)
+
+
+def test_decontamination(spark, docs, empty, corpus):
+    bench = _bench(spark, corpus)
+    got = {tuple(r) for r in decontam.spans(docs, bench).collect()}
+    assert got == {tuple(r) for r in decontam.spans(docs, bench, most_phrase_bytes=0).collect()}  # the join
+    item = corpus["item"].split()
+    assert got == {(corpus["leak"], 50, 50 + len(item), 1)}
+    clean = {r.doc_id: r.text for r in decontam.cleaned(docs, bench).collect()}
+    before = dict(corpus["rows"])
+    assert all(clean[i] == before[i] for i in clean if i != corpus["leak"])
+    assert corpus["item"] not in clean[corpus["leak"]] and len(clean[corpus["leak"]].split()) == 70
+    assert decontam.spans(empty, bench).count() == 0 and decontam.spans(docs, bench.limit(0)).count() == 0
+
+
+def test_fm_index():
+    rnd = np.random.default_rng(1)
+    for sigma, n in ((3, 400), (1, 50), (20, 3000)):
+        seq = rnd.integers(0, sigma + 1, n)
+        seq[0] = 0
+        index = decontam.FMIndex(seq, sigma, 4)
+        for size in range(1, 7):
+            for _ in range(20):
+                at = int(rnd.integers(0, n - size))
+                phrase = seq[at : at + size]
+                if (phrase == 0).any():
+                    continue
+                low, high = index.search(phrase[None, :], np.array([size]))
+                found = sorted(index.locate(np.arange(low[0], high[0])).tolist())
+                assert found == [k for k in range(n - size + 1) if (seq[k : k + size] == phrase).all()]
+
+
+def test_packing(spark, docs, empty, corpus):
+    got = packing.packed(docs, capacity=256, cell=40, islands=2).toPandas()
+    need = sum(len(t.split()) for _, t in corpus["rows"] if t)
+    assert got.n_words.sum() == need
+    load = got.groupby("bin").n_words.sum()
+    assert (load <= 256).all() and (got.groupby("bin").bin_words.first() == load).all()
+    again = packing.packed(docs, capacity=256, cell=40, islands=2).toPandas()
+    key = ["doc_id", "part", "bin"]
+    assert got.sort_values(key)[key].values.tolist() == again.sort_values(key)[key].values.tolist()
+    assert packing.packed(empty).count() == 0
+    size = [100, 90, 80, 70, 60, 50, 40, 30, 20, 10] * 5
+    people = packing.first_population(size, 128, (1,))
+    best = packing.evolve(people, size, 128, (1,), 30)[0]
+    assert sorted(p for b in best for p in b[1]) == list(range(50)) and len(best) <= len(people[0])
+
+
+def test_quality(spark, docs, empty):
+    rnd = random.Random(11)
+    good = [" ".join(_words(rnd, 60)) + "." for _ in range(150)]
+    bad = [" ".join(w.upper() + "!!" for w in _words(rnd, 60)) for _ in range(50)] + [" ".join(w + " |" for w in _words(rnd, 40)) for _ in range(50)]
+    rows = list(enumerate(good + bad))
+    rnd.shuffle(rows)
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i, _ in rows[:150]], "doc_id long, quality int, toxic int")
+    d = _docs(spark, [*rows, (999, None), (998, "")])
+    got = {r.doc_id: r for r in quality.scored(d, labels).collect()}
+    held = [i for i, _ in rows[150:]]
+    assert np.mean([got[i].keep == (i < 150) for i in held]) >= 0.97
+    assert not got[999].keep and not got[998].keep
+    assert quality.kept(d, labels).columns == d.columns
+    assert quality.scored(empty, labels).count() == 0 and quality.kept(d, labels.limit(0)).count() == 250
+
+
+def test_toxicity(spark, docs, empty):
+    rnd = random.Random(13)
+    def text(n):
+        w = _words(rnd, 100, 0, 300)
+        for _ in range(n):
+            w[rnd.randrange(100)] = rnd.choice(["vile", "rotten", "nasty"])
+        return " ".join(w)
+    strength = [0] * 200 + [2] * 40 + [6] * 40 + [14] * 40
+    rows = [(i, text(n)) for i, n in enumerate(strength)]
+    labels = spark.createDataFrame([(i, 1, int(n > 0)) for i, n in enumerate(strength) if i % 2], "doc_id long, quality int, toxic int")
+    d = _docs(spark, [*rows, (999, None), (998, "")])
+    got = {r.doc_id: r for r in toxicity.scored(d, labels).collect()}
+    held = [i for i in range(len(strength)) if i % 2 == 0]
+    assert np.mean([(got[i].grade > 0) == (strength[i] > 0) for i in held]) >= 0.95
+    mean = [np.mean([got[i].expected_severity for i in held if strength[i] == n]) for n in (0, 2, 6, 14)]
+    assert mean == sorted(mean)
+    assert got[999].grade == 0 and got[998].expected_severity == 0
+    assert toxicity.scored(empty, labels).count() == 0 and toxicity.scored(d, labels.limit(0)).agg(F.max("grade")).first()[0] == 0
+
+
+ODD = ["", " a", "a ", "\n", "\n\n", "a  b", "a　 b\n c", "don't  stop", "tab\t x", "é è\n\n ê", "\x1c x", "a\u0085 b", "  ", "a\r\n b", "日本 語\n", "😀 😀", "x\x00 y", "w" * 5000]
+
+
+def test_tokens_and_wavelet(spark, docs, empty, corpus):
+    enc = tokens.encoder()
+    rows = [(1000 + k, t) for k, t in enumerate(ODD)] + [(2000, None), (2001, "a b c"), (2001, "a b c")]
+    got = wavelet.sharded(docs.unionByName(_docs(spark, rows))).collect()
+    seen = []
+    texts = {**dict(corpus["rows"]), **dict(rows)}
+    for s in got:
+        m = wavelet.WaveletMatrix(s.matrix)
+        ids = m.access(np.arange(m.n))
+        for k, i in enumerate(s.doc_ids):
+            assert ids[s.begins[k] : s.begins[k + 1]].tolist() == (enc.encode_ordinary(texts[i]) if texts[i] else [])
+            seen.append(i)
+        if m.n:
+            t = int(ids[m.n // 2])
+            at = np.flatnonzero(ids == t).tolist()
+            assert m.count(t) == len(at) and m.occurrences(t) == at and m.rank(t, m.n // 2) == sum(a < m.n // 2 for a in at)
+            assert m.count(60000) == 0
+    assert sorted(seen) == sorted(i for i, _ in [*corpus["rows"], *rows])
+    assert wavelet.sharded(empty).count() == 0
+
+
+def test_token_counts(spark, docs, empty):
+    rnd = random.Random(17)
+    tok = tokens.Tokenizer()
+    for t in [*ODD, "one two  three\nfour", " ".join(_words(rnd, 200))]:
+        tree, now = tokencount.CountTree(t, tok), t
+        for _ in range(25):
+            a = rnd.randrange(0, len(now) + 1)
+            b = min(len(now), a + rnd.randrange(0, 12))
+            new = rnd.choice(["", " ", "x", "\n\n", " big word", "é!", "  "])
+            tree.edit(a, b, new)
+            now = now[:a] + new + now[b:]
+            assert tree.text() == now and tree.total == len(tok.enc.encode_ordinary(now))
+    text = "write to a.b@c.org or +1 (212) 555-1234, 4111111111111111 from 10.0.0.1 " * 3
+    row = tokencount.recounted(_docs(spark, [(1, text), (2, None), (3, "")])).orderBy("doc_id").collect()
+    now = text
+    for a, b, new in tokencount.redaction_edits(text):
+        now = now[:a] + new + now[b:]
+    assert row[0].edits == 12 and row[0].tokens_after == len(tok.enc.encode_ordinary(now)) and row[0].tokens_before == len(tok.enc.encode_ordinary(text))
+    assert row[1].tokens_before is None and row[2].tokens_before == 0 and tokencount.recounted(empty).count() == 0
+
+
+def test_identifiers(spark, docs, empty):
+    rnd = random.Random(19)
+    def card(ok):
+        while True:
+            n = "4" + "".join(rnd.choice("0123456789") for _ in range(15))
+            if pii.luhn(n) == ok:
+                return n
+    unseen = card(False)
+    rows = [(k, f"{' '.join(_words(rnd, 8, 0, 50)).replace('w', 'a')} {v} tail words") for k, v in enumerate(
+        [card(True) for _ in range(12)] + [f"{rnd.randrange(1, 255)}.2.3.{k}" for k in range(8)] + [f"user{k}@mail.example.com" for k in range(8)] + [f"+1 ({rnd.randrange(200, 999)}) 555-{1000 + k}" for k in range(8)])]
+    rows = [(i, re.sub(r"\ba\d+\b", "word", t)) for i, t in rows]
+    extra = [(100, f"pay {unseen} now"), (101, "version 3. or 2.0 of"), (102, None), (103, ""), (104, "+1 (045) 555-9999!! x"), (100, f"pay {unseen} now")]
+    got = {(r.doc_id, r.kind, r.value) for r in pii.extracted(_docs(spark, rows + extra)).collect()}
+    assert (100, "CARD", unseen) in got and (104, "PHONE", "+1 (045) 555-9999") in got
+    assert not {g for g in got if g[0] in (101, 102, 103)} and len({g[0] for g in got if g[0] < 100}) == len(rows)
+    assert pii.extracted(empty).count() == 0
+
+
+def test_substring(spark, docs, empty, corpus):
+    got = substring.repeats(docs).collect()
+    w = {i: (t or "").split() for i, t in corpus["rows"]}
+    first, want = {}, {}
+    for i in sorted(w):
+        grams = [tuple(w[i][k : k + 50]) for k in range(len(w[i]) - 49)]
+        hit = {k + j for k, g in enumerate(grams) if first.get(g, i) != i for j in range(50)}
+        if hit:
+            want[i] = hit
+        for g in grams:
+            first.setdefault(g, i)
+    flagged = {}
+    for r in got:
+        flagged.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert sum(len(want[i] & flagged.get(i, set())) for i in want) >= 0.9 * sum(map(len, want.values()))
+    assert all(i in flagged for i in corpus["passages"][1:])
+    related = set(want) | {b for _, b in corpus["near"]}
+    assert set(flagged) <= related
+    assert substring.repeats(empty).count() == 0
+
+
+def test_compact_windows():
+    rnd = np.random.default_rng(23)
+    for width in (1, 2, 3, 5, 8, 43):
+        g = rnd.integers(1, 1 << 62, 300).astype(np.uint64) << np.uint64(1)
+        begin, end = np.array([0, 100, 100, 107]), np.array([100, 100, 107, 300])
+        got = {tuple(map(int, x)) for x in zip(*substring.compact_windows(g, begin, end, width))}
+        want = set()
+        for row, (a, b) in enumerate(zip(begin, end)):
+            for c in range(a, b):
+                l, r = c, c
+                while l > a and g[l - 1] > g[c]:
+                    l -= 1
+                while r < b - 1 and g[r + 1] > g[c]:
+                    r += 1
+                if r - l + 1 >= width:
+                    want.add((row, l, c, r))
+        assert got == want
+
+
+def test_words(spark):
+    assert spark.createDataFrame([("A-b  É9!",), (None,)], "t string").select(words_of(F.col("t")).alias("w")).collect() == [("a b é9",), (None,)]
