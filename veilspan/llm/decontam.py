@@ -204,6 +204,8 @@ class _Searcher:
         """(doc_id, key, start, end, item_id) of the merged spans of a shard."""
         h, rows = hashed_words(column)
         n = len(rows) - 1
+        if not len(h):
+            return None
         # one void symbol before each document parts it from the last
         doc = np.repeat(np.arange(n), np.diff(rows))
         seq = np.zeros(len(h) + n, np.int64)
