@@ -272,7 +272,7 @@ def _joined(words: DataFrame, phrases: DataFrame) -> DataFrame:
     w = words.select("doc_id", "key", F.split("words", " ").alias("w"))
     out = None
     for n in lengths:
-        grams = w.where(F.size("w") >= n).select("doc_id", "key", F.expr(f"transform(IF(size(w) >= {n}, sequence(1, size(w) - {n} + 1), CAST(array() AS array<int>)), i -> struct(i - 1 AS start, slice(w, i, {n}) AS phrase))").alias("g")).select("doc_id", "key", F.explode("g").alias("g")).select("doc_id", "key", F.col("g.start").cast("long").alias("start"), F.col("g.phrase").alias("phrase"))
+        grams = w.where(F.size("w") >= n).select("doc_id", "key", F.expr(f"transform(array(w), v -> transform(IF(size(v) >= {n}, sequence(1, size(v) - {n} + 1), CAST(array() AS array<int>)), i -> struct(i - 1 AS start, slice(v, i, {n}) AS phrase)))[0]").alias("g")).select("doc_id", "key", F.explode("g").alias("g")).select("doc_id", "key", F.col("g.start").cast("long").alias("start"), F.col("g.phrase").alias("phrase"))
         hits = grams.join(phrases.where(F.size("phrase") == n).hint("merge"), "phrase").select("doc_id", "key", "start", (F.col("start") + n).alias("end"), "item_id")
         out = hits if out is None else out.unionByName(hits)
     return _merged(out)
