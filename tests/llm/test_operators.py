@@ -123,6 +123,22 @@ def test_simhash_recall_over_many_pairs(spark):
     assert len(got & set(want)) >= 0.9 * len(want)
 
 
+def test_simhash_recall_at_the_threshold(spark):
+    """Pairs at exactly THRESHOLD bits."""
+    rnd = np.random.default_rng(4)
+    rows, want = [], set()
+    for k in range(600):
+        bits = rnd.random(simhash.BITS) < 0.5
+        other = bits.copy()
+        other[rnd.choice(simhash.BITS, simhash.THRESHOLD, replace=False)] ^= True
+        for j, b in enumerate((bits, other)):
+            blocks = (b.reshape(simhash.BLOCKS, simhash.WIDTH) * (1 << np.arange(simhash.WIDTH))).sum(1)
+            rows.append((2 * k + j, *(int((blocks[2 * m] << simhash.WIDTH) | blocks[2 * m + 1]) for m in range(4))))
+        want.add((2 * k, 2 * k + 1))
+    got = {(r.x, r.y) for r in simhash.near_pairs(spark.createDataFrame(rows, "doc_id long, a long, b long, c long, d long")).collect()}
+    assert len(got & want) >= 0.97 * len(want)
+
+
 def test_simhash_recall_of_edited_copies(spark):
     """Copies with 3, 5 and 8 % of their words changed."""
     rnd = random.Random(29)
