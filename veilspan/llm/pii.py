@@ -1,7 +1,11 @@
 """Personal identifiers by bootstrapped contextual extraction.
 
-Candidates are one to three adjacent white-space tokens with a digit or an @, without
-the signs around them. Each has patterns: its shape (letters and short runs of digits
+Candidates are white-space tokens with a digit or an @, and runs of adjacent ones of
+any number that may be groups of one value, without the signs around them. A run ends
+at a sign between two tokens, at an address or a token of more than ``GROUP`` letters
+and digits, which stand alone, and where it has more letters and digits than the
+longest grouped form (``LONGEST``, an IBAN). Capitals without a digit may stand within
+it. Each candidate has patterns: its shape (letters and short runs of digits
 generalised, long runs with their length), and the words to its left and right
 together with its kind of characters. Seeds are candidates that a strict check
 proves (a card's check digit, an address's octets, ...). On the graph of patterns and
@@ -30,17 +34,25 @@ from pyspark.sql import functions as F
 from .common import arrow_map, stored
 from .kernel import bytes_of, slices, word_spans
 
-#: An identifier spans so many tokens at most.
-MOST_TOKENS = 3
+#: Letters and digits of a group within a run, and of a run.
+GROUP, LONGEST = 12, 34
 ROUNDS, SUPPORT, CONFIDENT, ACCEPT = 4, 3, 0.4, 0.5
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b"0123456789@")] = True
+_SPLIT = re.compile(r"[\t-\r ]+")
 _STRIP = "#$%&*|!,;:.<>=~^_-\"'`?"
 _EMAIL = re.compile(r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|org|net|edu|gov|io)", re.I)
 _PHONE = re.compile(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}")
+_ABROAD = re.compile(r"\+(?!1\b)[1-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,11}))+")
+_NATIONAL = re.compile(r"(?:\([2-9]\d\d\) |[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}|0\d{1,4}[ -]\d{3,4}[ -]\d{3,4}|0\d(?: \d\d){4}")
+_GROUPED = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|3\d{3}([ -])\d{6}\2\d{5}")
+_IBAN = re.compile(r"[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)")
+_SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}")
+_KEY = re.compile(r"A[KS]IA[0-9A-Z]{16}")
+_WITHIN = re.compile(r"[A-Z]{1,4}")
 _QUAD = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
 _HEX = re.compile(r"(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{24,}")
 _SECRET = re.compile(r"token|key|secret|passw|bearer", re.I)
@@ -54,6 +66,11 @@ def luhn(number: str) -> bool:
     return total % 10 == 0
 
 
+def iban(value: str) -> bool:
+    """Whether an IBAN without blanks has its check digits."""
+    return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
 def seed_kind(value: str, left: str) -> str | None:
     """The kind of a candidate that a strict check proves."""
     if "@" in value:
@@ -62,8 +79,19 @@ def seed_kind(value: str, left: str) -> str | None:
         return "IP" if all(int(x) <= 255 for x in m.groups()) and m[1] != "0" else None
     if value.isascii() and value.isdigit():
         return "CARD" if 13 <= len(value) <= 19 and value[0] in "3456" and luhn(value) else None
-    if _PHONE.fullmatch(value):
+    if _GROUPED.fullmatch(value):
+        number = re.sub("[ -]", "", value)
+        return "CARD" if 13 <= len(number) <= 19 and value[0] in "3456" and luhn(number) else None
+    if _IBAN.fullmatch(value):
+        return "IBAN" if iban(value.replace(" ", "")) else None
+    if _SSN.fullmatch(value):
+        return "SSN"
+    if _PHONE.fullmatch(value) or _NATIONAL.fullmatch(value):
         return "PHONE"
+    if _ABROAD.fullmatch(value):
+        return "PHONE" if 8 <= sum(map(str.isdigit, value)) <= 15 else None
+    if _KEY.fullmatch(value):
+        return "SECRET"
     if _HEX.fullmatch(value.lower()) and _SECRET.search(left):
         return "SECRET"
     return None
@@ -82,10 +110,23 @@ def _class(value: str) -> str:
     return "e" if "@" in value and " " not in value else "h" if _HEX.fullmatch(value.lower()) else "d" if value.isdigit() else re.sub(r"\{\d+\}", "", shape(value))
 
 
+def _bare(token: str) -> str:
+    return token.lstrip(_STRIP).rstrip(_STRIP)
+
+
+def _weight(value: str) -> int:
+    return sum(map(str.isalnum, value))
+
+
 def candidate(tokens: list[str]) -> tuple[str, list[str], str | None]:
     """(value, patterns, seed kind) of a candidate; ``tokens`` are two tokens (or ""), the candidate's, one token (or "")."""
     left2, left, *own, right = tokens
-    value = " ".join(t.lstrip(_STRIP).rstrip(_STRIP) for t in own)
+    value = " ".join(map(_bare, own))
+    # a bracket whose other is not there
+    if value.startswith("(") and ")" not in value:
+        value = value[1:]
+    if value.endswith(")") and "(" not in value:
+        value = value[:-1]
     lw = f"{left2} {left}".lower()
     kind = _class(value)
     # what a value looks like, what stands before and after it
@@ -93,6 +134,32 @@ def candidate(tokens: list[str]) -> tuple[str, list[str], str | None]:
     return value, patterns, seed_kind(value, lw)
 
 
+def candidates(words: list[str], hits: list[int]) -> list[tuple[str, list[str], str | None, int, int]]:
+    """(value, patterns, seed kind, first, stop) of all candidates of a text; ``hits`` are the words with a digit or an @."""
+    around = ["", "", *words, ""]
+    out, runs = [], []
+    for i in hits:
+        bare = _bare(words[i])
+        group = _weight(bare) <= GROUP and "@" not in bare and not _QUAD.fullmatch(bare)
+        last = runs[-1] if runs else None
+        if last and group and last[1] and i - last[0][-1] <= 2 and words[i].lstrip(_STRIP) == words[i] and words[last[0][-1]].rstrip(_STRIP) == words[last[0][-1]] and (i - last[0][-1] == 1 or _WITHIN.fullmatch(words[i - 1])):
+            last[0].append(i)
+        else:
+            runs.append(([i], group))
+    for run, _ in runs:
+        found: dict[tuple[int, int], list] = {}
+        weights = [_weight(words[i]) for i in run]
+        for a, i in enumerate(run):
+            total = 0
+            for b in range(a, len(run)):
+                total += weights[b] + (_weight(words[run[b] - 1]) if b > a and run[b] - run[b - 1] == 2 else 0)
+                if b > a and total > LONGEST:
+                    break
+                found[a, b] = [*candidate(around[i : run[b] + 4]), i, run[b] + 1]
+        out += map(tuple, found.values())
+    return out
+
+
 def _candidate_batches(batches):
     for batch in batches:
         for part in slices(batch, "text"):
@@ -105,14 +172,13 @@ def _candidate_batches(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [])
             hits = np.flatnonzero(marked)
             row = np.searchsorted(rows, hits, side="right") - 1
-            for i, k in zip(hits.tolist(), row.tolist()):
-                word = lambda j: data[begins[j] : ends[j]].tobytes().decode() if rows[k] <= j < rows[k + 1] else ""  # noqa: B023, E731
-                for n in range(1, MOST_TOKENS + 1):
-                    if i + n > rows[k + 1] or not marked[i + n - 1]:
-                        break
-                    value, patterns, kind = candidate([word(j) for j in range(i - 2, i + n + 1)])
-                    first = i - int(rows[k])
-                    for col, x in zip(out, (int(ids[k]), value, patterns, kind, first, first + n)):
+            for k in np.unique(row).tolist():
+                base = int(rows[k])
+                low, high = np.searchsorted(row, k, side="left"), np.searchsorted(row, k, side="right")
+                words = data[int(begins[base]) : int(ends[rows[k + 1] - 1])].tobytes().decode()
+                words = _SPLIT.split(words)
+                for value, patterns, kind, first, stop in candidates(words, (hits[low:high] - base).tolist()):
+                    for col, x in zip(out, (int(ids[k]), value, patterns, kind, first, stop)):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.string()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64())], ["doc_id", "value", "patterns", "seed", "first", "stop"])
 
