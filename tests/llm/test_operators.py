@@ -326,6 +326,18 @@ def test_identifiers_of_many_groups(spark):
     assert got == {(k, *w) for k, w in enumerate(want)} | {(51, "PHONE", "+1 (212) 555-0187"), (51, "IP", "10.1.2.3")}
 
 
+def test_identifiers_of_a_form_that_no_seed_has(spark):
+    rnd = random.Random(31)
+    hexes = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(8)]
+    rows = [(k, f"word{'abcdefgh'[k]} token = {h} done") for k, h in enumerate(hexes)]
+    rows.append((20, "pay by card 4111 1111 1111 1111 today"))
+    rows += [(20 + k, f"pay by card {v} today") for k, v in enumerate(("5500 0000 0000 0004", "3400 000000 00009", "6011 0000 0000 0004"), 1)]
+    rows += [(60, "xy token = c2VjcmV0K2tleTEyMw/9 done"), (61, "pay by card 77-81234/99 today"), (62, "number c3VjcmV0K2tleTEyMw/9 elsewhere")]
+    got = {(r.doc_id, r.kind, r.value) for r in pii.extracted(_docs(spark, rows)).collect()}
+    assert (60, "SECRET", "c2VjcmV0K2tleTEyMw/9") in got and (61, "CARD", "77-81234/99") in got
+    assert not {g for g in got if g[0] == 62}
+
+
 def test_substring(spark, docs, empty, corpus):
     got = substring.repeats(docs).collect()
     w = {i: (t or "").split() for i, t in corpus["rows"]}

@@ -7,7 +7,9 @@ and digits, which stand alone, and where it has more letters and digits than the
 longest grouped form (``LONGEST``, an IBAN). Capitals without a digit may stand within
 it. Each candidate has patterns: its shape (letters and short runs of digits
 generalised, long runs with their length), and the words to its left and right
-together with its kind of characters. Seeds are candidates that a strict check
+together with its kind of characters. Seeds, and what is left of a run between them,
+also have these words alone if they have ``PLAIN`` letters and digits, so contexts
+reach values of a form that no seed has; of those the best counts. Seeds are candidates that a strict check
 proves (a card's check digit, an address's octets, ...). On the graph of patterns and
 distinct values Spark then scores by turns: a pattern by the share of its values'
 scores, if enough values support it; a value by its high-confidence patterns together
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, stored
 from .kernel import bytes_of, slices, word_spans
 
-#: Letters and digits of a group within a run, and of a run.
-GROUP, LONGEST = 12, 34
+#: Letters and digits: of a group within a run, of a run, and of a value that a context without its kind of characters may tell.
+GROUP, LONGEST, PLAIN = 12, 34, 6
 ROUNDS, SUPPORT, CONFIDENT, ACCEPT = 4, 3, 0.4, 0.5
 
 _SPACE = np.zeros(256, bool)
@@ -134,6 +136,12 @@ def candidate(tokens: list[str]) -> tuple[str, list[str], str | None]:
     return value, patterns, seed_kind(value, lw)
 
 
+def _alone(tokens: list[str]) -> list[str]:
+    """Patterns of a candidate's context without its kind of characters."""
+    left2, left, right = tokens[0].lower(), tokens[1].lower(), tokens[-1].lower()
+    return [p for p, there in ((f"near left {left}", left), (f"near left2 {left2} {left}", left2), (f"near right {right}", right)) if there]
+
+
 def candidates(words: list[str], hits: list[int]) -> list[tuple[str, list[str], str | None, int, int]]:
     """(value, patterns, seed kind, first, stop) of all candidates of a text; ``hits`` are the words with a digit or an @."""
     around = ["", "", *words, ""]
@@ -156,6 +164,23 @@ def candidates(words: list[str], hits: list[int]) -> list[tuple[str, list[str],
                 if b > a and total > LONGEST:
                     break
                 found[a, b] = [*candidate(around[i : run[b] + 4]), i, run[b] + 1]
+        # seeds, the longest first, and what is left between them
+        free, plain = [True] * len(run), []
+        for a, b in sorted((k for k, c in found.items() if c[2]), key=lambda k: (k[0] - k[1], k)):
+            if all(free[a : b + 1]):
+                free[a : b + 1] = [False] * (b + 1 - a)
+                plain.append((a, b))
+        a = 0
+        while a < len(run):
+            b = a
+            while b < len(run) and free[b]:
+                b += 1
+            if b > a:
+                plain.append((a, b - 1))
+            a = b + 1
+        for k in plain:
+            if (c := found.get(k)) and _weight(c[0]) >= PLAIN:
+                c[1] += _alone(around[c[3] : c[4] + 3])
         out += map(tuple, found.values())
     return out
 
@@ -193,10 +218,12 @@ def extracted(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= SUPPORT)
     edges = stored(edges.join(sizes, "pattern"), "pattern-graph")
     scores = seeds = stored(seeds, "seeds")
+    # a value with many contexts is not the surer for each of them
+    near, doubt = F.startswith("pattern", F.lit("near ")), F.log(1 - F.least(F.col("conf"), F.lit(0.999)))
     for _ in range(rounds):
         rated = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.first("size").alias("size"))
         rated = rated.withColumn("conf", F.col("mass") / F.col("size")).where((F.col("mass") >= SUPPORT) & (F.col("conf") >= CONFIDENT)).select("pattern", "kind", "conf")
-        found = edges.select("pattern", "value").join(rated, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("conf"), F.lit(0.999)))))).alias("score"))
+        found = edges.select("pattern", "value").join(rated, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.coalesce(F.sum(F.when(~near, doubt)), F.lit(0.0)) + F.coalesce(F.min(F.when(near, doubt)), F.lit(0.0)))).alias("score"))
         scores = stored(found.unionByName(seeds).groupBy("value", "kind").agg(F.max("score").alias("score")), "scores")
     best = Window.partitionBy("value").orderBy(F.desc("score"), "kind")
     taken = scores.where(F.col("score") >= ACCEPT).withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
