@@ -359,6 +359,26 @@ def test_substring(spark, docs, empty, corpus):
     assert substring.repeats(empty).count() == 0
 
 
+def test_substring_of_known_sentences(spark):
+    """A repeated passage whose sentences stand singly in earlier documents."""
+    rnd = random.Random(37)
+    rows, later = [], []
+    for k in range(100):
+        one, two = _words(rnd, 30, 0, 10**6), _words(rnd, 30, 0, 10**6)
+        for j, s in enumerate((one, two)):
+            rows.append((4 * k + j, " ".join([*_words(rnd, 60, 0, 10**6), *s, *_words(rnd, 60, 0, 10**6)])))
+        for j in (2, 3):
+            rows.append((1000 + 4 * k + j, " ".join([*_words(rnd, 60, 0, 10**6), *one, *two, *_words(rnd, 60, 0, 10**6)])))
+        later.append(1000 + 4 * k + 3)
+    got = {}
+    for r in substring.repeats(_docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    found = sum(len(got.get(i, set()) & set(range(60, 120))) >= 30 for i in later)
+    print("found", found)
+    assert found >= 0.9 * len(later), found
+    assert set(got) <= set(later)
+
+
 def test_compact_windows():
     rnd = np.random.default_rng(23)
     for width in (1, 2, 3, 5, 8, 43):
