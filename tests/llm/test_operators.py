@@ -175,12 +175,13 @@ def _bench(spark, corpus):
 def test_decontamination(spark, docs, empty, corpus):
     bench = _bench(spark, corpus)
     got = {tuple(r) for r in decontam.spans(docs, bench).collect()}
-    assert got == {tuple(r) for r in decontam.spans(docs, bench, most_phrase_bytes=0).collect()}  # the join
+    assert got == {tuple(r) for r in decontam.spans(docs, bench, at_once=7).collect()}  # in parts
     item = corpus["item"].split()
-    assert got == {(corpus["leak"], 50, 50 + len(item), 1)}
+    short = len(corpus["rows"]) - 3  # the row that has the item of two words
+    assert got == {(corpus["leak"], 50, 50 + len(item), 1), (short, 2, 4, 4)}
     clean = {r.doc_id: r.text for r in decontam.cleaned(docs, bench).collect()}
     before = dict(corpus["rows"])
-    assert all(clean[i] == before[i] for i in clean if i != corpus["leak"])
+    assert all(clean[i] == before[i] for i in clean if i not in (corpus["leak"], short)) and clean[short] == "Éa ß "
     assert corpus["item"] not in clean[corpus["leak"]] and len(clean[corpus["leak"]].split()) == 70
     assert decontam.spans(empty, bench).count() == 0 and decontam.spans(docs, bench.limit(0)).count() == 0
 
@@ -190,7 +191,7 @@ def test_fm_index():
     for sigma, n in ((3, 400), (1, 50), (20, 3000)):
         seq = rnd.integers(0, sigma + 1, n)
         seq[0] = 0
-        index = decontam.FMIndex(seq, sigma, 4)
+        index = decontam.FMIndex.of(seq, sigma, 4)
         for size in range(1, 7):
             for _ in range(20):
                 at = int(rnd.integers(0, n - size))
@@ -202,6 +203,34 @@ def test_fm_index():
                 assert found == [k for k in range(n - size + 1) if (seq[k : k + size] == phrase).all()]
 
 
+def test_stored_index_is_searched_with_other_tests(spark, docs, corpus):
+    """Items of one to thirty words, against a scan of all documents."""
+    index = decontam.stored(decontam.indexed(docs), "index")
+    rows = dict(corpus["rows"])
+    items = [(7, rows[3].split()[4]), (8, " ".join(rows[9].split()[10:14])), (9, " ".join(rows[20].split()[5:35])), (10, "never there at all")]
+    got = {(r.doc_id, r.start, r.end, r.item_id) for r in decontam.searched(index, spark.createDataFrame([(i, t, 0) for i, t in items], BENCH), 5).collect()}
+    hit = {}
+    for d, t in rows.items():
+        w = (t or "").lower().split()
+        for i, item in items:
+            p = item.split()
+            for g in [p[k : k + 8] for k in range(max(1, len(p) - 7))]:
+                for at in range(len(w) - len(g) + 1):
+                    if w[at : at + len(g)] == g:
+                        hit.setdefault(d, []).append((at, at + len(g), i))
+    want = set()
+    for d, spans in hit.items():
+        run = None
+        for a, b, i in sorted(spans):
+            if run and a <= run[1]:
+                run = (run[0], max(run[1], b), min(run[2], i))
+            else:
+                want |= {(d, *run)} if run else set()
+                run = (a, b, i)
+        want.add((d, *run))
+    assert got == want
+
+
 def test_packing(spark, docs, empty, corpus):
     got = packing.packed(docs, capacity=256, cell=40, islands=2).toPandas()
     need = sum(len(t.split()) for _, t in corpus["rows"] if t)

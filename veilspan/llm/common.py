@@ -1,4 +1,13 @@
-"""Helpers that every operator of this folder shares."""
+"""Helpers that every operator of this folder shares.
+
+Rows without a doc_id and repeated ids are treated alike by all operators:
+
+* a row without a doc_id is in no result that names documents (pairs, spans, groups,
+  identifiers); filters and scores keep it as a row of its own, judged by its text;
+* rows that share a doc_id but not the text are told apart by ``key``, a hash of the
+  text, wherever a decision about a row is carried back to the rows; equal rows have
+  one fate.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +31,11 @@ def words_of(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, NON_WORD, " ")))
 
 
+def key_of(text: Column) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = sc._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veilspan-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)

@@ -1,76 +1,96 @@
-"""Benchmark decontamination by an FM-index over each training shard.
-
-The test phrases are the runs of ``N`` words of each benchmark item (the whole item
-if it is shorter, from ``LEAST`` words on). A shard is a run of documents on end. Its
-words that occur in no phrase get a symbol that nothing searches for, each
-occurrence being smaller than anything else and than the one after it, which is also
-what parts documents; so equal runs of searched words end there and the suffixes are
-in full order after a few doubling steps. The Burrows-Wheeler transform goes into a
-wavelet tree (in its level-wise form, the wavelet matrix). All phrases are searched
-backwards together; what they hit is located by walking back to a sampled suffix.
-Overlapping and touching hits of a document merge to one removal span.
+"""Benchmark decontamination by a stored FM-index of each training shard.
+
+A shard is a run of documents on end. All its words become symbols (their rank among
+the shard's own words); a void before each document, smaller than any word, parts it
+from the last. The suffixes are sorted in full, and the Burrows-Wheeler transform goes
+into a wavelet tree (in its level-wise form, the wavelet matrix, as packed bit planes).
+``indexed`` gives a row a shard, which can be stored and searched again with any other
+test set.
+
+The test phrases are the runs of ``N`` words of each benchmark item, or the whole item
+if it is shorter. They are searched in parts of about ``PHRASES`` at a time, whatever
+their number, each part backwards together; what they hit is located by walking back to
+a sampled suffix. Overlapping and touching hits of a document merge to one removal span.
 
 Defined results
 * null and empty texts have no span; null or empty items give no phrase;
+* null doc_id: ``spans`` leaves the row out, ``cleaned`` cuts its text like any other;
+* very long texts are searched whole, in a shard of their own if need be;
 * ties: a span that several items cover names the smallest item_id;
 * repeated rows: each row of a document is searched; equal spans of one doc_id are one;
-* empty tables: no spans; extra columns pass through ``cleaned``.
+  rows that share a doc_id but not the text are cut each by its own spans;
+* empty tables: no spans; extra columns pass through ``cleaned``, whatever their names.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship, stored, words_of
+from .common import arrow_map, key_of, ship, stored, words_of
 from .kernel import bytes_of, hashed_words, slices
 
-#: Words of a test phrase. Shorter items count from LEAST words on, as a whole.
-N, LEAST = 8, 5
+#: Words of a test phrase; a shorter item is one phrase.
+N = 8
 #: Bytes of text to a shard.
 SHARD_BYTES = 12 << 20
 #: Every so many positions of a shard are kept as suffix samples.
 SAMPLE = 16
-#: The phrases go to every task up to this size (8 bytes a word); beyond it a sort-merge join finds the same.
-MOST_PHRASE_BYTES = 64 << 20
+#: Phrases searched at once: what the driver and each task hold.
+PHRASES = 1 << 18
 
 
 class WaveletTree:
-    """Rank over a sequence of integers, a bit plane a level."""
+    """Rank over a sequence of integers: a packed bit plane a level, ones counted by words of 64 bits."""
 
-    def __init__(self, seq: np.ndarray, levels: int):
-        self.n, self.levels, self.ranks, self.zeros = len(seq), levels, [], []
+    def __init__(self, n: int, planes: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.levels, self.planes, self.ones, self.zeros = n, len(planes), planes, ones, zeros
+
+    @staticmethod
+    def of(seq: np.ndarray, levels: int) -> WaveletTree:
+        n, wide = len(seq), len(seq) // 64 + 1
+        planes, ones, zeros = np.zeros((levels, wide), np.uint64), np.zeros((levels, wide), np.uint32), np.zeros(levels, np.int64)
         seq = seq.astype(np.uint32)
-        for level in range(levels - 1, -1, -1):
+        for k, level in enumerate(range(levels - 1, -1, -1)):
             bit = ((seq >> np.uint32(level)) & np.uint32(1)).astype(bool)
-            ones = np.zeros(self.n + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
-            self.ranks.append(ones)
-            self.zeros.append(self.n - int(ones[-1]))
-            seq = np.concatenate([seq[~bit], seq[bit]])
-
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol occurs before each position."""
-        low, high = np.zeros_like(at), at.copy()
-        for k, (ones, zeros) in enumerate(zip(self.ranks, self.zeros)):
+            packed = np.packbits(bit, bitorder="little")
+            planes[k].view(np.uint8)[: len(packed)] = packed
+            np.cumsum(np.bitwise_count(planes[k][:-1]), out=ones[k][1:])
+            zeros[k] = n - int(bit.sum())
+            if level:
+                seq = np.concatenate([seq[~bit], seq[bit]])
+        return WaveletTree(n, planes, ones, zeros)
+
+    def _rank1(self, k: int, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ones[k][word].astype(np.int64) + np.bitwise_count(self.planes[k][word] & low)
+
+    def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each symbol occurs before each of two positions."""
+        base = np.zeros_like(low)
+        for k in range(self.levels):
             bit = (symbol >> (self.levels - 1 - k)) & 1 == 1
-            low1, high1 = ones[low], ones[high]
-            low = np.where(bit, zeros + low1, low - low1)
-            high = np.where(bit, zeros + high1, high - high1)
-        return high - low
+            b, lo, hi = (self._rank1(k, x) for x in (base, low, high))
+            zeros = self.zeros[k]
+            base, low, high = np.where(bit, zeros + b, base - b), np.where(bit, zeros + lo, low - lo), np.where(bit, zeros + hi, high - hi)
+        return low - base, high - base
 
     def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols at the positions, and how often each occurs before its position."""
         low, at, symbol = np.zeros_like(at), at.copy(), np.zeros_like(at)
-        for ones, zeros in zip(self.ranks, self.zeros):
-            bit = ones[at + 1] > ones[at]
-            low1, at1 = ones[low], ones[at]
-            low = np.where(bit, zeros + low1, low - low1)
-            at = np.where(bit, zeros + at1, at - at1)
+        for k in range(self.levels):
+            bit = (self.planes[k][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            low1, at1 = self._rank1(k, low), self._rank1(k, at)
+            low = np.where(bit, self.zeros[k] + low1, low - low1)
+            at = np.where(bit, self.zeros[k] + at1, at - at1)
             symbol = (symbol << 1) | bit
         return symbol, at - low
 
@@ -78,65 +98,21 @@ class WaveletTree:
 class FMIndex:
     """Index of a sequence of symbols: 0 is never searched, each 0 is a symbol of its own, smaller than all others."""
 
-    def __init__(self, seq: np.ndarray, sigma: int, sample: int = SAMPLE):
-        n = self.n = len(seq)
-        self.sigma = sigma
-        void = seq == 0
-        n_void = int(void.sum())
-        # ranks: zeros by position, then the symbols
-        rank = np.where(void, np.cumsum(void) - 1, seq.astype(np.int64) + n_void - 1)
-        suffix = np.flatnonzero(~void)
-        suffix = suffix[np.argsort(rank[suffix], kind="stable")]
-        self._order(rank, suffix, n_void)
-        before = seq[suffix - 1]
-        before = np.where(suffix == 0, 0, before)
-        # rows of zeros come first and are searched by nothing: only their number matters
-        self.first_row = n_void
-        self.tree = WaveletTree(before, max(1, int(sigma).bit_length()))
+    def __init__(self, tree: WaveletTree, begin: np.ndarray, void_before: np.ndarray, stops: np.ndarray, samples: np.ndarray):
+        self.tree, self.begin, self.void_before, self.stops, self.samples = tree, begin, void_before, stops, samples
+        self.sampled = np.concatenate([[0], np.cumsum(np.unpackbits(stops, bitorder="little")[: tree.n], dtype=np.int32)])
+
+    @staticmethod
+    def of(seq: np.ndarray, sigma: int, sample: int = SAMPLE) -> FMIndex:
+        suffix = _suffixes(seq)
+        before = np.where(suffix == 0, 0, seq[suffix - 1])
         counts = np.bincount(seq, minlength=sigma + 1)[: sigma + 1]
         counts[0] = 0
-        self.begin = np.concatenate([[0], np.cumsum(counts)])  # row where a symbol's suffixes begin, zeros left out
-        self.void_before = self._void_ranks(seq, sigma)
+        begin = np.concatenate([[0], np.cumsum(counts)])  # row where a symbol's suffixes begin, zeros left out
+        # of each symbol, how often a zero follows it: those suffixes come first among its own
+        void_before = np.bincount(seq[np.append(seq[1:] == 0, True)], minlength=sigma + 1)[: sigma + 1]
         stop = (suffix % sample == 0) | (before == 0)
-        self.sampled = np.zeros(len(suffix) + 1, np.int32)
-        np.cumsum(stop, out=self.sampled[1:])
-        self.samples = suffix[stop].astype(np.int32)
-
-    def _order(self, rank: np.ndarray, suffix: np.ndarray, n_void: int) -> None:
-        """Sort the suffixes in full, by doubling within groups that are still equal."""
-        n, step = self.n, 1
-        padded = np.concatenate([rank, [-1]])
-        if not len(suffix):
-            return
-        key = padded[suffix]
-        new = np.ones(len(suffix), bool)
-        new[1:] = key[1:] != key[:-1]
-        group = n_void + np.maximum.accumulate(np.where(new, np.arange(len(suffix)), 0))
-        padded[suffix] = group
-        open_ = self._open(new)
-        while len(open_):
-            which = suffix[open_]
-            head = padded[which]
-            tail = padded[np.minimum(which + step, n)]
-            order = np.lexsort((tail, head))
-            which, head, tail = which[order], head[order], tail[order]
-            suffix[open_] = which
-            first = np.ones(len(which), bool)
-            first[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
-            # a new group's rank is the row where it begins
-            padded[which] = n_void + np.maximum.accumulate(np.where(first, open_, 0))
-            alone = first & np.append(first[1:], True)
-            open_ = open_[~alone]
-            step *= 2
-
-    @staticmethod
-    def _open(new: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(~(new & np.append(new[1:], True)))
-
-    def _void_ranks(self, seq: np.ndarray, sigma: int) -> np.ndarray:
-        """Of each symbol, how often a zero follows it: those suffixes come first among its own."""
-        follows = np.append(seq[1:] == 0, True)
-        return np.bincount(seq[follows], minlength=sigma + 1)[: sigma + 1]
+        return FMIndex(WaveletTree.of(before, max(1, int(sigma).bit_length())), begin, void_before, np.packbits(stop, bitorder="little"), suffix[stop].astype(np.int32))
 
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [low, high) of each phrase. ``phrases`` is padded on the left; the last symbols are at the right."""
@@ -149,7 +125,8 @@ class FMIndex:
                 break
             s = phrases[at, width - 1 - k]
             base = self.begin[s] + self.void_before[s]
-            low[at], high[at] = base + self.tree.rank(s, low[at]), base + self.tree.rank(s, high[at])
+            lo, hi = self.tree.rank(s, low[at], high[at])
+            low[at], high[at] = base + lo, base + hi
         return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -166,138 +143,214 @@ class FMIndex:
         return out
 
 
+def _suffixes(seq: np.ndarray) -> np.ndarray:
+    """Where the suffixes that begin with a symbol other than 0 stand, in order."""
+    n = len(seq)
+    void = seq == 0
+    n_void = int(void.sum())
+    where = np.flatnonzero(~void)
+    if not len(where):
+        return where
+    bits = np.uint64(max(1, int(seq.max()).bit_length()))
+    first = 64 // int(bits)  # symbols to a first key
+    padded = np.concatenate([seq.astype(np.uint64), np.zeros(first, np.uint64)])
+    key, alive = padded[where].copy(), np.ones(len(where), bool)
+    for k in range(1, first):
+        s = padded[where + k]
+        alive &= s != 0
+        key = (key << bits) | np.where(alive, s, 0)
+    # runs that a void ends are told apart by its place, which a stable sort keeps
+    order = np.argsort(key, kind="stable")
+    suffix, key, ended = where[order], key[order], ~alive[order]
+    new = np.ones(len(suffix), bool)
+    new[1:] = (key[1:] != key[:-1]) | ended[1:] | ended[:-1]
+    rank = np.zeros(n + 1, np.int64)
+    rank[:-1][void] = np.arange(n_void)
+    rank[n] = -1
+    rank[suffix] = n_void + np.maximum.accumulate(np.where(new, np.arange(len(suffix)), 0))
+    open_, step = np.flatnonzero(~(new & np.append(new[1:], True))), first
+    while len(open_):
+        which = suffix[open_]
+        head = rank[which]
+        tail = rank[np.minimum(which + step, n)]
+        order = np.lexsort((tail, head))
+        which, head, tail = which[order], head[order], tail[order]
+        suffix[open_] = which
+        fresh = np.ones(len(which), bool)
+        fresh[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
+        # a new group's rank is the row where it begins
+        rank[which] = n_void + np.maximum.accumulate(np.where(fresh, open_, 0))
+        open_ = open_[~(fresh & np.append(fresh[1:], True))]
+        step *= 2
+    return suffix
+
+
+class ShardIndex:
+    """The FM-index of a shard's documents with their words; ``dump`` and ``load`` keep it as bytes."""
+
+    def __init__(self, words: np.ndarray, heads: np.ndarray, index: FMIndex):
+        self.words, self.heads, self.index = words, heads, index
+
+    @staticmethod
+    def of(h: np.ndarray, rows: np.ndarray) -> ShardIndex:
+        """``h``: hashes of the words of all documents; ``rows``: where each document's begin."""
+        n = len(rows) - 1
+        words, symbol = np.unique(h, return_inverse=True)
+        seq = np.zeros(len(h) + n, np.int64)
+        seq[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(rows)) + 1] = symbol + 1
+        return ShardIndex(words, rows[:-1] + np.arange(n), FMIndex.of(seq, len(words)))
+
+    def dump(self) -> bytes:
+        f, tree = io.BytesIO(), self.index.tree
+        np.savez(f, words=self.words, heads=self.heads.astype(np.uint32), n=np.int64(tree.n), planes=tree.planes, ones=tree.ones, zeros=tree.zeros,
+                 begin=self.index.begin.astype(np.uint32), void_before=self.index.void_before.astype(np.uint32), stops=self.index.stops, samples=self.index.samples)
+        return f.getvalue()
+
+    @staticmethod
+    def load(raw: bytes) -> ShardIndex:
+        x = np.load(io.BytesIO(raw), allow_pickle=False)
+        long = lambda name: x[name].astype(np.int64)
+        tree = WaveletTree(int(x["n"]), x["planes"], x["ones"], x["zeros"])
+        return ShardIndex(x["words"], long("heads"), FMIndex(tree, long("begin"), long("void_before"), x["stops"], x["samples"]))
+
+    def find(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first word, phrase) of every occurrence."""
+        at = np.searchsorted(self.words, phrases.words)
+        at = np.minimum(at, max(len(self.words) - 1, 0))
+        symbol = np.where(self.words[at] == phrases.words, at + 1, 0) if len(self.words) else np.zeros(len(at), np.int64)
+        table = np.where(phrases.table > 0, symbol[phrases.table - 1], -1)
+        there = np.flatnonzero((table != 0).all(1))  # a phrase with a word that the shard lacks is nowhere
+        low, high = self.index.search(np.maximum(table[there], 0), phrases.lengths[there])
+        times = np.maximum(high - low, 0)
+        which = np.repeat(np.arange(len(low)), times)
+        row = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + low[which]
+        where = self.index.locate(row)
+        doc = np.searchsorted(self.heads, where, side="right") - 1
+        return doc, where - self.heads[doc] - 1, there[which]
+
+
+class Phrases:
+    """Test phrases as arrays, picklable: each a run of places among the distinct words, padded on the left by 0."""
+
+    def __init__(self, hashes: list[np.ndarray], items: np.ndarray):
+        self.lengths = np.array([len(h) for h in hashes], np.int64)
+        self.items = items
+        self.words, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        width, at = int(self.lengths.max()), np.concatenate([[0], np.cumsum(self.lengths)])
+        self.table = np.zeros((len(hashes), width), np.int64)
+        for k in range(width):
+            has = self.lengths > k
+            self.table[has, width - 1 - k] = place[at[1:][has] - 1 - k] + 1
+
+
 def phrases_of(benchmark: DataFrame) -> DataFrame:
     """(phrase array<string>, item_id): distinct test phrases, each with the smallest item that has it."""
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.split(words_of(F.col("text")), " ").alias("w"))
     size = F.size("w")
-    starts = F.when(size >= N, F.sequence(F.lit(1), size - N + 1)).when(size >= LEAST, F.array(F.lit(1)))
+    starts = F.when(size >= N, F.sequence(F.lit(1), size - N + 1)).when(F.col("w")[0] != "", F.array(F.lit(1)))
     grams = items.where(starts.isNotNull()).select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), N).alias("phrase"))
     return grams.groupBy("phrase").agg(F.min("item_id").alias("item_id"))
 
 
-class _Searcher:
-    """Phrases as symbols; picklable, one a task."""
+def _index_batches(batches):
+    task, n = TaskContext.get().partitionId(), 0
 
-    def __init__(self, phrases: list[list[str]], items: list[int]):
-        flat, at = hashed_words(pa.array([" ".join(p) for p in phrases], pa.string()))
-        self.words, symbol = np.unique(flat, return_inverse=True)
-        self.lengths = np.diff(at)
-        width = int(self.lengths.max())
-        self.table = np.zeros((len(phrases), width), np.int64)
-        for k in range(width):
-            has = self.lengths > k
-            self.table[has, width - 1 - k] = symbol[at[1:][has] - 1 - k] + 1
-        self.items = np.array(items, np.int64)
-        self.coarse = np.zeros(1 << 16, bool)
-        self.coarse[(self.words >> np.uint64(48)).astype(np.int64)] = True
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        """Symbol of each word; 0 for a word of no phrase."""
-        out = np.zeros(len(h), np.int64)
-        maybe = np.flatnonzero(self.coarse[(h >> np.uint64(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.words, h[maybe]), len(self.words) - 1)
-        hit = self.words[at] == h[maybe]
-        out[maybe[hit]] = at[hit] + 1
-        return out
+    def done(parts):
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        h, rows = hashed_words(whole.column(2).combine_chunks())
+        list_of = lambda c: pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(c).combine_chunks())
+        arrays = [pa.array([f"{task:06d}-{n:06d}"]), pa.array([len(h)], pa.int64()), list_of(0), list_of(1), pa.array([ShardIndex.of(h, rows).dump()], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["shard", "n_words", "doc_ids", "keys", "index"])
 
-    def shard(self, ids: np.ndarray, keys: np.ndarray, column: pa.Array):
-        """(doc_id, key, start, end, item_id) of the merged spans of a shard."""
-        h, rows = hashed_words(column)
-        n = len(rows) - 1
-        if not len(h):
-            return None
-        # one void symbol before each document parts it from the last
-        doc = np.repeat(np.arange(n), np.diff(rows))
-        seq = np.zeros(len(h) + n, np.int64)
-        seq[np.arange(len(h)) + doc + 1] = self.symbols(h)
-        index = FMIndex(seq, len(self.words))
-        low, high = index.search(self.table, self.lengths)
-        times = np.maximum(high - low, 0)
-        if not times.sum():
-            return None
-        which = np.repeat(np.arange(len(low)), times)
-        row = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + low[which]
-        where = index.locate(row)
-        heads = rows[:-1] + np.arange(n)
-        d = np.searchsorted(heads, where, side="right") - 1
-        start = where - heads[d] - 1
-        end = start + self.lengths[which]
-        item = self.items[which]
-        order = np.lexsort((end, start, d))
-        d, start, end, item = d[order], start[order], end[order], item[order]
-        # running end within a document; a later document's are moved beyond every earlier end
-        far = np.int64(1 << 40)
-        reach = np.maximum.accumulate(end + d * far)
-        new = np.ones(len(d), bool)
-        new[1:] = (start[1:] + d[1:] * far) > reach[:-1]
-        at = np.flatnonzero(new)
-        return ids[d[at]], keys[d[at]], start[at], np.maximum.reduceat(end, at), np.minimum.reduceat(item, at)
-
-
-def _searching(searcher: _Searcher):
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, "words", SHARD_BYTES // 4):
+            held.append(part)
+            size += int(np.ptp(bytes_of(part.column(2))[1]))
+            if size >= SHARD_BYTES:
+                yield done(held)
+                held, size, n = [], 0, n + 1
+    if held:
+        yield done(held)
+
+
+def indexed(docs: DataFrame) -> DataFrame:
+    """(shard, n_words, doc_ids, keys, index): a row for each shard of the documents that have an id and a text."""
+    words = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), key_of(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
+    return arrow_map(words, _index_batches, "shard string, n_words long, doc_ids array<long>, keys array<long>, index binary")
+
+
+def _searching(phrases: Phrases):
     names = ["doc_id", "key", "start", "end", "item_id"]
 
     def run(batches):
-        def done(parts):
-            whole = pa.Table.from_batches(parts).combine_chunks()
-            found = searcher.shard(whole.column(0).to_numpy(), whole.column(1).to_numpy(), whole.column(2).combine_chunks())
-            if found is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names)
-
-        held, size = [], 0
         for batch in batches:
-            for part in slices(batch, "words", SHARD_BYTES // 4):
-                held.append(part)
-                size += int(np.ptp(bytes_of(part.column(2))[1]))
-                if size >= SHARD_BYTES:
-                    yield from done(held)
-                    held, size = [], 0
-        if held:
-            yield from done(held)
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                ids, keys = (one.column(c).flatten().to_numpy() for c in (0, 1))
+                d, start, which = ShardIndex.load(one.column(2)[0].as_buffer().to_pybytes()).find(phrases)
+                if not len(d):
+                    continue
+                end, item = start + phrases.lengths[which], phrases.items[which]
+                order = np.lexsort((end, start, d))
+                d, start, end, item = d[order], start[order], end[order], item[order]
+                # running end within a document; a later document's are moved beyond every earlier end
+                far = np.int64(1 << 40)
+                reach = np.maximum.accumulate(end + d * far)
+                new = np.ones(len(d), bool)
+                new[1:] = (start[1:] + d[1:] * far) > reach[:-1]
+                at = np.flatnonzero(new)
+                found = (ids[d[at]], keys[d[at]], start[at], np.maximum.reduceat(end, at), np.minimum.reduceat(item, at))
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names)
 
     return run
 
 
 def _merged(hits: DataFrame) -> DataFrame:
-    """Merge (doc_id, start, end, item_id) that overlap or touch."""
+    """Merge (doc_id, key, start, end, item_id) that overlap or touch."""
     w = Window.partitionBy("doc_id", "key").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = hits.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("g", F.sum("new").over(w))
     return marked.groupBy("doc_id", "key", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("item_id").alias("item_id")).drop("g")
 
 
-def _joined(words: DataFrame, phrases: DataFrame) -> DataFrame:
-    """The same hits by a sort-merge join on phrases, for phrase sets too large to hold in a task."""
-    lengths = [r["n"] for r in phrases.select(F.size("phrase").alias("n")).distinct().collect()]
-    w = words.select("doc_id", "key", F.split("words", " ").alias("w"))
-    out = None
-    for n in lengths:
-        grams = w.where(F.size("w") >= n).select("doc_id", "key", F.expr(f"transform(array(w), v -> transform(IF(size(v) >= {n}, sequence(1, size(v) - {n} + 1), CAST(array() AS array<int>)), i -> struct(i - 1 AS start, slice(v, i, {n}) AS phrase)))[0]").alias("g")).select("doc_id", "key", F.explode("g").alias("g")).select("doc_id", "key", F.col("g.start").cast("long").alias("start"), F.col("g.phrase").alias("phrase"))
-        hits = grams.join(phrases.where(F.size("phrase") == n).hint("merge"), "phrase").select("doc_id", "key", "start", (F.col("start") + n).alias("end"), "item_id")
-        out = hits if out is None else out.unionByName(hits)
-    return _merged(out)
+def _hash_batches(batches):
+    for batch in batches:
+        h, rows = hashed_words(batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(h.view(np.int64))), *batch.columns[1:]], ["h", "item_id", "part"])
 
 
 _SCHEMA = "doc_id long, key long, start long, end long, item_id long"
 
 
-def _spans(docs: DataFrame, benchmark: DataFrame, most_phrase_bytes: int) -> DataFrame:
-    """Spans with a key of the row's text, so that rows that share a doc_id stay apart."""
-    words = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words"))
+def searched(index: DataFrame, benchmark: DataFrame, at_once: int = PHRASES) -> DataFrame:
+    """(doc_id, key, start, end, item_id) of the removal spans in an index of ``indexed``; it is best stored, as it is read once for each part of the phrases."""
+    spark = index.sparkSession
     phrases = stored(phrases_of(benchmark), "phrases")
     count = phrases.count()
     if not count:
-        return docs.sparkSession.createDataFrame([], _SCHEMA)
-    if count * N * 8 > most_phrase_bytes:
-        return _joined(words, phrases).distinct()
-    got = phrases.orderBy("phrase").collect()
-    searcher = _Searcher([r["phrase"] for r in got], [r["item_id"] for r in got])
-    return arrow_map(words, _searching(searcher), _SCHEMA).distinct()
-
-
-def spans(docs: DataFrame, benchmark: DataFrame, most_phrase_bytes: int = MOST_PHRASE_BYTES) -> DataFrame:
+        return spark.createDataFrame([], _SCHEMA)
+    parts = -(-count // at_once)
+    dealt = phrases.select(F.array_join("phrase", " ").alias("phrase"), "item_id", F.pmod(F.xxhash64("phrase"), F.lit(parts)).cast("int").alias("part"))
+    hashes = stored(arrow_map(dealt, _hash_batches, "h array<long>, item_id long, part int"), "phrase-hashes")
+    out = None
+    for part in range(parts):
+        got = hashes.where(F.col("part") == part).orderBy("h").toArrow().combine_chunks()  # about ``at_once`` of them
+        if not got.num_rows:
+            continue
+        rows = got.column("h").combine_chunks()
+        at, flat = rows.offsets.to_numpy(), rows.flatten().to_numpy().view(np.uint64)
+        found = arrow_map(index.select("doc_ids", "keys", "index"), _searching(Phrases(np.split(flat, at[1:-1] - at[0]), got.column("item_id").to_numpy())), _SCHEMA)
+        if parts > 1:
+            found = stored(found, "hits")
+        out = found if out is None else out.unionByName(found)
+    # rows with one doc_id and one text have the same spans
+    return (out if parts == 1 else _merged(out.distinct())).distinct()
+
+
+def spans(docs: DataFrame, benchmark: DataFrame, at_once: int = PHRASES) -> DataFrame:
     """(doc_id, start, end, item_id): words [start, end) of a document are benchmark text."""
-    return _spans(docs, benchmark, most_phrase_bytes).select("doc_id", "start", "end", "item_id").distinct()
+    return searched(stored(indexed(docs), "fm-index"), benchmark, at_once).select("doc_id", "start", "end", "item_id").distinct()
 
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -319,15 +372,17 @@ def _cut_all(text: pd.Series, cuts: pd.Series) -> pd.Series:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the spans cut from ``text`` and ``n_chars`` (if there) set anew; documents without a span are untouched."""
-    found = _spans(docs, benchmark, MOST_PHRASE_BYTES).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("__cuts"))
+    id_, key = (lambda d: F.coalesce(d["doc_id"].cast("long"), key_of(d["text"]))), (lambda d: key_of(d["text"]))
+    named = docs.select(id_(docs).alias("doc_id"), docs["text"].alias("text"))
+    found = searched(stored(indexed(named), "fm-index"), benchmark).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("__cuts"))
     found = stored(found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__cuts"), "removal-spans")
     ship(docs.sparkSession)
-    out = docs.join(found, (docs["doc_id"] == found["__id"]) & (F.xxhash64(docs["text"]) == found["__key"]), "left")
-    out = out.withColumn("__new", F.pandas_udf(_cut_all, "string")(F.col("text"), F.col("__cuts")))
+    out = docs.join(found, (id_(docs) == found["__id"]) & (key(docs) == found["__key"]), "left")
+    out = out.withColumn("__new", F.pandas_udf(_cut_all, "string")(docs["text"], found["__cuts"]))
     changed = F.col("__cuts").isNotNull()
     return out.select(*(
-        F.when(changed, F.col("__new")).otherwise(F.col("text")).alias("text") if c == "text"
-        else F.when(changed, F.length("__new").cast(t)).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars"
+        F.when(changed, F.col("__new")).otherwise(docs["text"]).alias("text") if c == "text"
+        else F.when(changed, F.length("__new").cast(t)).otherwise(docs["n_chars"]).alias("n_chars") if c == "n_chars"
         else docs[c]
         for c, t in docs.dtypes
     ))

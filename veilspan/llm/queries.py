@@ -57,7 +57,7 @@ SQL = {
         phrase AS (
             SELECT p, min(item_id) AS item_id FROM (
                 SELECT item_id, unnest(CASE WHEN len(w) >= {decontam.N} THEN list_transform(range(1, len(w) - {decontam.N} + 2), lambda i: array_to_string(w[i:i + {decontam.N} - 1], ' '))
-                    WHEN len(w) >= {decontam.LEAST} THEN [array_to_string(w, ' ')] END) AS p FROM item) GROUP BY p),
+                    WHEN w[1] <> '' THEN [array_to_string(w, ' ')] END) AS p FROM item) GROUP BY p),
         len_ AS (SELECT DISTINCT len(string_split(p, ' ')) AS n FROM phrase),
         doc AS (
             SELECT DISTINCT doc_id, string_split(lower(trim(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), ' ') AS w FROM documents WHERE text IS NOT NULL),
