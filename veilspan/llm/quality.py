@@ -1,16 +1,26 @@
 """Quality by hierarchical empirical Bayes.
 
-A document's own evidence is a logistic model over whole-text features. Hosts
-(``source``) and paths under them (``source``/``lang``) get posteriors by grouped
-aggregation over all documents, shrunk to the level above: a host to the global
-rate, a path to its host, the more the fewer documents there are. A document's
-posterior log-odds are its own evidence with its path's rate as the prior.
+A document's own evidence is a logistic model over whole-text features. Hosts and
+paths under them get posteriors by grouped aggregation over all documents, shrunk to
+the level above: a host to the global rate, a path to its host, the more the fewer
+documents there are. What a document tells of its site is its label where it has one,
+and the classifier's probability where not. A document's posterior log-odds are its own
+evidence with its path's rate as the prior.
+
+The host is what ``source`` has before its first slash (a scheme is left out), the path
+the part after it, up to the next; a source without a path has ``lang`` in its place.
 
 Defined results
 * null text counts as empty; an empty text has quality 0 and is rejected;
 * null source or lang are a site of their own; sites without a labelled document
   still have the classifier's evidence;
-* repeated rows and ties: every row is scored for itself;
+* null doc_id: the row is scored and kept or rejected by its text and site, without a label;
+* repeated rows and ties: every row is scored for itself; rows that share a doc_id are
+  told apart by text, source and lang; one at the threshold is kept;
+* labels that contradict each other: the majority counts, a tie is bad; a label counts
+  for every row of its doc_id, the fit takes the one with the smallest key;
+* very long texts are measured whole; clashing names do no harm, as only doc_id, text,
+  source and lang are read;
 * no labels (or of one grade only): the evidence is neutral, nothing but empty text goes;
 * empty tables give empty results; extra columns pass through ``kept``.
 """
@@ -22,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored
+from .common import arrow_map, key_of, stored
 from .kernel import bytes_of, slices, word_hashes, word_spans
 
 #: The classifier is fitted on so many labelled documents at most (those first in hash order of doc_id).
@@ -85,14 +95,14 @@ def _feature_batches(batches):
                 few = part.slice(begin, 60_000)
                 text = few.column(few.schema.get_field_index("text"))
                 x = features(text)
-                keep = [few.column(few.schema.get_field_index(c)) for c in ("doc_id", "source", "lang")]
-                yield pa.RecordBatch.from_arrays([*keep, *(pa.array(x[:, k].astype(np.float32)) for k in range(len(NAMES)))], ["doc_id", "source", "lang", *(f"f_{k}" for k in NAMES)])
+                keep = [few.column(few.schema.get_field_index(c)) for c in ("doc_id", "key", "source", "lang")]
+                yield pa.RecordBatch.from_arrays([*keep, *(pa.array(x[:, k].astype(np.float32)) for k in range(len(NAMES)))], ["doc_id", "key", "source", "lang", *(f"f_{k}" for k in NAMES)])
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, f_*) of every document."""
-    schema = "doc_id long, source string, lang string, " + ", ".join(f"f_{k} float" for k in NAMES)
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), _feature_batches, schema)
+    """(doc_id, key, source, lang, f_*) of every document."""
+    schema = "doc_id long, key long, source string, lang string, " + ", ".join(f"f_{k} float" for k in NAMES)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(F.col("text").cast("string")).alias("key"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), _feature_batches, schema)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
@@ -125,12 +135,22 @@ def _shrinkage(rates: DataFrame, n: str, rate: str, centre) -> float:
     return float(min(max(within / between, 1.0), 1e6))
 
 
+_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)(?:/([^/?#]*))?"
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, lang, evidence, host_rate, path_rate, posterior, keep), a row for each row of ``docs``."""
+    return _scored(docs, labels).drop("key")
+
+
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     base = stored(measured(docs), "quality-features")
-    sample = labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("y")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    told = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") > 0.5).cast("double").alias("y"))
+    sample = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     fs = [f"f_{k}" for k in NAMES]
-    got = base.dropDuplicates(["doc_id"]).select("doc_id", *fs).join(sample, "doc_id").toPandas()
+    # the sample has at most MAX_LABELLED rows, and so has what is joined to it
+    got = base.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by(F.struct(*fs), "key").alias("f")).select("doc_id", "y", "f.*").toPandas()
+    got = got.sort_values("doc_id")  # the order in which tasks end must not matter
     if len(got) and got.y.nunique() > 1:
         w, b, mean, dev = fit(got[fs].to_numpy(np.float64), got.y.to_numpy(np.float64))
         rate = float(np.clip(got.y.mean(), 1e-3, 1 - 1e-3))
@@ -142,23 +162,28 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sigmoid = lambda c: 1 / (1 + F.exp(-c))
     logit = lambda c: F.ln(c / (1 - c))
     one = base.withColumn("odds", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))).withColumn("p", sigmoid(F.col("odds")))
-    path = one.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("rate"))
+    one = one.withColumn("host", F.regexp_extract("source", _URL, 1)).withColumn("path", F.coalesce(F.nullif(F.regexp_extract("source", _URL, 2), F.lit("")), "lang"))
+    path = one.join(told, "doc_id", "left").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("y", "p")).alias("rate"))
     path = stored(path, "quality-sites")
-    host = path.groupBy("source").agg(F.sum("n").alias("host_n"), (F.sum(F.col("n") * F.col("rate")) / F.sum("n")).alias("own"))
+    host = path.groupBy("host").agg(F.sum("n").alias("host_n"), (F.sum(F.col("n") * F.col("rate")) / F.sum("n")).alias("own"))
     all_ = host.agg((F.sum(F.col("host_n") * F.col("own")) / F.sum("host_n")).alias("r")).first()["r"]
     centre = float(np.clip(all_ if all_ is not None else rate, 1e-3, 1 - 1e-3))
     kh = _shrinkage(host, "host_n", "own", F.lit(centre))
     host = host.withColumn("host_rate", (F.col("host_n") * F.col("own") + kh * centre) / (F.col("host_n") + kh))
-    sites = path.join(host.withColumnRenamed("source", "__h"), F.col("source").eqNullSafe(F.col("__h"))).drop("__h")
+    sites = path.join(host.withColumnRenamed("host", "__h"), F.col("host").eqNullSafe(F.col("__h"))).drop("__h")
     kp = _shrinkage(sites, "n", "rate", F.col("host_rate"))
-    sites = sites.withColumn("path_rate", (F.col("n") * F.col("rate") + kp * F.col("host_rate")) / (F.col("n") + kp)).select(F.col("source").alias("__s"), F.col("lang").alias("__l"), "host_rate", "path_rate")
-    out = one.join(sites, F.col("source").eqNullSafe(F.col("__s")) & F.col("lang").eqNullSafe(F.col("__l")), "left")
+    sites = sites.withColumn("path_rate", (F.col("n") * F.col("rate") + kp * F.col("host_rate")) / (F.col("n") + kp)).select(F.col("host").alias("__s"), F.col("path").alias("__l"), "host_rate", "path_rate")
+    out = one.join(sites, F.col("host").eqNullSafe(F.col("__s")) & F.col("path").eqNullSafe(F.col("__l")), "left")
     prior = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("path_rate")))
     posterior = F.when(F.col("f_log_words") == 0, F.lit(0.0)).otherwise(sigmoid(F.col("odds") - float(np.log(centre / (1 - centre))) + logit(prior)))
-    return out.withColumn("posterior", posterior).select("doc_id", "source", "lang", F.col("odds").alias("evidence"), "host_rate", "path_rate", "posterior", (F.col("posterior") >= THRESHOLD).alias("keep"))
+    return out.withColumn("posterior", posterior).select("doc_id", "key", "source", "lang", F.col("odds").alias("evidence"), "host_rate", "path_rate", "posterior", (F.col("posterior") >= THRESHOLD).alias("keep"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    gone = scored(docs, labels).where(~F.col("keep")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows that are not rejected, with all their columns."""
+    gone = _scored(docs, labels).where(~F.col("keep")).select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "key", "source", "lang"))).distinct()
+    there = {"__doc_id": docs["doc_id"].cast("long"), "__key": key_of(docs["text"].cast("string")), "__source": docs["source"].cast("string"), "__lang": docs["lang"].cast("string")}
+    same = None
+    for c, of in there.items():
+        same = of.eqNullSafe(gone[c]) if same is None else same & of.eqNullSafe(gone[c])
+    return docs.join(gone, same, "left_anti")
