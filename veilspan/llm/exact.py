@@ -2,13 +2,17 @@
 
 The index is a Parquet table of (digest, doc_id), bucketed and sorted by digest.
 New documents are reduced to one row a digest, go through a sort-merge anti-join
-against the index, and those that are new are appended. Only digests and ids are
-shuffled; text never is.
+against the index, and those that are new are appended. ``ingest`` and ``duplicates``
+shuffle digests and ids only; ``deduplicated`` moves the documents once, by doc_id, or
+not at all where the list of those that go is small enough for Spark to broadcast it.
+Every append adds one sorted file a bucket; ``compacted`` merges them again.
 
 Defined results
 * null text: never a duplicate, never in the index;
 * empty text: a text like any other;
-* ties: of the documents with one text the smallest doc_id stays;
+* null doc_id: neither in the index nor reported; ``deduplicated`` keeps the row;
+* very long texts: only their digest is kept;
+* ties: a text stays with the document that was ingested first, of one ingest's the smallest doc_id;
 * repeated rows (same doc_id and text): one stays where documents are filtered,
   none is reported as a duplicate of itself;
 * empty tables: empty results;
@@ -51,10 +55,16 @@ class DigestIndex:
         fresh.select("digest", "doc_id").repartition(self.buckets, "digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
+    def compacted(self, path: str) -> DigestIndex:
+        """The same index at another path, with one sorted file a bucket."""
+        new = DigestIndex(self.spark, path, self.buckets)
+        new.append(self.rows())
+        return new
+
 
 def ingest(index: DigestIndex, docs: DataFrame) -> DataFrame:
     """Add ``docs`` to ``index``; returns (doc_id, digest, owner): owner is the document that keeps the text."""
-    slim = stored(docs.where(F.col("text").isNotNull()).select("doc_id", digest_of(F.col("text")).alias("digest")), "digests")
+    slim = stored(docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest")), "digests")
     firsts = slim.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     fresh = firsts.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
     index.append(fresh)

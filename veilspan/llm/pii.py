@@ -17,11 +17,12 @@ scores, if enough values support it; a value by its high-confidence patterns tog
 seeds induced.
 
 Defined results
-* null and empty texts have no candidate; very long texts are read whole;
+* null and empty texts, and rows without a doc_id, have no candidate; very long texts are read whole;
 * ties between kinds of a value: the higher score, then the kind's name;
 * a candidate within a longer accepted one is not reported apart;
 * repeated rows, and a value repeated in a document: one row for (doc_id, kind, value);
-* empty tables, or no seed: empty results; extra columns are ignored.
+  rows of one doc_id with different texts are read as one document;
+* empty tables, or no seed: empty results; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored
+from .common import arrow_map, key_of, stored
 from .kernel import bytes_of, slices, word_spans
 
 #: Letters and digits: of a group within a run, of a run, and of a value that a context without its kind of characters may tell.
@@ -188,13 +189,13 @@ def candidates(words: list[str], hits: list[int]) -> list[tuple[str, list[str],
 def _candidate_batches(batches):
     for batch in batches:
         for part in slices(batch, "text"):
-            ids = part.column(0).to_numpy()
-            data, at = bytes_of(part.column(1))
+            ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
+            data, at = bytes_of(part.column(2))
             begins, lengths, rows = word_spans(data, at, ~_SPACE[data])
             marks = np.concatenate([[0], np.cumsum(_MARK[data], dtype=np.int32)])
             ends = begins + lengths
             marked = marks[ends] > marks[begins]
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             hits = np.flatnonzero(marked)
             row = np.searchsorted(rows, hits, side="right") - 1
             for k in np.unique(row).tolist():
@@ -203,15 +204,16 @@ def _candidate_batches(batches):
                 words = data[int(begins[base]) : int(ends[rows[k + 1] - 1])].tobytes().decode()
                 words = _SPLIT.split(words)
                 for value, patterns, kind, first, stop in candidates(words, (hits[low:high] - base).tolist()):
-                    for col, x in zip(out, (int(ids[k]), value, patterns, kind, first, stop)):
+                    for col, x in zip(out, (int(ids[k]), int(keys[k]), value, patterns, kind, first, stop)):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.string()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64())], ["doc_id", "value", "patterns", "seed", "first", "stop"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["doc_id", "key", "value", "patterns", "seed", "first", "stop"])
 
 
 def extracted(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, kind, value, score) of every identifier found."""
-    text = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = stored(arrow_map(text, _candidate_batches, "doc_id long, value string, patterns array<string>, seed string, first long, stop long"), "candidates")
+    text = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), key_of(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    seen = stored(arrow_map(text, _candidate_batches, "doc_id long, key long, value string, patterns array<string>, seed string, first long, stop long"), "candidates")
     seeds = seen.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
     edges = seen.select(F.explode("patterns").alias("pattern"), "value").distinct()
     # a pattern of fewer values can never have the support
@@ -228,7 +230,7 @@ def extracted(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     best = Window.partitionBy("value").orderBy(F.desc("score"), "kind")
     taken = scores.where(F.col("score") >= ACCEPT).withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
     # what lies within a longer identifier is a part of it
-    inside = Window.partitionBy("doc_id").orderBy("first", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
-    there = seen.select("doc_id", "value", "first", "stop").distinct().join(taken, "value").withColumn("reach", F.max("stop").over(inside))
+    inside = Window.partitionBy("doc_id", "key").orderBy("first", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    there = seen.select("doc_id", "key", "value", "first", "stop").distinct().join(taken, "value").withColumn("reach", F.max("stop").over(inside))
     there = there.where(F.col("reach").isNull() | (F.col("stop") > F.col("reach")))
     return there.select("doc_id", "kind", "value", F.round("score", 6).alias("score")).distinct()

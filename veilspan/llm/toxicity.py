@@ -7,11 +7,16 @@ words being those whose odds of a toxic document stand out most. The model is
 thresholds; x has, for each selected word or beginning of a word, its share of the document's words, and the log of the
 document's length. Every document is scored by its whole text.
 
+The model has at most ``MAX_FEATURES`` features, chosen in Spark among all words and
+beginnings of words of the labelled sample (``MAX_LABELLED`` documents).
+
 Defined results
 * null and empty texts: no word, severity 0, grade 0;
 * no toxic (or only toxic) labels: severity 0 for all;
 * labels of unknown documents or null grades are ignored; of repeated labels the most toxic counts;
-* ties and repeated rows: each row is scored for itself;
+* null doc_id: the row is scored, without a label; ties (features that tell as much): the smaller hash;
+* repeated rows and ids: each row is scored for itself, a label counts for every row of its doc_id;
+* very long texts are read whole; clashing names do no harm, as only doc_id and text are read;
 * empty tables give empty results; extra columns are ignored.
 """
 
@@ -28,7 +33,7 @@ from .kernel import bytes_of, slices, word_hashes, word_spans
 GRADES = 4
 #: The model is fitted on so many labelled documents at most (those first in hash order of doc_id).
 MAX_LABELLED = 20_000
-#: Features that the model may use.
+#: Features that the model may use: its size, which is shipped to every task. All documents' words are read.
 MAX_FEATURES = 4096
 #: Beginnings of words, in bytes, that are features too, each hashed apart from the words.
 PREFIXES = ((5, 0x6A09E667F3BCC908), (7, 0xBB67AE8584CAA73B))
@@ -114,19 +119,15 @@ class OrdinalModel:
         return p
 
 
-def select_words(words: np.ndarray, toxic: np.ndarray, clean: np.ndarray, nt: int, nc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of at least three documents that tell most by the likelihood ratio: hashes (sorted), log odds, signed roots of the ratio."""
-    df, n = toxic + clean, max(nt + nc, 1)
-    odds = np.log((toxic + 0.5) / (nt - toxic + 0.5)) - np.log((clean + 0.5) / (nc - clean + 0.5))
-    g = np.zeros(len(words))
-    for seen, all_, part in ((toxic, nt, df / n), (clean, nc, df / n), (nt - toxic, nt, 1 - df / n), (nc - clean, nc, 1 - df / n)):
-        g += 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(all_ * part, 1e-9))
-    root = np.sign(odds) * np.sqrt(np.maximum(g, 0))
-    root[df < 3] = 0
-    best = np.argsort(-np.abs(root), kind="stable")[:MAX_FEATURES]
-    best = best[np.abs(root[best]) > 3]
-    best = best[np.argsort(words[best], kind="stable")]
-    return words[best], odds[best], root[best]
+def selected(seen: DataFrame, nt: int, nc: int) -> DataFrame:
+    """(h, odds, root) of the features of at least three documents that tell most by the likelihood ratio; ``seen`` is (h, toxic, clean), of nt toxic and nc clean documents."""
+    t, c, n = F.col("toxic").cast("double"), F.col("clean").cast("double"), float(nt + nc)
+    odds = F.log((t + 0.5) / (nt - t + 0.5)) - F.log((c + 0.5) / (nc - c + 0.5))
+    g = F.lit(0.0)
+    for part, all_, share_ in ((t, nt, (t + c) / n), (c, nc, (t + c) / n), (nt - t, nt, 1 - (t + c) / n), (nc - c, nc, 1 - (t + c) / n)):
+        g = g + 2 * part * F.log(F.greatest(part, F.lit(1e-9)) / F.greatest(share_ * float(all_), F.lit(1e-9)))
+    told = seen.where(t + c >= 3).select("h", odds.alias("odds"), (F.signum(odds) * F.sqrt(F.greatest(g, F.lit(0.0)))).alias("root"))
+    return told.where(F.abs("root") > 3).orderBy(F.desc(F.abs("root")), "h").limit(MAX_FEATURES)
 
 
 def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, dense: np.ndarray, grade: np.ndarray, features: int, ridge: float = 0.1, steps: int = 400):
@@ -157,16 +158,18 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, dense: np.nda
 
 def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel | None:
     """Fit on a bounded sample of labelled documents; None where there is nothing to tell apart."""
-    sample = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    sample = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     # the sample's size is bounded by MAX_LABELLED rows of two integers
     some = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     some = stored(some.select("doc_id", F.col("toxic").cast("int").alias("toxic"), words_of(F.col("text")).alias("words")), "toxicity-sample")
     size = {bool(r["t"]): r["n"] for r in some.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return None
-    seen = arrow_map(some, _seen_batches, "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= 3).toPandas()
-    seen = seen.sort_values("h")  # the order in which tasks end must not matter
-    words, odds, z = select_words(seen.h.to_numpy().view(np.uint64), seen.toxic.to_numpy(), seen.clean.to_numpy(), size[True], size[False])
+    seen = arrow_map(some, _seen_batches, "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    best = selected(seen, size[True], size[False]).toPandas()
+    words = best.h.to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    words, odds, z = words[order], best.odds.to_numpy()[order], best.root.to_numpy()[order]
     if not len(words):
         return None
     got = arrow_map(some, _selected_batches(words), "doc_id long, toxic int, n long, k array<int>, c array<int>").toArrow().combine_chunks()
