@@ -40,7 +40,7 @@ from .kernel import bytes_of, hashed_words, slices
 #: Words of a test phrase; a shorter item is one phrase.
 N = 8
 #: Bytes of text to a shard.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 5 << 20
 #: Every so many positions of a shard are kept as suffix samples.
 SAMPLE = 16
 #: Phrases searched at once: what the driver and each task hold.
