@@ -1,10 +1,8 @@
 """The pipeline against the stages done by hand on a small table."""
 
-import re
-
 import corpus_pipeline
 from tests.llm.test_operators import BENCH, SCHEMA, _docs, corpus  # noqa: F401
-from veilspan.llm import quality, simhash
+from veilspan.llm import quality, simhash, tokens
 
 
 def test_pipeline(spark, corpus, tmp_path):  # noqa: F811
@@ -26,9 +24,10 @@ def test_pipeline(spark, corpus, tmp_path):  # noqa: F811
         seen.add(t)
     gone = {r.doc_id for r in simhash.groups(_docs(spark, list(left.items()))).collect()}
     want = {i: t.replace(corpus["item"], "") if i == corpus["leak"] else t for i, t in left.items() if i not in gone}
-    size = {i: len(re.findall(r"\S+", t)) for i, t in want.items()}
-    assert got.groupby("doc_id").n_words.sum().to_dict() == {i: n for i, n in size.items() if n}
-    load = got.groupby("bin").n_words.sum()
+    enc = tokens.encoder()
+    whole = got.sort_values("first_token").groupby("doc_id").tokens.agg(lambda x: [int(v) for a in x for v in a]).to_dict()
+    assert whole == {i: enc.encode_ordinary(t) for i, t in want.items() if t}
+    load = got.groupby("bin").n_tokens.sum()
     assert (load <= 2048).all() and SCHEMA
 
 
