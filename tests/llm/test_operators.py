@@ -482,6 +482,49 @@ def test_substring_of_known_sentences(spark):
     assert set(got) <= set(later)
 
 
+def test_substring_of_edited_passages(spark):
+    """Passages of 80 words with four edits: substitutions, insertions or deletions; their source and edges."""
+    rnd = random.Random(43)
+    rows, want = [], {}
+    for k in range(240):
+        p = _words(rnd, 80, 0, 10**6)
+        rows.append((2 * k, " ".join([*_words(rnd, 50, 0, 10**6), *p, *_words(rnd, 50, 0, 10**6)])))
+        for at in sorted(rnd.sample(range(4, 76), 4), reverse=True):
+            p[at : at + (k % 3 != 1)] = [f"z{rnd.randrange(10**6)}"] if k % 3 < 2 else []
+        rows.append((2 * k + 1, " ".join([*_words(rnd, 70, 0, 10**6), *p, *_words(rnd, 50, 0, 10**6)])))
+        want[2 * k + 1] = (70, 70 + len(p))
+    got = substring.repeats(_docs(spark, rows)).collect()
+    assert all(r.source_doc == r.doc_id - 1 for r in got)
+    found = {}
+    for r in got:
+        a, b = want[r.doc_id]
+        assert a - 2 <= r.start and r.end <= b + 2
+        found[r.doc_id] = found.get(r.doc_id, 0) + r.end - r.start
+    for kind in range(3):
+        ids = [2 * k + 1 for k in range(240) if k % 3 == kind]
+        assert sum(found.get(i, 0) >= 40 for i in ids) >= 75 / 80 * len(ids), (kind, sum(found.get(i, 0) >= 40 for i in ids))
+
+
+def test_substring_sources(spark):
+    """A span names a source that has its words, whatever overlaps it."""
+    rnd = random.Random(47)
+    a, b = _words(rnd, 90, 0, 10**6), _words(rnd, 120, 0, 10**6)
+    some = lambda: _words(rnd, 60, 0, 10**6)
+    rows = [(1, " ".join([*some(), *a, *some()])), (2, " ".join([*a[20:], *b])), (3, " ".join([*some(), *a, *b, *some()]))]
+    rows += [(k, " ".join([*some(), *b[:60], *some()])) for k in range(10, 40)] + [(None, " ".join(a)), (50, " ".join(a[:49]))]
+    words = {i: t.split() for i, t in rows if i is not None}
+    got = substring.repeats(_docs(spark, rows)).collect()
+    for r in got:
+        run = words[r.doc_id][r.start : r.end]
+        there = words[r.source_doc]
+        assert any(there[k : k + len(run)] == run for k in range(len(there))), r
+    cover = {}
+    for r in got:
+        cover.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert len(cover[3] & set(range(60, 270))) >= 205 and len(cover[2]) >= 70
+    assert all(len(cover[k] & set(range(60, 120))) == 60 for k in range(10, 40))
+
+
 def test_compact_windows():
     rnd = np.random.default_rng(23)
     for width in (1, 2, 3, 5, 8, 43):

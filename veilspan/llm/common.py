@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 #: A run of anything that is neither a letter nor a digit parts two words.
 NON_WORD = r"[^\p{L}\p{N}]+"
 
+#: Bits of the maps of ``maybe_in``.
+MAP_BITS = 1 << 25
+
 _ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -94,3 +97,13 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with this package shipped to the workers first."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key may be in ``wanted`` (none that is gets lost), by a bitmap of ``MAP_BITS`` bits of the keys'
+    hashes: a broadcast of 4 MB, whatever the data, that keeps the others from being moved by the join to come."""
+    place = F.pmod(F.xxhash64(*on), F.lit(MAP_BITS))
+    maps = wanted.select(place.alias("h")).groupBy(F.expr("h div 32768").alias("__bucket")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("__bits"))
+    there = rows.withColumn("__h", place).withColumn("__bucket", F.expr("__h div 32768")).join(F.broadcast(maps), "__bucket")
+    byte = "CAST(conv(hex(substring(__bits, CAST((__h % 32768) div 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    return there.where(F.expr(f"getbit({byte}, CAST(__h % 8 AS INT)) = 1")).select(*rows.columns)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, key_of, stored
+from .common import arrow_map, key_of, maybe_in, stored
 from .kernel import bytes_of, slices
 from .tokens import TOKENIZERS, VOCABULARY, Tokenizer, pieces_of, tokenizer
 
@@ -43,8 +43,6 @@ _EDITS = re.compile(
     r"(?P<EMAIL>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)|(?P<PHONE>\+\d{1,2} \(\d{3}\) \d{3}-\d{4})"
     r"|(?P<IP>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]))|(?P<CARD>(?<!\d)\d{16}(?!\d))|(?P<SECRET>(?<![0-9a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}(?![0-9a-f]))"
 )
-#: Bits of the map that tells which documents may have an edit.
-BITS = 1 << 25
 EDITS = "doc_id long, key long, seq int, start int, end int, replacement string"
 
 
@@ -199,21 +197,12 @@ def _apply(folder: str, vocabulary: str):
     return run
 
 
-def _named(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """The rows that an edit may name, by a bitmap of ``BITS`` bits of the edits' keys: a broadcast of 4 MB, whatever the data, that keeps the others from being moved."""
-    place = F.pmod(F.xxhash64("doc_id", "key"), F.lit(BITS))
-    maps = edits.select(place.alias("h")).groupBy(F.expr("h div 32768").alias("__bucket")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("__bits"))
-    there = rows.withColumn("__h", place).withColumn("__bucket", F.expr("__h div 32768")).join(F.broadcast(maps), "__bucket")
-    byte = "CAST(conv(hex(substring(__bits, CAST((__h % 32768) div 8 AS INT) + 1, 1)), 16, 10) AS INT)"
-    return there.where(F.expr(f"getbit({byte}, CAST(__h % 8 AS INT)) = 1")).select(*rows.columns)
-
-
 def edited(docs: DataFrame, trees: DataFrame, edits: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, key, tokens, edits, pieces_encoded, chars, counts, text) of each text that ``edits`` changes, once: its new tree and text; the key is still the old text's."""
     edits = stored(edits, "edits")
     lists = edits.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "end", "replacement"))).alias("edits"))
-    one = _named(trees, edits).groupBy("doc_id", "key").agg(F.any_value("chars").alias("chars"), F.any_value("counts").alias("counts"))
-    touched = _named(_few(docs), edits).join(lists, ["doc_id", "key"]).join(one, ["doc_id", "key"]).select("doc_id", "key", "text", "chars", "counts", "edits").dropDuplicates(["doc_id", "key"])
+    one = maybe_in(trees, edits, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.any_value("chars").alias("chars"), F.any_value("counts").alias("counts"))
+    touched = maybe_in(_few(docs), edits, ["doc_id", "key"]).join(lists, ["doc_id", "key"]).join(one, ["doc_id", "key"]).select("doc_id", "key", "text", "chars", "counts", "edits").dropDuplicates(["doc_id", "key"])
     return arrow_map(touched, _apply(folder, vocabulary), "doc_id long, key long, tokens long, edits long, pieces_encoded long, chars binary, counts binary, text string")
 
 
