@@ -1,12 +1,14 @@
 """From raw documents to packed bins: five stages over all documents.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and
-returns documents; the last returns the bins' pieces. Between stages the documents
-are written as Parquet and read again, which ends their lineage.
+returns documents, with all their columns; the last returns the bins: a row for each
+piece of a document, with its bin, its place in the document and its token ids. Between
+stages the documents are written as Parquet and read again, which ends their lineage.
 
 Handling of nulls, empty and long texts, ties, repeated rows, empty tables and extra
 columns is that of the operators: a null or empty text is rejected by the first
-stage; extra columns travel through to the last.
+stage, and a row without a doc_id goes through to the last, judged by its text; extra
+columns travel up to the last stage, whose pieces name their document by doc_id and key.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their bins."""
-    return packing.packed(docs)
+    """Every document's pieces with their bins and token ids."""
+    return packing.with_tokens(docs, packing.packed(docs))
 
 
 STAGES = [
@@ -50,7 +52,8 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The classifier is fitted iteratively, which SQL can't express; tests/llm holds run() against a brute-force version.
+#: The classifier is fitted iteratively, which SQL can't express. tests/llm takes the documents that the classifier and
+#: SimHash name (both tested on their own), does all else by hand and compares run()'s tokens with that.
 ORACLE_SQL = None
 
 
