@@ -128,8 +128,8 @@ def k_anonymous(value: str, label: str, order: str, k: int = 5, running: bool =
     return f"CASE WHEN {seen} >= {k} THEN {value} ELSE {generalised(value, label)} END"
 
 
-def budget_spent(order: str, partition: str = "1", epsilon: float = 1.0, each: float = 0.1) -> str:
-    """Privacy budget that is left to a row: ``each`` until ``epsilon`` is spent, then 0."""
+def budget_spent(order: str, partition: str, epsilon: float = 1.0, each: float = 0.1) -> str:
+    """Privacy budget that is left to a row of its ``partition`` (a user, say): ``each`` until ``epsilon`` is spent, then 0."""
     return f"greatest(0.0D, least({each}D, {epsilon}D - {each}D * (row_number() OVER (PARTITION BY {partition} ORDER BY {order}) - 1)))"
 
 
@@ -139,6 +139,19 @@ def laplace(value: str, epsilon: str, seed: str, sensitivity: float = 1.0) -> st
     return f"CASE WHEN {epsilon} > 0 THEN {value} - {sensitivity}D / {epsilon} * signum({u}) * ln(1 - 2 * abs({u})) END"
 
 
+def private(value: str, label: str, epsilon: str, seed: str, total: float = 1.0, sensitivity: float = 1.0) -> str:
+    """A value under differential privacy: numbers get noise (ages and counts none below 0), texts are left out as <LABEL>
+    with a probability that falls with the budget spent, or generalised; without budget all are <LABEL>."""
+    tag = f"concat('<', {label}, '>')"
+    draw = f"((pmod(xxhash64({seed}, 'draw'), 1000003) + 0.5D) / 1000003)"
+    noised = f"round({laplace(f'CAST({value} AS DOUBLE)', epsilon, seed, sensitivity)}, 6)"
+    least = f"CASE WHEN upper({label}) IN ('AGE', 'COUNT', 'QUANTITY') THEN greatest(0.0D, {noised}) ELSE {noised} END"
+    return (
+        f"CASE WHEN {epsilon} <= 0 THEN {tag} WHEN {value} RLIKE '^\\\\d+$' THEN CAST({least} AS STRING) "
+        f"WHEN {draw} < least(0.5D, {epsilon} / {total}D) THEN {tag} ELSE {generalised(value, label)} END"
+    )
+
+
 REGISTRY: dict[str, Style] = {
     "mask": strategy_mask, "hash": strategy_hash, "replace": strategy_replace, "brackets": strategy_brackets, "redact": strategy_brackets,
     "synthetic": synthetic, "preserve_format": same_classes, "au_phone": strategy_au_phone, "k_anonymity": generalised,

@@ -35,7 +35,7 @@ def bsb(value: str) -> str:
 
 
 def crn(value: str) -> str:
-    return rf"coalesce(upper(trim({value})) RLIKE '^\\d{{9}}[A-Z]$', false)"
+    return rf"coalesce(upper(regexp_replace({value}, '(?U)^\\s+|\\s+$', '')) RLIKE '^\\d{{9}}[A-Z]$', false)"
 
 
 CHECKS = {"TFN": tfn, "ABN": abn, "ACN": acn, "MEDICARE": medicare, "BSB": bsb, "CENTRELINK_CRN": crn}

@@ -80,9 +80,14 @@ def append_log(events: DataFrame, path: str) -> None:
     events.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").json(path)
 
 
-def query_log(spark, path: str, start: str | None = None, end: str | None = None, **equal: str) -> DataFrame:
+#: Fields of an event; ``day`` is its folder.
+EVENT = """timestamp string, event_id string, event_type string, user_id string, session_id string, operation string, resource string, details map<string,string>,
+compliance_context string, risk_level string, data_classification string, retention_period int, day date"""
+
+
+def query_log(spark, path: str, start: str | None = None, end: str | None = None, schema: str = EVENT, **equal: str) -> DataFrame:
     """Events between two times (both included) with the given field values; a range of days reads only their folders."""
-    log = spark.read.json(path)
+    log = spark.read.schema(schema).json(path)
     if start:
         log = log.where((F.col("day") >= F.to_date(F.lit(start))) & (F.col("timestamp") >= start))
     if end:

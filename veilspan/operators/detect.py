@@ -291,3 +291,33 @@ def routed(spans: str, domain_: str) -> str:
     s = var("s")
     cases = " ".join(f"WHEN '{d}' THEN {s}.source IN ({', '.join(map(quoted, sources))})" for d, sources in ROUTES.items())
     return f"filter({spans}, {s} -> CASE {domain_} {cases} ELSE {s}.source <> 'openmed' END)"
+
+
+class CustomPack:
+    """A user's patterns by label, on top of the bundled pack: a string, a list, or a dict of patterns and validator each."""
+
+    def __init__(self, config: dict[str, str | list[str] | dict] | None = None, bundled: bool = True):
+        self.bundled, self.patterns, self.checks = bundled, {}, {}
+        for label, rule in (config or {}).items():
+            self.add(label, rule)
+
+    def add(self, label: str, rule: str | list[str] | dict) -> None:
+        """Add patterns to a label; a dict's validator bounds the last group's length and characters."""
+        if isinstance(rule, dict):
+            if rule.get("validator"):
+                self.checks[label] = rule["validator"]
+            rule = rule.get("patterns", [])
+        for p in [rule] if isinstance(rule, str) else rule:
+            re.compile(p)
+            self.patterns.setdefault(label, []).append(p)
+
+    def remove(self, label: str) -> bool:
+        self.checks.pop(label, None)
+        return self.patterns.pop(label, None) is not None
+
+    def labels(self) -> list[str]:
+        return sorted({*self.patterns, *(e.label for e in (PACK if self.bundled else ()))})
+
+    def spans(self, text: str, score: float = 0.9) -> str:
+        own = tuple(PackEntry(label, p, score, re.compile(p).groups) for label, ps in self.patterns.items() for p in ps)
+        return custom(text, (PACK if self.bundled else ()) + own, self.checks)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,20 +40,14 @@ def overlaps(gold: DataFrame, predicted: DataFrame, threshold: float = 0.5, same
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
-    """One to one: the pairs of a document by falling overlap, each span used once."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iou", "g_start", "p_start", "g_end", "p_end", "g_label", "p_label"], ascending=[False] + [True] * 6)
-        used_g, used_p, rows = set(), set(), []
-        for r in pdf.itertuples(index=False):
-            g, p = (r.g_start, r.g_end, r.g_label), (r.p_start, r.p_end, r.p_label)
-            if g not in used_g and p not in used_p:
-                used_g.add(g)
-                used_p.add(p)
-                rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    return pairs.groupBy("doc_id").applyInPandas(match, pairs.schema)
+    """One to one: the pairs of a document by falling overlap, each span used once. A document's pairs are one array, folded in the JVM."""
+    cols = pairs.columns
+    order = F.struct((-F.col("iou")).alias("_less"), "g_start", "p_start", "g_end", "p_end", "g_label", "p_label", "iou")
+    rows = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("_r"))
+    span = lambda x, w: f"{x}.{w}_start, {x}.{w}_end, {x}.{w}_label"
+    used = lambda w: f"exists(a, t -> struct({span('t', w)}) = struct({span('x', w)}))"
+    kept = F.expr(f"aggregate(_r, slice(_r, 1, 0), (a, x) -> IF({used('g')} OR {used('p')}, a, concat(a, array(x))))")
+    return rows.select("doc_id", F.explode(kept).alias("_x")).select(*(F.col("doc_id") if c == "doc_id" else F.col(f"_x.{c}").alias(c) for c in cols))
 
 
 def partial(gold: DataFrame, predicted: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -103,22 +96,23 @@ def calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:
     return by.agg((F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")).alias("ece"))
 
 
-def platt_fit(scored: DataFrame, steps: int = 100, rate: float = 0.01) -> DataFrame:
-    """(detector, label, a, b): sigmoid(a * score + b) fitted by damped Newton steps, for 10 scores of a label or more."""
+def platt_of_counts(counts: DataFrame, steps: int = 100, rate: float = 0.01) -> DataFrame:
+    """(detector, label, a, b): sigmoid(a * score + b) fitted by damped Newton steps to (detector, label, score, correct, n)."""
+    import pandas as pd
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        x, y, a, b = pdf.score.to_numpy(float), pdf.correct.to_numpy(float), -1.0, 0.0
+        pdf = pdf.sort_values(["score", "correct"])
+        x, y, n, a, b = pdf.score.to_numpy(float), pdf.correct.to_numpy(float), pdf.n.to_numpy(float), -1.0, 0.0
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
-            h = p * (1 - p)
-            a -= rate * ((p - y) * x).sum() / max((h * x * x).sum(), 1e-10)
-            b -= rate * (p - y).sum() / max(h.sum(), 1e-10)
+            h = n * p * (1 - p)
+            a -= rate * (n * (p - y) * x).sum() / max((h * x * x).sum(), 1e-10)
+            b -= rate * (n * (p - y)).sum() / max(h.sum(), 1e-10)
         return pd.DataFrame([{"detector": pdf.detector.iloc[0], "label": pdf.label.iloc[0], "a": a, "b": b}])
 
-    enough = scored.groupBy("detector", "label").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 10").drop("_n")
-    return scored.join(enough, ["detector", "label"], "left_semi").groupBy("detector", "label").applyInPandas(fit, "detector string, label string, a double, b double")
+    return counts.groupBy("detector", "label").applyInPandas(fit, "detector string, label string, a double, b double")
 
 
 def platt(score: Column, a: Column, b: Column) -> Column:
@@ -130,4 +124,4 @@ def calibrated(spans: DataFrame, params: DataFrame) -> DataFrame:
     own = params.select(F.col("detector").alias("source"), "label", F.col("a").alias("_a"), F.col("b").alias("_b"))
     any_ = params.where("label = '_global'").select(F.col("detector").alias("source"), F.col("a").alias("_ga"), F.col("b").alias("_gb"))
     out = spans.join(own, ["source", "label"], "left").join(any_, "source", "left")
-    return out.withColumn("score", F.coalesce(platt(F.col("score"), F.coalesce("_a", "_ga"), F.coalesce("_b", "_gb")), F.col("score"))).drop("_a", "_b", "_ga", "_gb")
+    return out.withColumn("score", F.when(F.coalesce("_a", "_ga").isNotNull(), platt(F.col("score"), F.coalesce("_a", "_ga"), F.coalesce("_b", "_gb"))).otherwise(F.col("score"))).drop("_a", "_b", "_ga", "_gb")

@@ -74,7 +74,7 @@ def _in(value: str, words: list[str]) -> str:
 
 def keep(value: str, label: str, score: str, before: str, after: str) -> str:
     """Whether a span is no garbage. ``before`` and ``after``: the characters next to it, or ''."""
-    v = f"trim({value})"
+    v = rf"regexp_replace({value}, '(?U)^\\s+|\\s+$', '')"
     low = f"lower({v})"
     medical = f"({_in(label, _MEDICAL_LABELS)} OR {v} RLIKE {quoted(rf'(?iU)\b\w+(?:{"|".join(_SUFFIXES)})\b')} OR {v} RLIKE {quoted(r'(?iU)\d+\s*(?:mg|ml|mcg|g|l|cc|iu|units?)\b')})"
     alnum = lambda c: rf"coalesce({c} RLIKE '^[\\p{{L}}\\p{{N}}]', false)"

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import masking
 from ..functions import spans as S
 from ..functions.spans import quoted, var
-from ..operators import detect, refine, resolve
+from ..operators import detect, models, refine, resolve, stats
 from ..sources.policies import load
 
 log = logging.getLogger(__name__)
@@ -25,7 +25,8 @@ log = logging.getLogger(__name__)
 class Config:
     """What is looked for, how overlaps are settled, and how values are rewritten.
 
-    ``models``: columns (array of spans) that external models filled in.
+    ``models``: columns (array of spans) that external models filled in; their labels are mapped, and spans below
+    ``model_threshold``, or their label's of ``label_thresholds``, are left out.
     ``per_label_actions``: rewrite by the policy's action for the label, not by ``masking_style``.
     ``keep_surrogates``: masks show the policy's action in place of the label.
     """
@@ -50,6 +51,8 @@ class Config:
     keep_surrogates: bool = False
     per_label_actions: bool = False
     models: tuple[str, ...] = ()
+    model_threshold: float = 0.0
+    label_thresholds: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for d in self.detectors:
@@ -60,16 +63,15 @@ class Config:
 
 def medical(**more) -> Config:
     """A preset for clinical text: labels of care weigh as much as identifiers."""
-    return Config(**({"detectors": ("regex", "custom"), "masking_style": "replace", "measured": {"MEDICAL_CONDITION": 0.7, "MEDICATION": 0.7}} | more))
+    return Config(**({"detectors": ("regex", "custom"), "masking_style": "replace", "measured": {"MEDICAL_CONDITION": 0.7, "MEDICATION": 0.7}, "model_threshold": 0.5, "label_thresholds": dict(models.MEDICAL_THRESHOLDS)} | more))
 
 
-def detected(df: DataFrame, config: Config, text: str = "text", out: str = "spans") -> DataFrame:
+def _found(text: str, config: Config) -> str:
     """All spans of every detector, before any is settled."""
     policy = load(config.country, config.overlay)
     parts = []
     if "regex" in config.detectors:
-        custom = dict(config.custom_patterns)
-        parts.append(detect.regex(text, policy, custom, config.country))
+        parts.append(detect.regex(text, policy, dict(config.custom_patterns), config.country))
     if "custom" in config.detectors:
         parts.append(detect.custom(text))
     if "statistical" in config.detectors:
@@ -78,8 +80,22 @@ def detected(df: DataFrame, config: Config, text: str = "text", out: str = "span
         parts.append(detect.gazetteer(text, config.gazetteer))
     if config.block_list:
         parts.append(detect.gazetteer(text, dict.fromkeys(config.block_list, "BLOCKED"), "custom", 1.0))
-    parts += [f"coalesce({m}, {S.EMPTY})" for m in config.models]
-    df = df.withColumn(out, F.expr(f"flatten(array({', '.join(parts)}))" if parts else S.EMPTY))
+    parts += [models.confident(models.relabelled(f"coalesce({m}, {S.EMPTY})"), config.model_threshold, config.label_thresholds) for m in config.models]
+    return f"flatten(array({', '.join(parts)}))" if parts else S.EMPTY
+
+
+def _refined(text: str, spans: str, config: Config) -> str:
+    out = refine.clean(text, refine.allowed(text, spans, list(config.allow_list)))
+    if config.min_length or config.max_length is not None:
+        s = var("s")
+        most = f" AND {s}.end - {s}.start <= {config.max_length}" if config.max_length is not None else ""
+        out = f"filter({out}, {s} -> {s}.end - {s}.start >= {config.min_length}{most})"
+    return f"coalesce({S.in_order(out, longer_first=True)}, {S.EMPTY})"
+
+
+def detected(df: DataFrame, config: Config, text: str = "text", out: str = "spans") -> DataFrame:
+    """All spans of every detector, before any is settled."""
+    df = df.withColumn(out, F.expr(_found(text, config)))
     if config.mode == "auto":
         df = df.withColumn("_domain", F.expr(detect.domain(text, out)))
         df = df.withColumn(out, F.expr(detect.routed(out, "_domain"))).drop("_domain")
@@ -91,15 +107,25 @@ def processed(df: DataFrame, config: Config, text: str = "text", out: str = "spa
     df = detected(df, config, text, out).withColumn(out, F.expr(resolve.winners(out, config.model, config.weights, config.measured)))
     if config.propagate:
         df = df.withColumn(out, F.expr(refine.propagated(text, out, config.propagation_threshold)))
-    spans = refine.clean(text, refine.allowed(text, out, list(config.allow_list)))
-    if config.min_length or config.max_length is not None:
-        s = var("s")
-        most = f" AND {s}.end - {s}.start <= {config.max_length}" if config.max_length is not None else ""
-        spans = f"filter({spans}, {s} -> {s}.end - {s}.start >= {config.min_length}{most})"
-    return df.withColumn(out, F.expr(f"coalesce({S.in_order(spans, longer_first=True)}, {S.EMPTY})"))
+    return df.withColumn(out, F.expr(_refined(text, out, config)))
+
+
+def final(text: str, config: Config) -> str:
+    """``processed`` as one expression over ``text``, for use as a column."""
+    steps = []
+    if config.mode == "auto":
+        steps.append(lambda s: detect.routed(s, detect.domain(text, s)))
+    steps.append(lambda s: resolve.winners(s, config.model, config.weights, config.measured))
+    if config.propagate:
+        steps.append(lambda s: refine.propagated(text, s, config.propagation_threshold))
+    steps.append(lambda s: _refined(text, s, config))
+    out = _found(text, config)
+    for step in steps:
+        out = S.let(out, step)
+    return f"CASE WHEN {text} IS NULL THEN {S.EMPTY} ELSE {out} END"
 
 
-def _rewriter(config: Config):
+def rewriter(config: Config):
     policy = load(config.country, config.overlay)
     action = lambda label: f"coalesce(map({', '.join(f'{quoted(k)}, {quoted(v)}' for k, v in policy.actions.items())})[{label}], {quoted(policy.default)})"
     if config.per_label_actions:
@@ -110,7 +136,7 @@ def _rewriter(config: Config):
 
 def redact(df: DataFrame, config: Config = Config(), text: str = "text", out: str = "redacted_text", spans: str = "spans") -> DataFrame:  # noqa: B008
     """``df`` with the text rewritten in ``out`` and its spans in ``spans``. Null stays null."""
-    return processed(df, config, text, spans).withColumn(out, F.expr(S.splice(text, spans, _rewriter(config))))
+    return processed(df, config, text, spans).withColumn(out, F.expr(S.splice(text, spans, rewriter(config))))
 
 
 def scan(df: DataFrame, config: Config = Config(), text: str = "text") -> DataFrame:  # noqa: B008
@@ -166,8 +192,14 @@ def table_summary(df: DataFrame, config: Config = Config(), columns: list[str] |
 
 
 def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Each text once, with how often it occurs: what to detect on where a corpus repeats itself."""
-    return df.groupBy(text).agg(F.count(F.lit(1)).alias("copies"))
+    """Each text once, with how often it occurs: what to detect on where a corpus repeats itself. Grouped by a digest; null is left out."""
+    keyed = df.where(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias("__digest"))
+    return keyed.agg(F.any_value(text).alias(text), F.count(F.lit(1)).alias("copies")).drop("__digest")
+
+
+def redact_once(df: DataFrame, config: Config = Config(), text: str = "text") -> DataFrame:  # noqa: B008
+    """``redact`` with each distinct text worked on once."""
+    return stats.once(df, lambda d: redact(d, config, text), text)
 
 
 def redact_pandas(spark, frame, config: Config = Config(), columns: list[str] | None = None):  # noqa: B008
@@ -177,12 +209,18 @@ def redact_pandas(spark, frame, config: Config = Config(), columns: list[str] |
     return redact_table(df, config, cols).orderBy("__row").drop("__row").toPandas()
 
 
+def _batch(spark, texts: list, run, result, failed) -> list[dict]:
+    """``result`` of each text by its place in the list; what is no string is not run but gives ``failed`` with an error."""
+    bad = {k: f"not a string: {type(t).__name__}" for k, t in enumerate(texts) if t is not None and not isinstance(t, str)}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts) if k not in bad], "row int, text string")
+    done = {r["row"]: result(r) for r in run(df).collect()} if len(bad) < len(texts) else {}
+    return [failed(t) | {"error": bad[k]} if k in bad else done[k] for k, t in enumerate(texts)]
+
+
 def redact_batch(spark, texts: list[str | None], config: Config = Config()) -> list[dict]:  # noqa: B008
-    """Redact a list; results in its order."""
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row int, text string")
-    return [{"text": r["redacted_text"], "spans": [s.asDict() for s in r["spans"] or []]} for r in redact(df, config).orderBy("row").collect()]
+    """Redact a list; results in its order. An entry that is no string comes back as it is, with its error."""
+    return _batch(spark, texts, lambda df: redact(df, config), lambda r: {"text": r["redacted_text"], "spans": [s.asDict() for s in r["spans"] or []]}, lambda t: {"text": t, "spans": []})
 
 
 def scan_batch(spark, texts: list[str | None], config: Config = Config()) -> list[dict]:  # noqa: B008
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row int, text string")
-    return [r.asDict(recursive=True) for r in scan(df, config).orderBy("row").collect()]
+    return _batch(spark, texts, lambda df: scan(df, config), lambda r: r.asDict(recursive=True), lambda t: {"detections": [], "total_detections": 0, "has_pii": False})

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import html
 import io
 import re
 import zipfile
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,25 +15,96 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import var
 
-TYPES = {"text/plain": "text", "text/csv": "csv", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx"}
+TYPES = {"text/plain": "text", "text/csv": "csv", "application/csv": "csv", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx"}
 
 
 def is_supported(mime: str) -> bool:
     return mime in TYPES
 
 
+def _plain(content: bytes) -> str:
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        return content.decode("latin-1")
+
+
+def text_of(content: bytes, mime: str) -> str:
+    """The text of a file by its type; an unknown type or a broken file is an error."""
+    kind = TYPES.get(mime)
+    if kind is None:
+        raise ValueError(f"unsupported type: {mime}")
+    if kind == "csv":
+        return csv_text(content.decode("utf-8"))
+    if kind == "docx":
+        text = _docx(content)
+        if text is None:
+            raise ValueError("not a DOCX file")
+        return text
+    return _plain(content)
+
+
+def _put(text: str, replacements: list[tuple[str, str]]) -> str:
+    for value, tag in replacements:
+        text = text.replace(value, tag)
+    return text
+
+
+def rebuilt(content: bytes, mime: str, replacements: list[tuple[str, str]]) -> bytes:
+    """The file with every occurrence of each value replaced, in order, its form kept: cells of a CSV stay cells, the text
+    runs of a DOCX keep their style (a value that several runs share becomes the first one's)."""
+    kind = TYPES.get(mime)
+    if kind == "csv":
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([_put(c, replacements) for c in row] for row in csv.reader(io.StringIO(content.decode("utf-8"))))
+        return out.getvalue().encode()
+    if kind == "docx":
+        old, new = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
+        with zipfile.ZipFile(new, "w", zipfile.ZIP_DEFLATED) as z:
+            for item in old.infolist():
+                data = old.read(item)
+                z.writestr(item, _put_docx(data.decode("utf-8"), replacements).encode() if item.filename == "word/document.xml" else data)
+        return new.getvalue()
+    return _put(_plain(content), replacements).encode()
+
+
+_RUN = re.compile(r"(<w:t(?: [^>]*)?>)([^<]*)(</w:t>)")
+
+
+def _put_docx(xml: str, replacements: list[tuple[str, str]]) -> str:
+    def paragraph(m: re.Match) -> str:
+        p = m[0]
+        whole = html.unescape("".join(t for _, t, _ in _RUN.findall(p)))
+        new = _put(whole, replacements)
+        if new == whole:
+            return p
+        first = iter([True])
+        return _RUN.sub(lambda r: r[1] + (html.escape(new, quote=False) if next(first, False) else "") + r[3], p)
+
+    return re.sub(r"<w:p[ >].*?</w:p>", paragraph, xml, flags=re.S)
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): UTF-8, or Latin-1 where it is not."""
     raw = spark.read.format("binaryFile").load(path)
     return raw.select("path", F.coalesce(F.expr("try_validate_utf8(CAST(content AS STRING))"), F.decode("content", "ISO-8859-1")).alias("text"))
 
 
+def csv_text(content: str) -> str:
+    """Comma-separated lines as text: the header after its name, a rule, then the cells of each row with bars between."""
+    rows = list(csv.reader(io.StringIO(content)))
+    shown = [" | ".join(r) + "\n" for r in rows]
+    return "".join(["Headers: " + shown[0], "-" * 50 + "\n", *shown[1:]]) if shown else ""
+
+
 def csv_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): the header, a line, then the cells of each row with bars between."""
-    line = var("l")
-    lines = F.expr(rf"filter(split(text, '\\r?\\n'), {line} -> length({line}) > 0)")
-    shown = F.expr(f"array_join(transform(lines, {line} -> array_join(split({line}, ','), ' | ')), '\\n')")
-    return text_files(spark, path).withColumn("lines", lines).select("path", shown.alias("text"))
+    """(path, text) of CSV files, quoted cells kept whole."""
+
+    @F.pandas_udf("string")
+    def texts(content: pd.Series) -> pd.Series:
+        return content.map(csv_text)
+
+    return text_files(spark, path).select("path", texts("text").alias("text"))
 
 
 def _docx(content: bytes) -> str | None:
@@ -86,6 +160,15 @@ def dictionary_spans(pages: DataFrame, terms: DataFrame) -> DataFrame:
     return both.select("doc_id", "term", F.explode(F.expr(at)).alias("start")).select("doc_id", "start", (F.col("start") + F.length("term")).alias("end"), F.lit("PHI").alias("label")).distinct()
 
 
+def overlay_files(folder: str, company: str) -> dict:
+    """A company's overlay from ``folder``/company.yml or .yaml; nothing where there is none."""
+    for end in ("yml", "yaml"):
+        path = Path(folder) / f"{company}.{end}"
+        if path.is_file():
+            return overlay_of(path.read_text(encoding="utf-8"))
+    return {}
+
+
 def overlay_of(text: str) -> dict:
     """A company overlay from YAML text."""
     import yaml
