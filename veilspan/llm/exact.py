@@ -86,9 +86,11 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
     """The documents that stay, with all their columns. Of repeated rows one stays."""
     lost = _losers(docs, index).select(F.col("doc_id").alias("__lost"), F.col("digest").alias("__digest")).distinct()
     kept = docs.join(lost, (docs["doc_id"] == lost["__lost"]) & (digest_of(docs["text"]) == lost["__digest"]), "left_anti")
-    # only ids that occur twice can be repeated rows; the rest needs no shuffle of text
+    # only ids that occur twice can be repeated rows; where there is none, the documents are read and moved once
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__twice"))
     twice = stored(twice, "repeated-ids")
+    if twice.isEmpty():
+        return kept
     once = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti")
     again = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi")
     return once.unionByName(again.where("text IS NOT NULL").dropDuplicates(["doc_id", "text"])).unionByName(again.where("text IS NULL"))
