@@ -253,11 +253,11 @@ def replacement_maps(spark, d):
 
 
 @query("document_service", rf"""WITH {_TERM_SQL}, k AS (SELECT doc_id, t, CAST(len(regexp_extract_all(t, '(?i)\b{_TERM}\b')) AS INT) AS n FROM d WHERE t IS NOT NULL)
-    SELECT doc_id, doc_id % 10 <> 3 AS success, CASE WHEN doc_id % 10 = 3 THEN 'unsupported type: image/png' END AS error, CASE WHEN doc_id % 10 <> 3 THEN n END AS entities_found, CASE WHEN doc_id % 10 <> 3 THEN CAST(length(t) AS INT) END AS original_size, CASE WHEN doc_id % 10 <> 3 THEN CAST(length(t) + n * 5 AS INT) END AS redacted_text_length FROM k""")
+    SELECT doc_id, doc_id % 10 <> 3 AS success, CASE WHEN doc_id % 10 = 3 THEN 'unsupported type: image/png' END AS error, CASE WHEN doc_id % 10 <> 3 THEN concat_ws(' ', n, length(t), length(t) + n * 5) END AS sizes FROM k""")
 def document_service(spark, d):
     files = texts(spark, d).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.expr("IF(doc_id % 10 = 3, 'image/png', 'text/plain')").alias("content_type"))
     out = service.processed_files(files, _ONLY_TERM)
-    return out.select(F.col("path").cast("long").alias("doc_id"), "success", "error", "entities_found", "original_size", "redacted_text_length")
+    return out.select(F.col("path").cast("long").alias("doc_id"), "success", "error", F.when(F.col("success"), F.concat_ws(" ", "entities_found", "original_size", "redacted_text_length")).alias("sizes"))
 
 
 _PLANTED_ODD = "'call (' || lpad(CAST(c_custkey % 800 + 200 AS VARCHAR(20)), 3, '0') || ') 555-01' || lpad(CAST(c_custkey % 100 AS VARCHAR(20)), 2, '0') || ' or c' || CAST(c_custkey AS VARCHAR(20)) || '@mail.example.org from 10.2.' || CAST(c_custkey % 256 AS VARCHAR(20)) || '.7'"
