@@ -126,10 +126,10 @@ def test_greedy_matches(spark):
 
 
 def test_columns(spark):
-    df = spark.createDataFrame([("SSN 123-45-6789 a@b.org",), (None,), ("",)], "t string")
+    df = spark.createDataFrame([("SSN 123-45-6789, a@b.org",), (None,), ("",)], "t string")
     config = pipeline.Config(masking_style="replace")
     got = df.select(columns.create_udf(config)("t").alias("r"), columns.create_udf(config, "spans")("t").alias("s")).collect()
-    assert [r.r for r in got] == ["SSN <SSN> <EMAIL>", None, ""] and [len(r.s) for r in got] == [2, 0, 0]
+    assert [r.r for r in got] == ["SSN <SSN>, <EMAIL>", None, ""] and [len(r.s) for r in got] == [2, 0, 0]
     same = pipeline.redact(df, config, "t").select("redacted_text").collect()
     assert [r.r for r in got] == [r.redacted_text for r in same]
     columns.register(spark, "redact_it", config)

@@ -15,18 +15,30 @@ from .pipeline import Config, final, rewriter
 SPAN = "array<struct<start:int,end:int,label:string,score:float,source:string>>"
 
 
-def _text(column: str | Column) -> tuple[str, list[Column]]:
+#: Rounds of analysis: each nested lambda takes one, and a whole plan of detectors in one expression has more than Spark's 100.
+ROUNDS = 1000
+
+
+def _room() -> None:
+    """Let the session analyse a column of that depth."""
+    spark, name = SparkSession.getActiveSession(), "spark.sql.analyzer.maxIterations"
+    if spark is not None and int(spark.conf.get(name, "100")) < ROUNDS:
+        spark.conf.set(name, str(ROUNDS))
+
+
+def _text(column: str | Column) -> str:
     """The column's name in SQL, for a column that is a name."""
     if isinstance(column, Column):
         raise TypeError("give the column's name; for an expression add it as a column first")
-    return f"`{column}`", []
+    _room()
+    return f"`{column}`"
 
 
 def redaction_column(config: Config = Config()) -> Callable[[str], Column]:  # noqa: B008
     """A function from a column's name to the redacted text of that column; null stays null."""
 
     def column(name: str) -> Column:
-        text, _ = _text(name)
+        text = _text(name)
         return F.expr(let(final(text, config), lambda s: S.splice(text, s, rewriter(config))))
 
     return column
@@ -36,7 +48,7 @@ def spans_column(config: Config = Config()) -> Callable[[str], Column]:  # noqa:
     """A function from a column's name to its spans; null has none."""
 
     def column(name: str) -> Column:
-        text, _ = _text(name)
+        text = _text(name)
         s = var("s")
         return F.expr(f"CAST(transform({final(text, config)}, {s} -> named_struct('start', {s}.start, 'end', {s}.end, 'label', {s}.label, 'score', {s}.score, 'source', {s}.source)) AS {SPAN})")
 
@@ -53,6 +65,7 @@ def create_udf(config: Config = Config(), returns: str = "redacted") -> Callable
 
 def register(spark: SparkSession, name: str, config: Config = Config(), returns: str = "redacted") -> None:  # noqa: B008
     """A SQL function of one string, for the session: ``SELECT name(text) FROM t``."""
+    _room()
     if returns == "redacted":
         body, kind = let(final("x", config), lambda s: S.splice("x", s, rewriter(config))), "STRING"
     else:

@@ -42,39 +42,45 @@ def processed_files(files: DataFrame, config: Config = Config(), keep_form: bool
     redacted_text_length, redacted_content) of files with path, content and content_type. What can't be read is an error in
     its row; where a file's form can't be kept, its plain text is given."""
 
-    @F.pandas_udf("struct<text:string,error:string>")
-    def extracted(content: pd.Series, mime: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, m in zip(content, mime):
-            try:
-                out.append((documents.text_of(bytes(c), m), None))
-            except Exception as e:  # noqa: BLE001 - of any file, whatever is wrong with it
-                out.append((None, str(e)))
-        return pd.DataFrame(out, columns=["text", "error"])
+    # nodes of their own in the plan: a Python function that a rule moves into a lambda can't be run
 
-    @F.pandas_udf("struct<content:binary,kept:boolean>")
-    def built(content: pd.Series, mime: pd.Series, pairs: pd.Series, plain: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, m, p, t in zip(content, mime, pairs, plain):
-            if not isinstance(t, str):
-                out.append((None, False))
-                continue
-            try:
-                out.append((documents.rebuilt(bytes(c), m, [(x["key"], x["value"]) for x in p]), True))
-            except Exception:  # noqa: BLE001 - the plain text is there
-                out.append((t.encode(), False))
-        return pd.DataFrame(out, columns=["content", "kept"])
+    def extracted(frames):
+        for frame in frames:
+            texts, errors = [], []
+            for c, m in zip(frame["content"], frame["content_type"]):
+                try:
+                    found, wrong = documents.text_of(bytes(c), m), None
+                except Exception as e:  # noqa: BLE001 - of any file, whatever is wrong with it
+                    found, wrong = None, str(e)
+                texts.append(found)
+                errors.append(wrong)
+            yield frame.assign(text=pd.Series(texts, index=frame.index, dtype=object), error=pd.Series(errors, index=frame.index, dtype=object))
 
-    df = files.withColumn("_x", extracted("content", "content_type")).withColumns({"text": F.col("_x.text"), "error": F.col("_x.error")}).drop("_x")
-    df = redact(df, config)
+    def built(frames):
+        for frame in frames:
+            out, kept = [], []
+            for c, m, p, t in zip(frame["content"], frame["content_type"], frame["_m"], frame["redacted_text"]):
+                made, same = None, False
+                if isinstance(t, str):
+                    try:
+                        made, same = documents.rebuilt(bytes(c), m, [(x["key"], x["value"]) for x in p]), True
+                    except Exception:  # noqa: BLE001 - the plain text is there
+                        made = t.encode()
+                out.append(made)
+                kept.append(same)
+            yield frame.drop(columns="_m").assign(redacted_content=pd.Series(out, index=frame.index, dtype=object), _kept=kept)
+
+    files = files.select("path", "content", "content_type")
+    df = files.mapInPandas(extracted, "path string, content binary, content_type string, text string, error string")
+    df = redact(df, config).withColumn("_n", F.size("spans"))
     if keep_form:
-        df = df.withColumn("_m", F.when(F.col("text").isNotNull(), F.map_entries(F.expr(replacement_map()))))
-        df = df.withColumn("_b", built("content", "content_type", "_m", "redacted_text")).withColumns({"redacted_content": F.col("_b.content"), "_kept": F.col("_b.kept")})
+        df = df.withColumn("_m", F.when(F.col("text").isNotNull(), F.map_entries(F.expr(replacement_map())))).drop("spans")
+        df = df.mapInPandas(built, "path string, content binary, content_type string, text string, error string, redacted_text string, _n int, redacted_content binary, _kept boolean")
     else:
         df = df.withColumns({"redacted_content": F.encode("redacted_text", "UTF-8"), "_kept": F.lit(False)})
     ok = F.col("error").isNull()
     told = {
-        "output_format": F.when(F.col("_kept"), "preserved").otherwise("plain_text"), "entities_found": F.size("spans"), "original_size": F.length("content"), "redacted_size": F.length("redacted_content"),
+        "output_format": F.when(F.col("_kept"), "preserved").otherwise("plain_text"), "entities_found": F.col("_n"), "original_size": F.length("content"), "redacted_size": F.length("redacted_content"),
         "extracted_text_length": F.length("text"), "redacted_text_length": F.length("redacted_text"),
     }
     return df.select("path", ok.alias("success"), "error", *(F.when(ok, c).alias(k) for k, c in told.items()), "redacted_content")
