@@ -531,6 +531,31 @@ def test_substring_of_edited_passages(spark):
         assert sum(found.get(i, 0) >= 40 for i in ids) >= 75 / 80 * len(ids), (kind, sum(found.get(i, 0) >= 40 for i in ids))
 
 
+def test_substring_of_passages_met_in_parts_before(spark):
+    """Two documents share a passage whose parts, overlapping ones or its sentences, stand in earlier documents; with an edit, too."""
+    rnd = random.Random(53)
+    some = lambda n: _words(rnd, n, 0, 10**6)
+    rows, want = [], {}
+    for k in range(120):
+        if k % 3 == 0:
+            p = some(90)
+            parts, edited = [p[j : j + 36] for j in range(0, 55, 6)], p
+        else:
+            one, two = some(30), some(30)
+            parts, p = [one, two], one + two
+            edited = one + some(1) + two if k % 3 == 1 else one + two[:6] + some(1) + two[7:]
+        for part in (*parts, p, edited):
+            rows.append((len(rows), " ".join([*some(60), *part, *some(60)])))
+        want[len(rows) - 1] = (k % 3, set(range(60, 60 + len(edited))))
+    got = {}
+    for r in substring.repeats(_docs(spark, rows)).collect():
+        assert r.source_doc < r.doc_id
+        if r.source_doc == r.doc_id - 1:
+            got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    missed = [(kind, i) for i, (kind, words) in want.items() if len(got.get(i, set()) & words) < 40]
+    assert not missed, missed
+
+
 def test_substring_sources(spark):
     """A span names a source that has its words, whatever overlaps it."""
     rnd = random.Random(47)

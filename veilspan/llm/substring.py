@@ -7,13 +7,17 @@ enough for a passage of ``LEAST`` words are kept; their centres are the minima o
 stretches of that width, and their bounds the next smaller centres on either side, so
 only those nodes of the tree are ever made.
 
-Windows with the same minimum under the same function meet. Within a slice of a task
-those with the same ``2 * SIDE`` blocks of ``BLOCK`` words around the centre are linked
-to the one of the smallest doc_id and not sent on, so a passage that a third of all
-documents have costs a row a slice and not a row a document. The others meet by one
-shuffle: each is linked to the first of its minimum and, if fewer than ``SURE`` blocks
-around the two agree, to the first with the same ``WIDE``, and the same ``SURE``, blocks
-around the centre. So a group costs rows and never pairs.
+Windows with the same minimum under the same function meet. The words around a centre
+are cut into ``SIDE`` blocks on either side; where, is told by the words (``CUT``), so
+that the blocks past an insertion or deletion are the same again. Within a slice of a task
+windows with the same ``2 * SIDE`` blocks are copies: they are linked to the one of the
+smallest doc_id and not sent on, so a passage that a third of all documents have costs a
+row a slice and not a row a document. The others meet by one shuffle, all of a minimum in
+one task, and copies among them are treated alike. Each other window is linked, for every
+set of blocks that it shares with an earlier one, to the first that has the set: so many
+blocks before and so many after the centre, and the same with an edit on either side,
+past which ``SURE`` blocks agree again. What two windows share is so found at the one
+that stands for it, however many others share less; a group costs rows and never pairs.
 
 Links of the same two documents along one diagonal are joined to intervals and verified
 by their words: a word agrees if it stands in a run of three that are the same in both
@@ -45,8 +49,8 @@ from .kernel import hashed_words, mix, slices
 #: Words of the shortest passage looked for.
 LEAST = 50
 SHINGLE, HASHES, MIN_HASHES = 6, 4, 1
-#: Words of a block, blocks kept on either side of a centre, and blocks that make a link sure.
-BLOCK, SIDE, WIDE, SURE = 5, 8, 7, 3
+#: One word in so many begins a block, words of a block at most, blocks kept on either side of a centre, blocks that agree past an edit, and blocks that an edit makes of one at most.
+CUT, BLOCK, SIDE, SURE, EDITED = 5, 12, 8, 3, 3
 #: Words off a link's distance that still count, words of a gap, and what makes a passage: its words, and the share that agrees.
 SLACK, GAP, SPAN, SIMILAR = 4, 6, 40, 0.75
 #: Words around the links of an interval that are compared, and words of a chunk and between two.
@@ -134,6 +138,32 @@ def _hashed(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Blocks:
+    """The blocks of a run of words: cut where a word's hash says so, and after ``BLOCK`` words at the latest."""
+
+    def __init__(self, h: np.ndarray):
+        at = np.arange(len(h) + 1)
+        cut = np.append(mix(h ^ np.uint64(_BASE)) % np.uint64(CUT) == 0, True)
+        self.before = np.concatenate([[0], np.maximum.accumulate(np.where(cut, at, 0))[:-1]])  # the last cut before a word
+        self.after = np.concatenate([np.minimum.accumulate(np.where(cut, at, len(h))[::-1])[::-1][1:], [len(h)]])
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(len(h) + 1, _BASE, np.uint64))
+            self.inverse = np.cumprod(np.full(len(h) + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
+
+    def beside(self, at: np.ndarray, edge: np.ndarray, step: int) -> np.ndarray:
+        """A byte for each of the ``SIDE`` blocks from word ``at`` on, in one direction, the nearest lowest; 0 for those that do not end within the document."""
+        packed = np.zeros(len(at), np.uint64)
+        for j in range(SIDE):
+            to = np.maximum(self.before[at], at - BLOCK) if step < 0 else np.minimum(self.after[at], at + BLOCK)
+            inside = (edge - to) * step > 0
+            low, high = (to, at) if step < 0 else (at, to)
+            value = mix((self.sums[high] - self.sums[low]) * self.inverse[low]) % np.uint64(255) + np.uint64(1)
+            packed |= np.where(inside, value, np.uint64(0)) << np.uint64(8 * j)
+            at = np.where(inside, to, at)
+        return packed.view(np.int64)
+
+
 _WINDOW = "key long, doc_id long, place long, before long, after long, source_doc long, source_c int"
 
 
@@ -151,21 +181,13 @@ def _window_batches(least: int, hashes: int):
                     continue
                 begin = np.minimum(rows[:-1], len(sh))
                 end = np.maximum(np.minimum(rows[1:] - SHINGLE + 1, len(sh)), begin)
-                block = (runs_of(h, BLOCK) & np.uint64(255)).astype(np.uint8)
+                blocks = _Blocks(h)
                 for k in range(hashes):
                     g = mix(sh ^ np.uint64(_SALT[k]))
                     row, _, c, _ = compact_windows(g, begin, end, width)
                     if not len(c):
                         continue
-                    sides = []
-                    for side in (-1, 1):
-                        packed = np.zeros(len(c), np.uint64)
-                        for j in range(SIDE):
-                            at = c - BLOCK * (j + 1) if side < 0 else c + SHINGLE + BLOCK * j
-                            ok = (at >= rows[row]) if side < 0 else (at + BLOCK <= rows[row + 1])
-                            value = np.where(ok, block[np.clip(at, 0, len(block) - 1)] | 1, 0)  # 0: no such block
-                            packed |= value.astype(np.uint64) << np.uint64(8 * j)
-                        sides.append(packed.view(np.int64))
+                    sides = [blocks.beside(c, rows[row], -1), blocks.beside(c + SHINGLE, rows[row + 1], 1)]
                     key, doc, at = mix(g[c] ^ np.uint64(k)), ids[row], c - rows[row]
                     head = _first_of(_hashed(key, *sides))
                     linked = doc[head] != doc
@@ -189,14 +211,42 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFr
     return arrow_map(_words(docs), _window_batches(least, hashes), _WINDOW)
 
 
-def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Blocks of one side that agree, from the centre on, without a gap."""
-    out, going = np.zeros(len(x), np.int64), np.ones(len(x), bool)
-    for j in range(SIDE):
-        one, two = ((v >> (8 * j)) & 255 for v in (x, y))
-        going &= (one == two) & (one != 0)
-        out += going
-    return out
+def _narrowed(side: np.ndarray, group: np.ndarray):
+    """(rows, head) by set of blocks of one side: the rows that share it with another of their group, and which of these is the first
+    of them. The sets are the first k blocks, and the first k with the ``SURE`` next ones past 1 to ``EDITED`` others, for all k. Rows
+    that all share the next block as well are left to the larger set."""
+    byte = [(side >> (8 * j)) & 255 for j in range(SIDE)]
+
+    def shared(rows, group):
+        head = _first_of(group) if len(rows) else rows
+        size = np.bincount(head, minlength=len(rows))[head]
+        some = size > 1
+        # heads have others with them, so they are among the rows that are left
+        return rows[some], (np.cumsum(some) - 1)[head[some]], size[some]
+
+    rows, head, size = shared(np.arange(len(side)), group)
+    for k in range(SIDE + 1):
+        narrower = rows[:0], head[:0], size[:0]
+        if k < SIDE:
+            ok = np.flatnonzero(byte[k][rows])
+            narrower = shared(rows[ok], _hashed(head[ok], byte[k][rows[ok]]))
+            largest = np.zeros(len(side), np.int64)
+            largest[narrower[0]] = narrower[2]
+            open_ = np.flatnonzero(largest[rows] < size)
+        else:
+            open_ = np.arange(len(rows))
+        rows, head = rows[open_], (np.cumsum(np.bincount(open_, minlength=len(head))) - 1)[head[open_]]
+        if len(rows):
+            yield rows, head
+            past = [(np.flatnonzero(byte[k + e + SURE - 1][rows]), k + e) for e in range(1, min(EDITED, SIDE - SURE - k) + 1)]
+            if past:
+                classes = np.concatenate([_hashed(head[ok], *(byte[b + j][rows[ok]] for j in range(SURE))) for ok, b in past])
+                ok = np.concatenate([ok for ok, _ in past])
+                order = np.argsort(ok, kind="stable")  # the first of a class stays the first
+                rows, head, _ = shared(rows[ok[order]], classes[order])
+                if len(rows):
+                    yield rows, head
+        rows, head, size = narrower
 
 
 def _link_batches(batches):
@@ -222,29 +272,24 @@ def _link_batches(batches):
     n = len(key)
     if not n:
         return
-    todo = np.ones(n, bool)
 
     def linked(at: np.ndarray, head: np.ndarray):
         other = doc[at] != doc[head]
         at, head = at[other], head[other]
-        todo[at[_agreeing(before[at], before[head]) + _agreeing(after[at], after[head]) >= SURE]] = False
         return told(doc[at], place[at], doc[head], place[head] & 0xFFFFFFFFFF)
 
-    yield linked(np.arange(n), _first_of(key))
-    for total in (WIDE, SURE):
-        for nb in range(total + 1):
-            na = total - nb
-            low, high = (before & ((1 << 8 * nb) - 1)), (after & ((1 << 8 * na) - 1))
-            whole = np.ones(n, bool)
-            if nb:
-                whole &= low >> 8 * (nb - 1) != 0
-            if na:
-                whole &= high >> 8 * (na - 1) != 0
-            rows = np.flatnonzero(whole)
-            if len(rows):
-                head = rows[_first_of(_hashed(key[rows], low[rows], high[rows]))]
-                left = todo[rows]
-                yield linked(rows[left], head[left])
+    # copies go to the first of them, which stands for them in all that follows
+    head = _first_of(_hashed(key, before, after))
+    copy = doc[head] != doc
+    yield linked(np.flatnonzero(copy), head[copy])
+    left = np.flatnonzero(~copy)
+    for one, by_before in _narrowed(before[left], key[left]):
+        found = []
+        for two, first in _narrowed(after[left[one]], by_before):
+            x, y = one[two], one[two[first]]
+            found.append((x * len(left) + y)[doc[left[x]] != doc[left[y]]])
+        found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        yield linked(left[found // len(left)], left[found % len(left)])
 
 
 def _interval_batches(batches):
