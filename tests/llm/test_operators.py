@@ -301,6 +301,24 @@ def test_evolution_beats_its_start():
     assert better >= 5 and gain >= 6, (better, gain)
 
 
+def test_packing_evolves_until_nothing_is_better(spark):
+    """Triplets that fill a bin each, dealt to one cell, as ``packed`` itself evolves them."""
+    enc = tokens.encoder()
+    found = []
+    for seed in (1, 2):
+        rnd = random.Random(seed)
+        size = []
+        for _ in range(200):
+            a, b = rnd.randrange(260, 400), rnd.randrange(260, 340)
+            size += [a, b, 1000 - a - b]
+        texts = [" ".join(["a"] * n) for n in size]
+        assert [len(enc.encode_ordinary(t)) for t in texts] == size
+        got = packing.packed(_docs(spark, list(enumerate(texts))), capacity=1000, cell=1000).toPandas()
+        assert sorted(got.doc_id) == list(range(len(size))) and (got.groupby("bin").n_tokens.sum() <= 1000).all()
+        found.append(got.bin.nunique())
+    assert max(found) <= 203, found  # best-fit decreasing needs 223
+
+
 def test_quality(spark, docs, empty):
     rnd = random.Random(11)
     good = [" ".join(_words(rnd, 60)) + "." for _ in range(150)]

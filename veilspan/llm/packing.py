@@ -7,11 +7,13 @@ each in a task of its own. A chromosome is a list of bins. Crossover injects who
 of one parent, the best filled first, into the other; the bins there that hold an
 injected piece go, and their other pieces are put back by best fit, largest first, after
 an attempt to swap them for smaller ones in the bins that are left. Mutation empties the
-worst filled bins the same way. After each epoch but the last every island gets the next
-island's best chromosome in place of its worst; after the last the cell's best one
-(fewest bins, then most squared fill) counts. The start is best-fit decreasing, which
-the result is never worse than. A cell's evolution ends early only where no packing can
-be better: as few bins as the sum of its pieces allows, and all of them full but one.
+worst filled bins the same way. An island's epoch goes on until ``PATIENCE`` children in a
+row bring nothing better; then every island gets the next island's best chromosome in
+place of its worst. A cell's evolution ends when an epoch after such a migration betters
+its best chromosome (fewest bins, then most squared fill) on none of its islands, or where
+no packing can be better: as few bins as the sum of its pieces allows, and all of them full
+but one. No number of epochs or children is set. The start is best-fit decreasing, which
+the result is never worse than.
 
 ``with_tokens`` puts the pieces' token ids to their bins.
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import pickle
 from bisect import bisect_left, insort
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,8 +49,8 @@ from .tokens import TOKENIZERS, VOCABULARY, tokenizer
 CAPACITY = 2048
 #: Pieces to a cell, islands to a cell, chromosomes to an island.
 CELL, ISLANDS, POPULATION = 1024, 3, 4
-#: Rounds of evolution, with a migration between them, and children to a round.
-EPOCHS, CHILDREN = 2, 4
+#: Children in a row that bring nothing better, after which an island's epoch ends.
+PATIENCE = 16
 
 Bins = list[tuple[int, tuple[int, ...]]]
 
@@ -79,35 +82,50 @@ def swapped(bins: Bins, loose: list[int], size: list[int], capacity: int) -> tup
     held = [list(b[1]) for b in bins]
     load = [b[0] for b in bins]
     left = []
+    outs: list[tuple[int, ...]] = []  # what may go: one or two pieces of a bin
+    where: list[int] = []
+    begins = {}
+
+    def offer(k: int) -> None:
+        begins[k] = len(outs)
+        outs.extend((one,) for one in held[k])
+        outs.extend((one, two) for i, one in enumerate(held[k]) for two in held[k][i + 1 :])
+        where.extend([k] * (len(outs) - len(where)))
+
+    for k, n in enumerate(load):
+        if n < capacity:
+            offer(k)
+    # a bin whose pieces change has what it offers anew at the end; there are as many changes as loose pieces at most
+    sums = np.array([sum(size[o] for o in out) for out in outs], np.int64)
+    rooms = capacity - np.array(load, np.int64)[where] if where else np.zeros(0, np.int64)
     for p in loose:
-        s, best = size[p], None
+        s = size[p]
         if 4 * s <= capacity:
             left.append(p)
             continue
-        for k, n in enumerate(load):
-            room = capacity - n
-            if room <= 0 or room >= s:
-                continue
-            for out in held[k]:
-                gain = s - size[out]
-                if 0 < gain <= room and (best is None or gain - room > best[0]):
-                    best = (gain - room, k, (out,))
-            if best and best[0] == 0:
-                break
-            for i, one in enumerate(held[k]):
-                for two in held[k][i + 1 :]:
-                    gain = s - size[one] - size[two]
-                    if 0 < gain <= room and (best is None or gain - room > best[0]):
-                        best = (gain - room, k, (one, two))
-        if best is None:
+        gain = s - sums
+        # the room that is left after the change: the less, the better
+        after = rooms - gain
+        fits = np.flatnonzero((gain > 0) & (after >= 0) & (rooms < s))
+        if not len(fits):
             left.append(p)
             continue
-        _, k, out = best
+        at = int(fits[np.argmin(after[fits])])
+        k, out = where[at], outs[at]
         for o in out:
             held[k].remove(o)
         held[k].append(p)
         load[k] += s - sum(size[o] for o in out)
         left += out
+        n = begins[k]
+        while n < len(where) and where[n] == k:
+            n += 1
+        sums[begins[k] : n] = 1 << 40  # gone: no piece is larger
+        if load[k] < capacity:
+            first = len(outs)
+            offer(k)
+            sums = np.concatenate([sums, [sum(size[o] for o in out) for out in outs[first:]]])
+            rooms = np.concatenate([rooms, np.full(len(outs) - first, capacity - load[k])])
     left.sort(key=lambda p: (-size[p], p))
     return [(n, tuple(h)) for n, h in zip(load, held)], left
 
@@ -145,20 +163,23 @@ def mutate(bins: Bins, size: list[int], capacity: int, rng: np.random.Generator)
     return best_fit(*swapped([b for i, b in enumerate(ranked) if i >= k and i != other], loose, size, capacity), size, capacity)
 
 
-def evolve(population: list[Bins], size: list[int], capacity: int, seed: tuple[int, ...], children: int = CHILDREN) -> list[Bins]:
-    """One epoch; best first."""
+def evolve(population: list[Bins], size: list[int], capacity: int, seed: tuple[int, ...], children: int = PATIENCE) -> list[Bins]:
+    """One epoch, until so many children in a row bring nothing better than the best; best first."""
     rng = np.random.default_rng(seed)
     least = -(-sum(size) // capacity)
-    population = sorted(population, key=lambda b: fitness(b, capacity), reverse=True)
-    for _ in range(children):
-        if len(population[0]) <= least and sum(n < capacity for n, _ in population[0]) <= 1:
+    people = sorted(((fitness(b, capacity), b) for b in population), key=lambda x: x[0], reverse=True)
+    idle = 0
+    while idle < children:
+        best, bins = people[0]
+        if len(bins) <= least and sum(n < capacity for n, _ in bins) <= 1:
             break  # no packing is better
-        i, j = rng.choice(len(population), 2, replace=False)
-        child = mutate(crossover(population[i], population[j], size, capacity, rng), size, capacity, rng)
-        population.append(child)
-        population.sort(key=lambda b: fitness(b, capacity), reverse=True)
-        population.pop()
-    return population
+        i, j = rng.choice(len(people), 2, replace=False)
+        child = mutate(crossover(people[i][1], people[j][1], size, capacity, rng), size, capacity, rng)
+        people.append((fitness(child, capacity), child))
+        people.sort(key=lambda x: x[0], reverse=True)
+        people.pop()
+        idle = 0 if people[0][0] > best else idle + 1
+    return [b for _, b in people]
 
 
 def first_population(size: list[int], capacity: int, seed: tuple[int, ...], n: int = POPULATION) -> list[Bins]:
@@ -217,8 +238,8 @@ def _epoch(capacity: int, epoch: int):
                     people[-1] = pickle.loads(r.best)
                 people = evolve(people, size, capacity, (int(r.cell), int(r.island), epoch + 1))
                 fit = fitness(people[0], capacity)
-                rows.append((r.cell, r.island, r.items, pickle.dumps(people), pickle.dumps(people[0]), fit[0], fit[1]))
-            yield pd.DataFrame(rows, columns=["cell", "island", "items", "population", "best", "fewest", "fill"])
+                rows.append((r.cell, r.island, r.items, pickle.dumps(people), pickle.dumps(people[0]), r.top, fit[0], fit[1]))
+            yield pd.DataFrame(rows, columns=["cell", "island", "items", "population", "best", "top", "fewest", "fill"])
 
     return run
 
@@ -233,7 +254,7 @@ def _unpacked(frames):
         yield pd.DataFrame(out, columns=["bin", "named", "doc_id", "key", "part", "n_tokens", "bin_tokens"])
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands: int = ISLANDS) -> DataFrame:
     """(bin, doc_id, key, part, first_token, n_tokens, bin_tokens): every piece and its bin."""
     ship(docs.sparkSession)
     all_ = stored(pieces(docs, capacity), "pieces")
@@ -248,16 +269,23 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands:
     same = rest.groupBy("named", "doc_id", "key", "part", "n_tokens").agg(F.count(F.lit(1)).alias("rows")).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows")
     dealt = same.select("named", "doc_id", "key", "part", "n_tokens", F.pmod(F.xxhash64("doc_id", "key", "part", "row"), F.lit(cells)).cast("long").alias("cell"))
     state_schema = "cell long, island int, items binary, population binary, best binary"
-    state = dealt.groupBy("cell").applyInPandas(_begin(capacity, islands), state_schema)
-    done_schema = state_schema + ", fewest int, fill double"
-    for epoch in range(epochs):
+    state = dealt.groupBy("cell").applyInPandas(_begin(capacity, islands), state_schema).withColumn("top", F.lit(None).cast("struct<fewest:int,fill:double>"))
+    done_schema = state_schema + ", top struct<fewest:int,fill:double>, fewest int, fill double"
+    settled, epoch = [], 0
+    ring = Window.partitionBy("cell").orderBy("island")
+    while True:
         state = state.repartition(F.col("cell"), F.col("island"))  # the islands of a cell evolve in different tasks
-        state = state.mapInPandas(_epoch(capacity, epoch), done_schema)
-        ring = Window.partitionBy("cell").orderBy("island")
+        state = stored(state.mapInPandas(_epoch(capacity, epoch), done_schema), "islands")
+        now = F.max(F.struct("fewest", "fill")).over(Window.partitionBy("cell"))
+        state = state.withColumn("now", now).withColumn("open", F.col("top").isNull() | (F.col("now") > F.col("top")))
+        settled.append(state.where("not open").groupBy("cell").agg(F.max_by(F.struct("items", "best"), F.struct("fewest", "fill", -F.col("island"))).alias("b")).select("cell", "b.items", "b.best"))
+        state = state.where("open")
+        if state.isEmpty():
+            break
         next_ = F.coalesce(F.lead("best").over(ring), F.first("best").over(ring))
-        if epoch < epochs - 1:
-            state = state.select("cell", "island", "items", "population", next_.alias("best"))
-    won = state.groupBy("cell").agg(F.max_by(F.struct("items", "best"), F.struct("fewest", "fill", -F.col("island"))).alias("b")).select("cell", "b.items", "b.best")
+        state = state.select("cell", "island", "items", "population", next_.alias("best"), F.col("now").alias("top"))
+        epoch += 1
+    won = reduce(DataFrame.unionByName, settled)
     bins = won.mapInPandas(_unpacked, "bin string, named boolean, doc_id long, key long, part long, n_tokens long, bin_tokens long").withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
     return bins.unionByName(full).select("bin", "doc_id", "key", "part", (F.col("part") * capacity).alias("first_token"), "n_tokens", "bin_tokens")
 
