@@ -142,6 +142,36 @@ def test_simhash_recall_at_the_threshold(spark):
     assert len(got & want) >= 0.85 * len(want)
 
 
+def test_simhash_loses_no_pair_at_the_threshold(spark):
+    """All pairs at exactly THRESHOLD bits, spread evenly over the blocks or not, and none beyond; any difference within it is covered."""
+    rnd = np.random.default_rng(8)
+    rows, want = [], set()
+    for k in range(1500):
+        bits = rnd.random(simhash.BITS) < 0.5
+        other = bits.copy()
+        if k % 2:  # as even as can be: 3 or 4 bits in each block
+            more = set(rnd.choice(simhash.BLOCKS, simhash.THRESHOLD % simhash.BLOCKS, replace=False).tolist())
+            flip = np.concatenate([simhash.WIDTH * j + rnd.choice(simhash.WIDTH, simhash.THRESHOLD // simhash.BLOCKS + (j in more), replace=False) for j in range(simhash.BLOCKS)])
+        else:
+            flip = rnd.choice(simhash.BITS, simhash.THRESHOLD + (k % 4 == 2), replace=False)
+        other[flip] ^= True
+        for j, b in enumerate((bits, other)):
+            blocks = (b.reshape(simhash.BLOCKS, simhash.WIDTH) * (1 << np.arange(simhash.WIDTH))).sum(1)
+            rows.append((2 * k + j, *(int((blocks[2 * m] << simhash.WIDTH) | blocks[2 * m + 1]) for m in range(4))))
+        if len(flip) <= simhash.THRESHOLD:
+            want.add((2 * k, 2 * k + 1))
+    fingers = spark.createDataFrame(rows, "doc_id long, a long, b long, c long, d long")
+    assert {(r.x, r.y) for r in simhash.near_pairs(fingers).collect()} == want
+    assert {(r.x, r.y) for r in simhash.near_pairs(fingers, joining=True).collect()} == want
+    for threshold in (0, 5, 7, 20, simhash.THRESHOLD):
+        anchors = simhash.covering(threshold)
+        for _ in range(300):
+            flip = np.zeros(simhash.BITS, bool)
+            flip[rnd.choice(simhash.BITS, threshold, replace=False)] = True
+            blocks = (flip.reshape(simhash.BLOCKS, simhash.WIDTH) * (1 << np.arange(simhash.WIDTH))).sum(1)
+            assert any(int(blocks[block]) & mask == 0 for block, mask in anchors)
+
+
 def test_simhash_joins_dense_anchors():
     """What is joined at an anchor with thousands of near copies is what all its pairs join."""
     rnd = np.random.default_rng(6)

@@ -1,21 +1,19 @@
 """SimHash near-duplicates found by anchor-point covering.
 
 A document's fingerprint is the SimHash of the set of its words: eight blocks of 23
-bits. The binary Golay code (2^12 words, covering radius 3, perfect) covers each
-block; the anchors are its words in every one block, or, for more than ``MOST_AT_ONE``
-distinct fingerprints, the products of its words in every two blocks, so that the
-fingerprints at an anchor stay few as the corpus grows (a 4096th, or a 2^24th, of all).
-A fingerprint is at home at the nearest anchor of each choice of blocks, and is
-replicated to every anchor that lies within the covering radius plus ``EXCESS`` of it in
-each of the blocks. At each anchor the fingerprints at home are compared, in full, with
-all that were replicated there.
-
-The threshold is of all 184 bits, the anchors' distance of single blocks: two
-fingerprints within ``THRESHOLD`` meet unless their difference is spread evenly over the
-blocks. Of random pairs at exactly 8, 20, 24 and 28 bits there met, with one block,
-1.000, 1.000, 0.998 and 0.991; with two, 1.000, 0.994, 0.968 and 0.89 (4,000 pairs each;
-tests/llm has the least that must be found). Replicas: 43 a fingerprint with one block,
-about 790 with two.
+bits. Of two fingerprints within ``THRESHOLD`` of all bits, some block differs in few: the
+blocks have radii (3 for five of them and 2 for three), one more than which, added up, is
+more than the threshold. The anchors cover each block to its radius: an anchor is the
+block's bits under a mask, and the masks of a block are such that any difference within
+the radius lies outside of one of them (Pagh, 2016: the bits are given the nonzero vectors
+of r + 1 bits, and a mask has those whose product with one vector is odd; 15 masks for
+radius 3, 7 for radius 2). So all pairs within the threshold meet at an anchor, on tables
+of any size, and are compared there in full: none is lost. Anchors: 96 a fingerprint. The
+pairs compared are some 2 % of all where bits are even, so they grow with the square of
+the distinct fingerprints, whatever little a pair costs.
+
+``wide`` asks for approximate anchors instead, of Golay codewords (2^12 words of 23 bits,
+covering radius 3) of so many blocks; no query uses them.
 
 Before that, equal fingerprints are collapsed to one, and after it the pairs are
 joined into groups by connected components, so that thousands of copies cost no
@@ -52,10 +50,8 @@ BITS = BLOCKS * WIDTH
 THRESHOLD = 28
 #: Covering radius of the code; a fingerprint goes to the anchors within it plus this.
 RADIUS, EXCESS = 3, 1
-#: Distinct fingerprints up to which one block is enough to keep anchors small.
-MOST_AT_ONE = 1 << 24
-#: Pairs compared at once, and rows of an anchor from which on clusters are looked for first.
-AT_ONCE, DENSE = 1 << 20, 4096
+#: Pairs compared at once, rows of an anchor from which on clusters are looked for first, and up to which anchors are compared side by side.
+AT_ONCE, DENSE, SMALL = 1 << 20, 4096, 64
 LANES = ("a", "b", "c", "d")
 
 _POLY = 0b101011100011
@@ -179,6 +175,48 @@ def _anchor_batches(wide: int):
     return run
 
 
+def covering(threshold: int) -> list[tuple[int, int]]:
+    """(block, mask) of all anchors: two fingerprints within the threshold are equal in the block under one of the masks at least."""
+    radius, more = divmod(threshold + 1 - BLOCKS, BLOCKS)
+    out = []
+    for block in range(BLOCKS):
+        n = 1 << (radius + (block < more) + 1)
+        # each bit's vector: all nonzero ones in turn; the rest have the top bit, so that they fall to all masks evenly
+        vectors = [1 + i % (n - 1) if i < WIDTH // (n - 1) * (n - 1) else n // 2 + i % (n // 2) for i in range(WIDTH)] if n > 1 else []
+        out += [(block, sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() & 1)) for v in range(1, n)]
+    return out
+
+
+def _covering_batches(threshold: int):
+    low, anchors = (1 << WIDTH) - 1, covering(threshold)
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
+                cols = [part.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+                blocks = [x for c in cols[1:] for x in (c >> WIDTH, c & low)]
+                key = np.concatenate([(blocks[block] & mask) | nth << WIDTH for nth, (block, mask) in enumerate(anchors)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(len(key), bool)), *(pa.array(np.tile(c, len(anchors))) for c in cols)], ["anchor", "home", "doc_id", *LANES])
+
+    return run
+
+
+def _beside(lanes: list[np.ndarray], begin: np.ndarray, at: np.ndarray, threshold: int):
+    """Near pairs of rows ``at`` and rows before them at the same anchor, which begins at ``begin``."""
+    lag = 1
+    while True:
+        at = at[at - lag >= begin[at]]
+        if not len(at):
+            return
+        far = sum(np.bitwise_count(c[at] ^ c[at - lag]) for c in lanes[:2])
+        some = at[far <= threshold]
+        some = some[sum(np.bitwise_count(c[some] ^ c[some - lag]) for c in lanes) <= threshold]
+        if len(some):
+            yield some, some - lag
+        lag += 1
+
+
 def _near(here: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: int):
     """Pairs of rows (one of x, one of y) within the threshold, block by block."""
     step = max(1, AT_ONCE // max(len(y), 1))
@@ -232,19 +270,27 @@ def _met_batches(threshold: int, joining: bool):
         edges = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
         at_home = np.add.reduceat(home.astype(np.int64), edges[:-1])
         found, size = [], 0
-        for begin, end, n in zip(edges[:-1].tolist(), edges[1:].tolist(), at_home.tolist()):
-            if not n or end - begin < 2:
-                continue
-            here = [c[begin:end] for c in lanes]
-            pairs = _clustered(here, threshold) if joining and end - begin > DENSE else _near(here, np.arange(n), np.arange(end - begin), threshold)
-            for x, y in pairs:
-                one, two = ids[begin + x], ids[begin + y]
-                both = np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
-                found.append(_tree(both) if joining and len(both) > 4096 else both)
-                size += len(found[-1])
-                if size > AT_ONCE:
-                    found = [_tree(np.concatenate(found)) if joining else np.unique(np.concatenate(found), axis=0)]
-                    size = 0
+        rows = np.diff(edges)
+        # small anchors whose rows are all at home are compared side by side, the others one by one
+        small = (at_home == rows) & (rows <= SMALL)
+
+        def pairs():
+            yield from _beside(lanes, np.repeat(edges[:-1], rows), np.flatnonzero(np.repeat(small, rows)), threshold)
+            for begin, end, n in zip(edges[:-1][~small].tolist(), edges[1:][~small].tolist(), at_home[~small].tolist()):
+                if not n or end - begin < 2:
+                    continue
+                here = [c[begin:end] for c in lanes]
+                for x, y in _clustered(here, threshold) if joining and end - begin > DENSE else _near(here, np.arange(n), np.arange(end - begin), threshold):
+                    yield begin + x, begin + y
+
+        for x, y in pairs():
+            one, two = ids[x], ids[y]
+            both = np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
+            found.append(_tree(both) if joining and len(both) > 4096 else both)
+            size += len(found[-1])
+            if size > AT_ONCE:
+                found = [_tree(np.concatenate(found)) if joining else np.unique(np.concatenate(found), axis=0)]
+                size = 0
         if found:
             both = np.concatenate(found)
             both = _tree(both) if joining else np.unique(both, axis=0)
@@ -254,10 +300,9 @@ def _met_batches(threshold: int, joining: bool):
 
 
 def near_pairs(fingers: DataFrame, threshold: int = THRESHOLD, joining: bool = False, wide: int | None = None) -> DataFrame:
-    """(x, y), x < y: ids of distinct fingerprints within ``threshold`` bits that met at an anchor; if ``joining``, only
-    pairs that join the same documents. ``wide`` is the number of blocks to an anchor, by the number of rows if not given."""
-    wide = wide or (1 if fingers.count() <= MOST_AT_ONE else 2)
-    there = arrow_map(fingers.select("doc_id", *LANES), _anchor_batches(wide), "anchor long, home boolean, doc_id long, a long, b long, c long, d long")
+    """(x, y), x < y: ids of all distinct fingerprints within ``threshold`` bits of each other; if ``joining``, only pairs
+    that join the same documents. ``wide`` is for approximate anchors, of so many blocks."""
+    there = arrow_map(fingers.select("doc_id", *LANES), _anchor_batches(wide) if wide else _covering_batches(threshold), "anchor long, home boolean, doc_id long, a long, b long, c long, d long")
     return arrow_map(there.repartition("anchor"), _met_batches(threshold, joining), "x long, y long").distinct()
 
 
