@@ -1,5 +1,7 @@
 """The pipeline against the stages done by hand on a small table."""
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm.test_operators import BENCH, SCHEMA, _docs, corpus  # noqa: F401
 from veilspan.llm import quality, simhash, tokens
@@ -33,3 +35,21 @@ def test_pipeline(spark, corpus, tmp_path):  # noqa: F811
 
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "simhash near-dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_near_dedup_is_brute_force(spark):
+    """What the stage keeps is one document of each group that all pairs within the threshold make."""
+    rnd = np.random.default_rng(61)
+    rows = []
+    for k in range(1500):
+        w = [f"w{x}" for x in rnd.integers(0, 10**6, 120)]
+        rows.append((2 * k, " ".join(w)))
+        for at in rnd.choice(120, 11, replace=False):
+            w[at] = f"z{rnd.integers(0, 10**6)}"
+        rows.append((2 * k + 1, " ".join(w)))
+    docs = _docs(spark, rows).repartition(4).cache()
+    found = simhash.fingerprinted(docs).toPandas().sort_values("doc_id")
+    lanes = found[list(simhash.LANES)].to_numpy().astype(np.uint64)
+    gone = {j for i in range(len(lanes)) for j in (i + 1 + np.flatnonzero(np.bitwise_count(lanes[i] ^ lanes[i + 1 :]).sum(1) <= simhash.THRESHOLD)).tolist()}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert len(gone) > 500 and kept == set(range(len(rows))) - gone, (len(gone), len(kept & gone))
