@@ -331,6 +331,42 @@ def test_evolution_beats_its_start():
     assert better >= 5 and gain >= 6, (better, gain)
 
 
+def _swapped_plainly(bins, loose, size, capacity):
+    """Every offer of every bin looked at for each piece: the one that leaves least room, the first of equal ones."""
+    offers = lambda k, held: [(k, (one,)) for one in held] + [(k, (one, two)) for i, one in enumerate(held) for two in held[i + 1 :]]
+    bins, left = list(bins), []
+    there = [x for k, (n, held) in enumerate(bins) if n < capacity for x in offers(k, held)]
+    for p in loose:
+        after = lambda x: capacity - bins[x[0]][0] - size[p] + sum(size[o] for o in x[1])
+        fits = [x for x in there if 0 <= after(x) < capacity - bins[x[0]][0] < size[p]] if 4 * size[p] > capacity else []
+        if not fits:
+            left.append(p)
+            continue
+        k, out = min(fits, key=after)
+        bins[k] = bins[k][0] - sum(size[o] for o in out) + size[p], (*(o for o in bins[k][1] if o not in out), p)
+        left += out
+        there = [x for x in there if x[0] != k] + (offers(k, bins[k][1]) if bins[k][0] < capacity else [])
+    return bins, sorted(left, key=lambda p: (-size[p], p))
+
+
+def test_packing_looks_for_swaps_as_by_hand():
+    """One store of offers for many calls, pieces from tiny to whole bins."""
+    rnd, swaps = random.Random(11), 0
+    for top in (40, 300, 700, 1000):
+        size = [rnd.randrange(1, top) for _ in range(120)]
+        offers = packing._Offers(size)
+        offers.MOST = 1 << 12  # dropped now and then
+        whole = packing.first_population(size, 1000, (top,))[-1]
+        for _ in range(30):
+            gone = set(rnd.sample(range(len(whole)), max(1, len(whole) // 5)))
+            loose = sorted((p for k in gone for p in whole[k][1]), key=lambda p: (-size[p] * rnd.uniform(0.8, 1), p))
+            bins = [b for k, b in enumerate(whole) if k not in gone]
+            got = packing.swapped(bins, loose, size, 1000, offers)
+            assert got == _swapped_plainly(bins, loose, size, 1000)
+            swaps += got[0] != bins
+    assert swaps > 30
+
+
 def test_packing_evolves_until_nothing_is_better(spark):
     """Triplets that fill a bin each, dealt to one cell, as ``packed`` itself evolves them."""
     enc = tokens.encoder()

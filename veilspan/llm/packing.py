@@ -32,6 +32,7 @@ Defined results
 from __future__ import annotations
 
 import pickle
+from array import array
 from bisect import bisect_left, insort
 from functools import reduce
 
@@ -57,116 +58,186 @@ Bins = list[tuple[int, tuple[int, ...]]]
 
 def best_fit(bins: Bins, pieces: list[int], size: list[int], capacity: int) -> Bins:
     """Put ``pieces``, given largest first, each into the bin that it fills best; a new bin where none has room."""
-    load = [b[0] for b in bins]
-    held = [list(b[1]) for b in bins]
-    room = sorted((capacity - n, k) for k, n in enumerate(load) if n < capacity)
+    out = list(bins)
+    room = sorted((capacity - b[0], k) for k, b in enumerate(bins) if b[0] < capacity)
     for p in pieces:
         s = size[p]
         at = bisect_left(room, (s, -1))
         if at < len(room):
-            _, k = room.pop(at)
-            load[k] += s
-            held[k].append(p)
+            free, k = room.pop(at)
+            load, held = out[k]
+            out[k] = load + s, (*held, p)
         else:
-            k = len(load)
-            load.append(s)
-            held.append([p])
-        if load[k] < capacity:
-            insort(room, (capacity - load[k], k))
-    return [(n, tuple(h)) for n, h in zip(load, held)]
+            free, k = capacity, len(out)
+            out.append((s, (p,)))
+        if free > s:
+            insort(room, (free - s, k))
+    return out
+
+
+def _fullest(b: tuple[int, tuple[int, ...]]) -> tuple[int, tuple[int, ...]]:
+    return -b[0], b[1]
 
 
-def swapped(bins: Bins, loose: list[int], size: list[int], capacity: int) -> tuple[Bins, list[int]]:
+def _owner(bins: Bins, n: int) -> list[int]:
+    """The bin of each piece."""
+    out = [-1] * n
+    for k, (_, held) in enumerate(bins):
+        for p in held:
+            out[p] = k
+    return out
+
+
+class _Offers:
+    """What may go from a bin, by its pieces: first each alone, then each two, as the sums of their sizes. Most bins outlive
+    many children, so their sums are kept, up to ``MOST`` bytes of them."""
+
+    MOST = 8 << 20
+
+    def __init__(self, size: list[int]):
+        self.size, self.kept, self.bytes, self.people = size, {}, 0, {}
+
+    def ranked(self, bins: Bins) -> Bins:
+        """The bins of one of the population, the fullest first."""
+        return self._of(0, bins, lambda: sorted(bins, key=_fullest))
+
+    def owner(self, bins: Bins) -> list[int]:
+        return self._of(1, bins, lambda: _owner(bins, len(self.size)))
+
+    def _of(self, which: int, bins: Bins, made):
+        found = self.people.get((which, id(bins)))
+        if found is None or found[0] is not bins:
+            if len(self.people) > 64:
+                self.people = {}
+            found = self.people[which, id(bins)] = bins, made()
+        return found[1]
+
+    def sums(self, held: tuple[int, ...]) -> bytes:
+        found = self.kept.get(held)
+        if found is None:
+            z = [self.size[p] for p in held]
+            found = array("q", z + [one + two for i, one in enumerate(z) for two in z[i + 1 :]]).tobytes()
+            if self.bytes > self.MOST:
+                self.kept, self.bytes = {}, 0
+            self.kept[held] = found
+            self.bytes += len(found)
+        return found
+
+    @staticmethod
+    def named(held: tuple[int, ...], nth: int) -> tuple[int, ...]:
+        """The pieces of the nth offer of a bin."""
+        if nth < len(held):
+            return (held[nth],)
+        nth -= len(held)
+        for i, one in enumerate(held):
+            if nth < len(held) - 1 - i:
+                return one, held[i + 1 + nth]
+            nth -= len(held) - 1 - i
+        raise IndexError
+
+
+def swapped(bins: Bins, loose: list[int], size: list[int], capacity: int, offers: _Offers | None = None) -> tuple[Bins, list[int]]:
     """Put each loose piece of over a quarter of a bin, the largest first, in place of a smaller one (or two) of a bin that it
     then fills better; what it replaces is loose. Smaller pieces are left to best fit, which places them well."""
-    held = [list(b[1]) for b in bins]
-    load = [b[0] for b in bins]
-    left = []
-    outs: list[tuple[int, ...]] = []  # what may go: one or two pieces of a bin
-    where: list[int] = []
-    begins = {}
-
-    def offer(k: int) -> None:
-        begins[k] = len(outs)
-        outs.extend((one,) for one in held[k])
-        outs.extend((one, two) for i, one in enumerate(held[k]) for two in held[k][i + 1 :])
-        where.extend([k] * (len(outs) - len(where)))
-
-    for k, n in enumerate(load):
-        if n < capacity:
-            offer(k)
-    # a bin whose pieces change has what it offers anew at the end; there are as many changes as loose pieces at most
-    sums = np.array([sum(size[o] for o in out) for out in outs], np.int64)
-    rooms = capacity - np.array(load, np.int64)[where] if where else np.zeros(0, np.int64)
-    for p in loose:
+    large = [p for p in loose if 4 * size[p] > capacity]
+    if not large:
+        return bins, sorted(loose, key=lambda p: (-size[p], p))
+    offers = offers or _Offers(size)
+    bins, left = list(bins), [p for p in loose if 4 * size[p] <= capacity]
+    where = [k for k, b in enumerate(bins) if b[0] < capacity]
+    each = [offers.sums(bins[k][1]) for k in where]
+    length = np.array([len(x) for x in each], np.int64) >> 3
+    edges = length.cumsum()
+    rooms = np.array([capacity - bins[k][0] for k in where], np.int64).repeat(length)
+    # an offer's reach is its room after it went: the least that a piece fits in leaves least; of equal ones the first
+    order = (rooms + np.frombuffer(b"".join(each), np.int64)) << 32 | np.arange(len(rooms))
+    order.sort()
+    reach, order = order >> 32, order & 0xFFFFFFFF
+    rooms = rooms[order]
+    place = None
+    sizes = np.array([size[p] for p in large], np.int64)
+    begin, end = reach.searchsorted(sizes).tolist(), reach.searchsorted(sizes + rooms.max(initial=0)).tolist()
+    newest: dict[int, int] = {}  # bins whose pieces changed, and where their newest offers begin
+    fresh: list[tuple[int, int, int, int]] = []  # offers of changed bins: reach, number, room, bin
+    number = len(order)
+    for p, a, b in zip(large, begin, end):
         s = size[p]
-        if 4 * s <= capacity:
-            left.append(p)
-            continue
-        gain = s - sums
-        # the room that is left after the change: the less, the better
-        after = rooms - gain
-        fits = np.flatnonzero((gain > 0) & (after >= 0) & (rooms < s))
-        if not len(fits):
+        k, least = -1, 1 << 62
+        if a < b:
+            # what goes must be smaller than the piece (reach - room < s), and the room, too
+            free = rooms[a:b]
+            good = (free > reach[a:b] - s) & (free < s)
+            at = int(good.argmax())
+            if good[at]:
+                least, nth = int(reach[a + at]), int(order[a + at])
+                i = int(edges.searchsorted(nth, side="right"))
+                k, which = where[i], nth - int(edges[i] - length[i])
+        for n in range(bisect_left(fresh, (s,)), len(fresh)):
+            far, nth, room, j = fresh[n]
+            if far >= least:
+                break
+            if far - s < room < s and nth >= newest[j]:
+                k, which = j, nth - newest[j]
+                break
+        if k < 0:
             left.append(p)
             continue
-        at = int(fits[np.argmin(after[fits])])
-        k, out = where[at], outs[at]
-        for o in out:
-            held[k].remove(o)
-        held[k].append(p)
-        load[k] += s - sum(size[o] for o in out)
+        load, held = bins[k]
+        out = offers.named(held, which)
+        load, held = bins[k] = load + s - sum(size[o] for o in out), (*(o for o in held if o not in out), p)
         left += out
-        n = begins[k]
-        while n < len(where) and where[n] == k:
-            n += 1
-        sums[begins[k] : n] = 1 << 40  # gone: no piece is larger
-        if load[k] < capacity:
-            first = len(outs)
-            offer(k)
-            sums = np.concatenate([sums, [sum(size[o] for o in out) for out in outs[first:]]])
-            rooms = np.concatenate([rooms, np.full(len(outs) - first, capacity - load[k])])
+        if k not in newest:  # its first offers are gone: nothing fits there
+            if place is None:
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+            rooms[place[edges[i] - length[i] : edges[i]]] = 0
+        newest[k] = number
+        if load < capacity:
+            room = capacity - load
+            for x in np.frombuffer(offers.sums(held), np.int64).tolist():
+                insort(fresh, (room + x, number, room, k))
+                number += 1
     left.sort(key=lambda p: (-size[p], p))
-    return [(n, tuple(h)) for n, h in zip(load, held)], left
+    return bins, left
 
 
 def fitness(bins: Bins, capacity: int) -> tuple[int, float]:
     """Larger is better: fewer bins, then fuller ones."""
-    return -len(bins), sum((n / capacity) ** 2 for n, _ in bins)
+    return -len(bins), sum(n * n for n, _ in bins) / capacity**2
 
 
-def crossover(one: Bins, two: Bins, size: list[int], capacity: int, rng: np.random.Generator) -> Bins:
+def crossover(one: Bins, two: Bins, size: list[int], capacity: int, rng: np.random.Generator, offers: _Offers | None = None) -> Bins:
     """``two`` with whole well-filled bins of ``one`` injected."""
-    ranked = sorted(one, key=lambda b: (-b[0], b[1]))
+    ranked = offers.ranked(one) if offers else sorted(one, key=_fullest)
     few = ranked[: max(1, int(len(ranked) * rng.uniform(0.2, 0.6)))]
-    new = [b for b in few if rng.random() < 0.7] or few[:1]
+    new = [b for b, r in zip(few, rng.random(len(few)).tolist()) if r < 0.7] or few[:1]
     there = {p for b in new for p in b[1]}
-    left, loose = [], []
-    for b in two:
-        if there.isdisjoint(b[1]):
-            left.append(b)
-        else:
-            loose += [p for p in b[1] if p not in there]
+    owner = offers.owner(two) if offers else _owner(two, len(size))
+    hit = {owner[p] for p in there}
+    left = [b for k, b in enumerate(two) if k not in hit]
+    loose = [p for k in hit for p in two[k][1] if p not in there]
     loose.sort(key=lambda p: (-size[p], p))
-    return best_fit(*swapped(new + left, loose, size, capacity), size, capacity)
+    return best_fit(*swapped(new + left, loose, size, capacity, offers), size, capacity)
 
 
-def mutate(bins: Bins, size: list[int], capacity: int, rng: np.random.Generator) -> Bins:
+def mutate(bins: Bins, size: list[int], capacity: int, rng: np.random.Generator, offers: _Offers | None = None) -> Bins:
     """Empty some of the worst filled bins and one other, and put their pieces back."""
     if len(bins) < 3:
         return bins
-    ranked = sorted(bins, key=lambda b: (b[0], b[1]))
+    ranked = sorted(bins)
     k = max(1, int(len(bins) * rng.uniform(0.02, 0.1)))
     other = int(rng.integers(k, len(ranked)))
     loose = [p for b in [*ranked[:k], ranked[other]] for p in b[1]]
-    loose.sort(key=lambda p: (-size[p] * rng.uniform(0.8, 1.0), p))
-    return best_fit(*swapped([b for i, b in enumerate(ranked) if i >= k and i != other], loose, size, capacity), size, capacity)
+    rank = dict(zip(loose, rng.uniform(0.8, 1.0, len(loose)).tolist()))
+    loose.sort(key=lambda p: (-size[p] * rank[p], p))
+    return best_fit(*swapped([b for i, b in enumerate(ranked) if i >= k and i != other], loose, size, capacity, offers), size, capacity)
 
 
 def evolve(population: list[Bins], size: list[int], capacity: int, seed: tuple[int, ...], children: int = PATIENCE) -> list[Bins]:
     """One epoch, until so many children in a row bring nothing better than the best; best first."""
     rng = np.random.default_rng(seed)
     least = -(-sum(size) // capacity)
+    offers = _Offers(size)
     people = sorted(((fitness(b, capacity), b) for b in population), key=lambda x: x[0], reverse=True)
     idle = 0
     while idle < children:
@@ -174,7 +245,7 @@ def evolve(population: list[Bins], size: list[int], capacity: int, seed: tuple[i
         if len(bins) <= least and sum(n < capacity for n, _ in bins) <= 1:
             break  # no packing is better
         i, j = rng.choice(len(people), 2, replace=False)
-        child = mutate(crossover(people[i][1], people[j][1], size, capacity, rng), size, capacity, rng)
+        child = mutate(crossover(people[i][1], people[j][1], size, capacity, rng, offers), size, capacity, rng, offers)
         people.append((fitness(child, capacity), child))
         people.sort(key=lambda x: x[0], reverse=True)
         people.pop()
