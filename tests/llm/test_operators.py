@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -681,3 +682,40 @@ def test_compact_windows():
 
 def test_words(spark):
     assert spark.createDataFrame([("A-b  É9!",), (None,)], "t string").select(words_of(F.col("t")).alias("w")).collect() == [("a b é9",), (None,)]
+
+
+def test_substring_windows_travel_in_parcels(monkeypatch):
+    """Each window once, all of a minimum in one part, in few rows; what is linked is the same however the rows are cut into batches."""
+    monkeypatch.setattr(substring, "PARTS", 64)
+    rnd = random.Random(14)
+    passages = [" ".join(_words(rnd, 90)) for _ in range(6)]
+    texts = [" ".join([*_words(rnd, 40), passages[k % 6], *_words(rnd, 40)]) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], ["doc_id", "words"])
+    made = [list(substring._window_batches(substring.LEAST, substring.HASHES)([batch.slice(k, 20)])) for k in (0, 20, 40)]
+    rows = substring._opened(substring._WINDOW, [b for part in made for b in part])
+    h, at = substring.hashed_words(batch.column(1))
+    sh = substring.runs_of(h, substring.SHINGLE)
+    want = set()
+    for k in range(substring.HASHES):
+        row, _, c, _ = substring.compact_windows(substring.mix(sh ^ np.uint64(substring._SALT[k])), at[:-1], np.minimum(at[1:] - substring.SHINGLE + 1, len(sh)), substring.LEAST - substring.SHINGLE + 1)
+        want |= {(int(r), int(x - at[r]), k) for r, x in zip(row, c)}
+    assert sorted((int(r["doc_id"]), int(r["place"] & 0xFFFFFFFFFF), int(r["place"] >> 40)) for r in rows) == sorted(want)
+    assert sum(b.num_rows for part in made for b in part) <= 3 * 64 < len(rows)
+    parcels = pa.Table.from_batches([b for part in made for b in part]).to_pylist()
+    keys = {}
+    for p in parcels:
+        for key in np.frombuffer(p["rows"], substring._WINDOW)["key"].tolist():
+            assert keys.setdefault(key, p["part"]) == p["part"]
+    cut = pa.Table.from_pylist(parcels[::-1], pa.schema([("part", pa.int32()), ("rows", pa.binary())])).to_batches(max_chunksize=7)
+    links = [sorted(substring._opened(substring._LINK, substring._link_batches(iter(b))).tolist()) for b in ([x for part in made for x in part], cut)]
+    assert links[0] == links[1] and len(links[0]) > 60
+    assert len(substring._opened(substring._LINK, substring._link_batches(iter([])))) == 0
+
+
+def test_substring_first_of_a_value():
+    rnd = np.random.default_rng(15)
+    near = rnd.integers(0, 1 << 63, 20).astype(np.uint64)  # hashes that agree in their upper bits
+    for group in (np.zeros(0, np.int64), rnd.integers(0, 50, 400), rnd.integers(-(1 << 62), 1 << 62, 30)[rnd.integers(0, 30, 400)], near[rnd.integers(0, 20, 400)] ^ rnd.integers(0, 3, 400).astype(np.uint64), np.array([7, 7], np.uint64)):
+        first = {}
+        want = [first.setdefault(int(v), k) for k, v in enumerate(group)]
+        assert substring._first_of(group).tolist() == want

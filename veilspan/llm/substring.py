@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, maybe_in, stored, words_of
-from .kernel import hashed_words, mix, slices
+from .kernel import bytes_of, hashed_words, mix, slices
 
 #: Words of the shortest passage looked for.
 LEAST = 50
@@ -124,10 +124,28 @@ def compact_windows(g: np.ndarray, begin: np.ndarray, end: np.ndarray, width: in
 
 def _first_of(group: np.ndarray) -> np.ndarray:
     """Where the first row with the same value is."""
-    by = np.argsort(group, kind="stable")
-    fresh = np.append(True, group[by][1:] != group[by][:-1])
-    head = np.empty(len(group), np.int64)
-    head[by] = by[np.maximum.accumulate(np.where(fresh, np.arange(len(group)), 0))]
+    n = len(group)
+    if not n:
+        return np.zeros(0, np.int64)
+    if group.dtype == np.int64 and group.min() >= 0 and group.max() < n:  # numbers of rows need no sort
+        head = np.empty(n, np.int64)
+        head[group[::-1]] = np.arange(n - 1, -1, -1)
+        return head[group]
+    # the upper bits of a hash and the row, sorted as one number, are the stable order if equal upper bits are equal hashes
+    low = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
+    packed = (group.view(np.uint64) & ~low) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    by = (packed & low).view(np.int64)
+    fresh = np.append(True, (packed[1:] ^ packed[:-1]) > low)
+    value = group[by]
+    other = value[1:] != value[:-1]
+    if (other != fresh[1:]).any():
+        by = np.argsort(group, kind="stable")
+        value = group[by]
+        fresh = np.append(True, value[1:] != value[:-1])
+    head = np.empty(n, np.int64)
+    first = np.flatnonzero(fresh)
+    head[by] = by[first].repeat(np.diff(np.append(first, n)))
     return head
 
 
@@ -164,7 +182,33 @@ class _Blocks:
         return packed.view(np.int64)
 
 
-_WINDOW = "key long, doc_id long, place long, before long, after long, source_doc long, source_c int"
+#: What is shuffled goes in parcels: the rows of one of so many parts as one binary, so that the engine moves few rows.
+PARTS = 1 << 15
+_PARCEL = "part int, rows binary"
+_WINDOW = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("place", "<i8"), ("before", "<i8"), ("after", "<i8"), ("source_doc", "<i8"), ("source_c", "<i4")])
+_LINK = np.dtype([("doc_id", "<i8"), ("source_doc", "<i8"), ("c", "<i4"), ("source_c", "<i4"), ("fn", "i1")])
+#: Bytes of rows that are put into parcels at once.
+PARCELS = 64 << 20
+
+
+def _parcels(kind: np.dtype, columns: list[np.ndarray], by: np.ndarray):
+    """The rows of the columns, all of one value of ``by`` in the same part."""
+    part = (mix(by.view(np.uint64)) >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    rows = np.empty(len(order), kind)
+    for name, column in zip(kind.names, columns, strict=True):
+        rows[name] = column[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    at = np.append(first, len(part)).astype(np.int32) * np.int32(kind.itemsize)
+    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(rows.tobytes())])
+    yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), blobs], ["part", "rows"])
+
+
+def _opened(kind: np.dtype, batches) -> np.ndarray:
+    """All rows of the parcels of a partition."""
+    parts = [bytes_of(batch.column(1))[0] for batch in batches if batch.num_rows]
+    return np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)
 
 
 def _window_batches(least: int, hashes: int):
@@ -182,6 +226,7 @@ def _window_batches(least: int, hashes: int):
                 begin = np.minimum(rows[:-1], len(sh))
                 end = np.maximum(np.minimum(rows[1:] - SHINGLE + 1, len(sh)), begin)
                 blocks = _Blocks(h)
+                made = []
                 for k in range(hashes):
                     g = mix(sh ^ np.uint64(_SALT[k]))
                     row, _, c, _ = compact_windows(g, begin, end, width)
@@ -194,9 +239,13 @@ def _window_batches(least: int, hashes: int):
                     # a linked row goes anywhere, as nothing is left to be met
                     key = np.where(linked, _hashed(doc, at.astype(np.int64)), key).view(np.int64)
                     sides = [np.where(linked, 0, s) for s in sides]
-                    arrays = [pa.array(x) for x in (key, doc, at.astype(np.int64) | np.int64(k) << np.int64(40), *sides)]
-                    arrays += [pa.array(doc[head], mask=~linked), pa.array(at[head].astype(np.int32), mask=~linked)]
-                    yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "place", "before", "after", "source_doc", "source_c"])
+                    place = at.astype(np.int64) | np.int64(k) << np.int64(40)
+                    made.append((key, doc, place, *sides, doc[head], np.where(linked, at[head], -1)))
+                if made:
+                    columns = [np.concatenate(x) for x in zip(*made)]
+                    for begin in range(0, len(columns[0]), PARCELS // _WINDOW.itemsize):
+                        some = [x[begin : begin + PARCELS // _WINDOW.itemsize] for x in columns]
+                        yield from _parcels(_WINDOW, some, some[0])
 
     return run
 
@@ -206,9 +255,10 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES) -> DataFrame:
-    """(key, doc_id, place, before, after, source_doc, source_c): a compact window by its centre, ``place`` being its shingle
-    and, from bit 40 on, its function; the blocks around it; and the window of the same slice that it is linked to, if any."""
-    return arrow_map(_words(docs), _window_batches(least, hashes), _WINDOW)
+    """Parcels of (key, doc_id, place, before, after, source_doc, source_c): a compact window by its centre, ``place`` being its
+    shingle and, from bit 40 on, its function; the blocks around it; and the window of the same slice that it is linked to
+    (``source_c`` is -1 if to none)."""
+    return arrow_map(_words(docs), _window_batches(least, hashes), _PARCEL)
 
 
 def _narrowed(side: np.ndarray, group: np.ndarray):
@@ -250,24 +300,41 @@ def _narrowed(side: np.ndarray, group: np.ndarray):
 
 
 def _link_batches(batches):
-    """(doc_id, c, source_doc, source_c, fn) of the windows of a partition, which has all rows of each minimum."""
-    parts = [[batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)] + [batch.column(k).fill_null(-1).to_numpy() for k in (5, 6)] + [batch.column(5).is_valid().to_numpy(zero_copy_only=False)] for batch in batches if batch.num_rows]
-    if not parts:
-        return
-    cols = [np.concatenate([p[k] for p in parts]) for k in range(8)]
-    del parts
+    """Parcels of (doc_id, source_doc, c, source_c, fn), by document: what ``_linked`` tells."""
+    told, size = [], 0
+    for columns in _linked(_opened(_WINDOW, batches)):
+        told.append(columns)
+        size += len(columns[0]) * _LINK.itemsize
+        if size > PARCELS:
+            yield from _told(told)
+            told, size = [], 0
+    if size:
+        yield from _told(told)
+
+
+def _told(told: list[tuple[np.ndarray, ...]]):
+    columns = [np.concatenate(x) for x in zip(*told)]
+    for begin in range(0, len(columns[0]), PARCELS // _LINK.itemsize):
+        some = [x[begin : begin + PARCELS // _LINK.itemsize] for x in columns]
+        yield from _parcels(_LINK, some, some[0])
+
+
+def _linked(rows: np.ndarray):
+    """(doc_id, source_doc, c, source_c, fn) of the windows of a partition, which has all rows of each minimum."""
 
     def told(doc, place, source, at):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array((place & 0xFFFFFFFFFF).astype(np.int32)), pa.array(source), pa.array(at.astype(np.int32)), pa.array((place >> 40).astype(np.int8))], ["doc_id", "c", "source_doc", "source_c", "fn"])
+        return doc, source, (place & 0xFFFFFFFFFF).astype(np.int32), at.astype(np.int32), (place >> 40).astype(np.int8)
 
-    done = cols[7]
+    done = rows["source_c"] >= 0
     if done.any():
-        yield told(cols[1][done], cols[2][done], cols[5][done], cols[6][done])
-    cols = [c[~done] for c in cols[:5]]
-    order = np.lexsort((cols[2], cols[1], cols[0]))  # by key, doc_id and centre
-    key = cols[0][order]
-    new = np.append(True, key[1:] != key[:-1])[: len(key)]
-    order = order[~(new & np.append(new[1:], True)[: len(key)])]
+        some = rows[done]
+        yield told(some["doc_id"], some["place"], some["source_doc"], some["source_c"])
+    cols = [rows[name][~done] for name in _WINDOW.names[:5]]
+    del rows
+    head = _first_of(cols[0])
+    some = np.bincount(head, minlength=len(head))[head] > 1
+    cols = [c[some] for c in cols]
+    order = np.lexsort((cols[2], cols[1]))  # by doc_id and centre
     key, doc, place, before, after = (x[order] for x in cols)
     n = len(key)
     if not n:
@@ -294,10 +361,11 @@ def _link_batches(batches):
 
 def _interval_batches(batches):
     """Links of a partition, which has all of a document, joined along their diagonals to intervals of some 200 words."""
-    parts = [[batch.column(k).to_numpy() for k in range(5)] for batch in batches if batch.num_rows]
-    if not parts:
+    rows = _opened(_LINK, batches)
+    if not len(rows):
         return
-    doc, c, source, sc, fn = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(5))
+    doc, c, source, sc, fn = (rows[name].astype(np.int64) for name in ("doc_id", "c", "source_doc", "source_c", "fn"))
+    del rows
     order = np.lexsort((c, c - sc, source, doc))
     doc, c, source, sc, fn = (x[order] for x in (doc, c, source, sc, fn))
     near = lambda x, most: np.abs(np.diff(x)) <= most
@@ -385,8 +453,8 @@ def _cut(column: pa.Array, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 def repeats(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, min_hashes: int = MIN_HASHES) -> DataFrame:
     """(doc_id, start, end, source_doc, functions): words [start, end) of doc_id are nearly a passage of source_doc, a smaller doc_id."""
     # one shuffle by minimum
-    links = arrow_map(windows(docs, least, hashes).repartition("key"), _link_batches, "doc_id long, c int, source_doc long, source_c int, fn byte")
-    intervals = stored(arrow_map(links.repartition("doc_id"), _interval_batches, _INTERVAL), "intervals")
+    links = arrow_map(windows(docs, least, hashes).repartition("part"), _link_batches, _PARCEL)
+    intervals = stored(arrow_map(links.repartition("part"), _interval_batches, _INTERVAL), "intervals")
     wanted = intervals.select("doc_id", "chunk").unionByName(intervals.select(F.col("source_doc").alias("doc_id"), F.col("source_chunk").alias("chunk")))
     chunks = stored(maybe_in(arrow_map(_words(docs), _chunk_batches, "doc_id long, chunk long, words binary"), wanted, ["doc_id", "chunk"]), "chunks")
     there = chunks.select(F.col("doc_id").alias("source_doc"), F.col("chunk").alias("source_chunk"), F.col("words").alias("source_words"))
