@@ -8,12 +8,17 @@ no shuffle is needed to find, group or splice spans.
 
 from __future__ import annotations
 
+import re
 from itertools import count
 
 SPAN = "struct<start:int,end:int,label:string,score:double,source:string,ord:int>"
 SPANS = f"array<{SPAN}>"
 EMPTY = f"CAST(array() AS {SPANS})"
 NO_LENGTHS = "CAST(array() AS array<struct<g:int,m:int>>)"
+#: Set around matches: a control sign, and the one beside it, which stands in for it where a text has it.
+MARK, _BESIDE = "\x01", "\x02"
+#: What a pattern has that could tell these two apart: themselves, or a sign by its number or name.
+_NAMES_MARK = re.compile(r"[\x01\x02]|\\[xu0cN]")
 #: Elements that a fold appends to before a new block begins; keeps appending linear for long texts.
 BLOCK = 128
 
@@ -64,11 +69,26 @@ def _greatest(a: str, b: str) -> str:
     return f"greatest({a}, {b})"
 
 
-def lengths(text: str, pattern: str) -> str:
-    """array<struct<g,m>>: length of each match and of what lies before it."""
-    p, m, g = quoted(pattern), var("m"), var("g")
-    pairs = lambda v: f"slice(zip_with({v}, split({text}, {p}, -1), ({m}, {g}) -> named_struct('g', length({g}), 'm', length({m}))), 1, size({v}))"
-    return let(f"regexp_extract_all({text}, {p}, 0)", lambda v: f"CASE WHEN size({v}) = 0 THEN {NO_LENGTHS} ELSE {pairs(v)} END")
+def unmarked(text: str) -> str:
+    """``text`` without ``MARK``: in its place the sign beside it, which is of the same kind and length."""
+    return f"IF(contains({text}, '{MARK}'), translate({text}, '{MARK}', '{_BESIDE}'), {text})"
+
+
+def lengths(text: str, pattern: str, clean: str | None = None) -> str:
+    """array<struct<g,m>>: length of each match and of what lies before it. ``clean``: a name that has ``unmarked(text)``.
+
+    The matches are marked and the text is cut at the marks: one pass of a compiled pattern, where ``split`` compiles
+    it anew for every text. Only a pattern that names the marks themselves is matched and split.
+    """
+    p, m, g, i = quoted(pattern), var("m"), var("g"), var("i")
+    if _NAMES_MARK.search(pattern):
+        pairs = lambda v: f"slice(zip_with({v}, split({text}, {p}, -1), ({m}, {g}) -> named_struct('g', length({g}), 'm', length({m}))), 1, size({v}))"
+        return let(f"regexp_extract_all({text}, {p}, 0)", lambda v: f"CASE WHEN size({v}) = 0 THEN {NO_LENGTHS} ELSE {pairs(v)} END")
+    if clean is None:
+        return let(unmarked(text), lambda t: lengths(text, pattern, t))
+    marked = f"split(regexp_replace({clean}, {p}, '{MARK}$0{MARK}'), '{MARK}', -1)"
+    pairs = lambda v: f"transform(sequence(0, CAST(size({v}) div 2 AS INT) - 1), {i} -> named_struct('g', length({v}[2 * {i}]), 'm', length({v}[2 * {i} + 1])))"
+    return let(marked, lambda v: f"CASE WHEN size({v}) = 1 THEN {NO_LENGTHS} ELSE {pairs(v)} END")
 
 
 def offsets(z: str) -> str:

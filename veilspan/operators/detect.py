@@ -42,8 +42,8 @@ def _has_digit(tree) -> bool:
 
 
 def _about(text: str) -> str:
-    """What gates ask of a text, worked out once: itself in lower, then upper case (what the matcher takes for equal is then equal), and whether it has a digit."""
-    return rf"named_struct('f', upper(lower({text})), 'd', {text} RLIKE '\\p{{Nd}}')"
+    """What gates ask of a text, worked out once: itself in lower, then upper case (what the matcher takes for equal is then equal), whether it has a digit, and itself as it is matched."""
+    return rf"named_struct('f', upper(lower({text})), 'd', {text} RLIKE '\\p{{Nd}}', 't', {S.unmarked(text)})"
 
 
 def _gate(text: str, about: str, pattern: str) -> str | None:
@@ -59,7 +59,7 @@ def _gate(text: str, about: str, pattern: str) -> str | None:
 
 
 def _gated(text: str, fold: str, pattern: str) -> str:
-    found = S.lengths(text, FLAGS + pattern)
+    found = S.lengths(text, FLAGS + pattern, f"{fold}.t")
     test = _gate(text, fold, pattern)
     return f"CASE WHEN {test} THEN {found} ELSE {S.NO_LENGTHS} END" if test else found
 
@@ -122,7 +122,7 @@ def custom(text: str, pack: tuple[PackEntry, ...] = PACK, validators_: dict[str,
         test = _gate(text, fold, e.pattern)
         test = f"{test} AND {text} RLIKE {p}" if test else f"{text} RLIKE {p}"
         groups = f"transform(regexp_extract_all({text}, {p}, {e.group}), {g} -> named_struct('n', length({g}), 'ok', {_allowed(g, (validators_ or {}).get(e.label, {}))}))"
-        found.append(f"named_struct('label', {quoted(e.label)}, 'base', {base('custom', k)}, 'static', {e.score}D, 'm', CASE WHEN {test} THEN named_struct('z', {S.lengths(text, FLAGS + e.pattern)}, 'g', {groups}) END)")
+        found.append(f"named_struct('label', {quoted(e.label)}, 'base', {base('custom', k)}, 'static', {e.score}D, 'm', CASE WHEN {test} THEN named_struct('z', {S.lengths(text, FLAGS + e.pattern, f'{fold}.t')}, 'g', {groups}) END)")
     e, x, i, f, s = var("e"), var("x"), var("i"), var("f"), var("s")
     bonus = f"CASE WHEN {e}.m.g[{i}].n > 10 THEN 0.05D WHEN {e}.m.g[{i}].n < 4 THEN -0.1D ELSE 0.0D END"
     score = f"round(least(1.0D, greatest(0.1D, {e}.static + {bonus})), 6)"
