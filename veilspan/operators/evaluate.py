@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import quoted, var
@@ -17,18 +17,30 @@ def tracked(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(detector, label, tp, fp, fn, precision, recall, f1) over distinct spans; a null label is the detector in all.
     ``predicted`` has a detector; every detector is held against the whole gold."""
     detectors = predicted.select("detector").distinct()
-    g = gold.select(*KEY).distinct().crossJoin(F.broadcast(detectors)).withColumn("_g", F.lit(1))  # a few names
-    p = predicted.select("detector", *KEY).distinct().withColumn("_p", F.lit(1))
-    both = g.join(p, ["detector", *KEY], "full_outer")
-    hit = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
-    counts = [hit(F.col("_g").isNotNull() & F.col("_p").isNotNull()).alias("tp"), hit(F.col("_g").isNull()).alias("fp"), hit(F.col("_p").isNull()).alias("fn")]
+    g = gold.select(*KEY).crossJoin(F.broadcast(detectors))  # a few names
+    both = _marked(g, predicted, "detector").groupBy("detector", *KEY, "_apart").agg(F.max("_g").alias("_g"), F.max("_p").alias("_p"))
+    counts = [F.sum(one).cast("long").alias(name) for one, name in ((F.col("_g") * F.col("_p"), "tp"), (1 - F.col("_g"), "fp"), (1 - F.col("_p"), "fn"))]
     return metrics.with_rates(both.groupingSets([["detector", "label"], ["detector"]], "detector", "label").agg(*counts))
 
 
+def _marked(gold: DataFrame, predicted: DataFrame, *more: str) -> DataFrame:
+    """Rows of both, with KEY and ``more``, _g and _p (1 for a row of gold, of the predictions), and _apart, which keeps those with a
+    null in KEY from one another. A group by KEY of these meets as a join would, but moves nothing where both lie by document."""
+    apart = lambda side: F.when(F.greatest(*(F.col(c).isNull() for c in KEY)), side)
+    sides = [df.select(*more, *KEY, F.lit(g).alias("_g"), F.lit(1 - g).alias("_p"), apart(g).alias("_apart")) for df, g in ((gold, 1), (predicted, 0))]
+    return sides[0].unionByName(sides[1])
+
+
+def _met(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Each KEY once, with _g and _p: whether (1 or 0) it is in gold, in the predictions."""
+    return _marked(gold, predicted).groupBy(*KEY, "_apart").agg(F.max("_g").alias("_g"), F.max("_p").alias("_p"))
+
+
 def scored(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(detector, label, score, correct) of every prediction."""
-    g = gold.select(*KEY).distinct().withColumn("_g", F.lit(1))
-    return predicted.join(g, list(KEY), "left").select("detector", "label", "score", F.col("_g").isNotNull().cast("int").alias("correct"))
+    none = gold.select(*KEY, F.lit(None).cast(predicted.schema["detector"].dataType).alias("detector"), F.lit(None).cast(predicted.schema["score"].dataType).alias("score"))
+    met = _marked(none, predicted, "detector", "score").withColumn("_met", F.max("_g").over(Window.partitionBy(*KEY, "_apart")))
+    return met.where("_p = 1").select("detector", "label", "score", F.col("_met").alias("correct"))
 
 
 def history(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -50,18 +62,21 @@ def calibrated_weights(gold: DataFrame, predicted: DataFrame, method: str = "f1_
 
 def eligible(scores: DataFrame, least: int = 20, least_of_label: int = 10) -> DataFrame:
     """(detector, label, n) of the calibrators that have enough to be fitted: a detector's ``_global`` and its labels'."""
-    n = scores.groupingSets([["detector", "label"], ["detector"]], "detector", "label").agg(F.count(F.lit(1)).alias("n"))
+    return _eligible(scores.withColumn("n", F.lit(1)), least, least_of_label)
+
+
+def _eligible(counts: DataFrame, least: int, least_of_label: int) -> DataFrame:
+    n = counts.groupingSets([["detector", "label"], ["detector"]], "detector", "label").agg(F.sum("n").cast("long").alias("n"))
     n = n.withColumn("label", F.coalesce("label", F.lit("_global")))
     detectors = n.where((F.col("label") == "_global") & (F.col("n") >= least)).select("detector")
     return n.join(detectors, "detector", "left_semi").where((F.col("label") == "_global") | (F.col("n") >= least_of_label)).select("detector", "label", "n")
 
 
 def platt_params(scores: DataFrame, least: int = 20, least_of_label: int = 10) -> DataFrame:
-    """(detector, label, a, b) of all eligible calibrators. Scores are counted by the thousandth first, so a fit's task has at most 2,002 rows."""
-    both = scores.unionByName(scores.withColumn("label", F.lit("_global")))
-    both = both.join(eligible(scores, least, least_of_label).drop("n"), ["detector", "label"], "left_semi")
-    few = both.groupBy("detector", "label", F.round("score", 3).alias("score"), "correct").agg(F.count(F.lit(1)).alias("n"))
-    return metrics.platt_of_counts(few)
+    """(detector, label, a, b) of all eligible calibrators. Scores are counted by the thousandth before all else, so only counts are moved, and a fit's task has at most 2,002 rows."""
+    few = scores.groupBy("detector", "label", F.round("score", 3).alias("score"), "correct").agg(F.count(F.lit(1)).alias("n"))
+    both = few.unionByName(few.withColumn("label", F.lit("_global"))).groupBy("detector", "label", "score", "correct").agg(F.sum("n").alias("n"))
+    return metrics.platt_of_counts(both.join(_eligible(few, least, least_of_label).drop("n"), ["detector", "label"], "left_semi"))
 
 
 def partial_by_label(gold: DataFrame, predicted: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -71,7 +86,7 @@ def partial_by_label(gold: DataFrame, predicted: DataFrame, threshold: float = 0
     marks = hits.select("label", F.lit(1).alias("tp"), "iou", *(F.lit(0).alias(c) for c in ("g", "p", "e")))
     none = F.lit(None).cast("double").alias("iou")
     zero = F.lit(0)
-    for df, which in ((g, "g"), (p, "p"), (g.join(p, list(KEY), "left_semi"), "e")):
+    for df, which in ((g, "g"), (p, "p"), (_met(gold, predicted).where("_g = 1 AND _p = 1"), "e")):
         marks = marks.unionByName(df.select("label", zero.alias("tp"), none, *(F.lit(int(c == which)).alias(c) for c in ("g", "p", "e"))))
     n = marks.groupingSets([["label"], []], "label").agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "g", "p", "e")), F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou"))
     n = n.select("label", F.col("e").alias("exact_tp"), (F.col("p") - F.col("e")).alias("exact_fp"), (F.col("g") - F.col("e")).alias("exact_fn"), "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"), "mean_iou")
@@ -80,9 +95,9 @@ def partial_by_label(gold: DataFrame, predicted: DataFrame, threshold: float = 0
 
 def mismatches(gold: DataFrame, predicted: DataFrame, texts: DataFrame, n: int = 20) -> DataFrame:
     """(kind, doc_id, start, end, label, value): the first ``n`` predictions that are not gold (fp), and gold spans that nobody predicted (fn), by place."""
-    g, p = gold.select(*KEY).distinct(), predicted.select(*KEY).distinct()
-    first = lambda df, kind: df.orderBy(*KEY).limit(n).select(F.lit(kind).alias("kind"), *KEY)
-    some = first(p.join(g, list(KEY), "left_anti"), "fp").unionByName(first(g.join(p, list(KEY), "left_anti"), "fn"))
+    met = _met(gold, predicted)
+    first = lambda lone, kind: met.where(lone).orderBy(*KEY).limit(n).select(F.lit(kind).alias("kind"), *KEY)
+    some = first("_g = 0", "fp").unionByName(first("_p = 0", "fn"))
     return texts.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("kind", *KEY, F.expr("substring(text, start + 1, end - start)").alias("value"))
 
 

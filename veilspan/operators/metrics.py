@@ -27,16 +27,17 @@ def exact(gold: DataFrame, predicted: DataFrame, by: tuple[str, ...] = (), keys:
     return with_rates((both.groupBy(*by) if by else both).agg(*made))
 
 
-def overlaps(gold: DataFrame, predicted: DataFrame, threshold: float = 0.5, same_label: bool = True) -> DataFrame:
-    """Pairs whose intersection over union is at least ``threshold``."""
+def overlaps(gold: DataFrame, predicted: DataFrame, threshold: float = 0.5, same_label: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs whose intersection over union is at least ``threshold``; ``keep``: further columns of ``predicted``. Both sides are
+    sorted: spans made in a plan are many more than its files let the planner expect, so neither may be broadcast."""
     g = gold.select("doc_id", F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("label").alias("g_label"))
-    p = predicted.select(F.col("doc_id").alias("p_doc"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("label").alias("p_label"))
+    p = predicted.select(F.col("doc_id").alias("p_doc"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("label").alias("p_label"), *keep)
     cond = (F.col("doc_id") == F.col("p_doc")) & (F.col("g_start") < F.col("p_end")) & (F.col("p_start") < F.col("g_end"))
     if same_label:
         cond = cond & (F.col("g_label") == F.col("p_label"))
     shared = F.least("g_end", "p_end") - F.greatest("g_start", "p_start")
     union = F.greatest("g_end", "p_end") - F.least("g_start", "p_start")
-    return g.join(p, cond).drop("p_doc").withColumn("iou", shared / union).where(F.col("iou") >= threshold)
+    return g.join(p.hint("merge"), cond).drop("p_doc").withColumn("iou", shared / union).where(F.col("iou") >= threshold)
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
@@ -120,8 +121,8 @@ def platt(score: Column, a: Column, b: Column) -> Column:
 
 
 def calibrated(spans: DataFrame, params: DataFrame) -> DataFrame:
-    """Scores by the calibrator of (detector, label), else by that of (detector, _global), else as they are."""
+    """Scores by the calibrator of (detector, label), else by that of (detector, _global), else as they are. Calibrators are a few rows."""
     own = params.select(F.col("detector").alias("source"), "label", F.col("a").alias("_a"), F.col("b").alias("_b"))
     any_ = params.where("label = '_global'").select(F.col("detector").alias("source"), F.col("a").alias("_ga"), F.col("b").alias("_gb"))
-    out = spans.join(own, ["source", "label"], "left").join(any_, "source", "left")
+    out = spans.join(F.broadcast(own), ["source", "label"], "left").join(F.broadcast(any_), "source", "left")
     return out.withColumn("score", F.when(F.coalesce("_a", "_ga").isNotNull(), platt(F.col("score"), F.coalesce("_a", "_ga"), F.coalesce("_b", "_gb"))).otherwise(F.col("score"))).drop("_a", "_b", "_ga", "_gb")

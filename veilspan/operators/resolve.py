@@ -72,12 +72,12 @@ def winners(spans: str, model: str = "adaptive", weights: dict | None = None, me
 
 
 def resolved(spans: DataFrame, model: str = "adaptive", id_: str = "doc_id", weights: dict | None = None, measured: dict | None = None) -> DataFrame:
-    """The winners of a relation of spans (id, start, end, label, score, source, ord, ...): one shuffle, by id."""
+    """The winners of a relation of spans (id, start, end, label, score, source, ord, ...): one shuffle, by id, or none where they lie so already."""
     if model == "adaptive":
         spans = spans.withColumn("label", F.expr(normal_label("label")))
     order = Window.partitionBy(id_).orderBy("start", "ord")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.repartition(id_).withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)).withColumn("_group", F.sum("_new").over(order))
+    marked = spans.withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)).withColumn("_group", F.sum("_new").over(order))
     length = "(end - start)"
     if model == "adaptive":
         marked = marked.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy(id_, "_group", "label")))

@@ -8,14 +8,14 @@ from ..functions import spans as S
 from ..functions.spans import quoted
 from ..operators import detect, metrics, refine
 from . import pipeline
-from .catalog import _q, query, read
+from .catalog import _q, query, spread
 
 
 def _cases(spark, d, columns: dict[str, list[str]]):
     """(c_custkey, *columns): the SQL literals of the row's case."""
     n = len(next(iter(columns.values())))
     at = f"CAST(c_custkey % {n} AS INT)"
-    return read(spark, d, "customer").select("c_custkey", *(F.expr(f"array({', '.join(values)})[{at}]").alias(name) for name, values in columns.items()))
+    return spread(spark, d, "customer", "c_custkey").select("c_custkey", *(F.expr(f"array({', '.join(values)})[{at}]").alias(name) for name, values in columns.items()))
 
 
 def _expected(name: str, values: list[str]) -> str:
@@ -94,7 +94,7 @@ def cases_domains(spark, d):
 @query("cases_overlaps", "SELECT c_custkey AS doc_id, c_custkey % 12 AS p_start, round((10 - c_custkey % 12)::DOUBLE / (10 + c_custkey % 12), 9) AS iou FROM customer WHERE c_custkey % 12 <= 3")
 def cases_overlaps(spark, d):
     """Spans of ten characters, up to eleven apart: those up to three apart share half of what they cover."""
-    df = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 12).cast("int").alias("at"))
+    df = spread(spark, d, "customer", "c_custkey").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 12).cast("int").alias("at"))
     gold = df.select("doc_id", F.lit(0).alias("start"), F.lit(10).alias("end"), F.lit("ID").alias("label"))
     found = metrics.overlaps(gold, df.select("doc_id", F.col("at").alias("start"), (F.col("at") + 10).alias("end"), F.lit("ID").alias("label")), 0.5)
     return found.select("doc_id", F.col("p_start").cast("long").alias("p_start"), F.round("iou", 9).alias("iou"))
