@@ -4,9 +4,9 @@ import regex
 from pyspark.sql import functions as F
 
 from veilspan.functions import spans as S
-from veilspan.operators import detect
+from veilspan.operators import detect, refine
 from veilspan.plans import catalog, catalog_cases, catalog_eval  # noqa: F401 - they register their own
-from veilspan.sources.policies import FLAGS, Rule
+from veilspan.sources.policies import FLAGS, POLICIES, Rule
 
 
 def _customers(spark, at, n=100):
@@ -70,3 +70,35 @@ def test_spans_with_nulls_meet_nothing_and_predictions_are_kept_apart(spark):
     counts = {r["detector"]: (r["tp"], r["fp"], r["fn"]) for r in evaluate.calibrated_weights(gold, pred).collect()}
     assert counts == {"x": (1, 1, 2), "y": (0, 1, 3), None: (1, 2, 5)}
     assert sorted((r["score"], r["correct"]) for r in evaluate.scored(gold, pred).collect()) == [(0.1, 0), (0.2, 0), (0.5, 1), (0.7, 1)]
+
+
+def _docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_rare_words_are_met_by_the_few_frequent_ones(spark):
+    texts = ["Common common word é_1 rare, RARE zoë 42", "common " * 300 + "lone", None, "", "the of and up"]
+    df = _docs(spark, texts)
+    rows = detect.rare_terms(df).collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]].lower() == r["term"] for r in rows)
+    assert sorted((r["doc_id"], r["term"]) for r in rows) == sorted((r["doc_id"], r["term"]) for r in detect.rare_words(df).collect())
+    assert sorted(r["term"] for r in rows) == ["lone", "rare", "rare", "word", "zoë", "é_1"]
+    assert "BroadcastHashJoin" in _plan(catalog.QUERIES["rare_terms"](spark, "/root/testdata/sf0.001"))
+
+
+def test_counts_are_those_of_the_spans(spark):
+    texts = ["Mr John Smith, Acme Pty Ltd, North Ryde NSW 2113; 123 456 782 and 123 456 789", "062-000 51824753556 \x01 51824753557", "no Co", "", None, "Ann Lee " * 40]
+    df = _docs(spark, texts)
+    for country in POLICIES:
+        spans = {(r["doc_id"], r["label"]): r["count"] for r in df.select("doc_id", F.explode(F.expr(detect.regex("text", POLICIES[country]))).alias("s")).groupBy("doc_id", "s.label").count().collect()}
+        assert spans == {(r["doc_id"], r["label"]): r["n"] for r in df.select("doc_id", F.inline(F.expr(detect.counts("text", POLICIES[country])))).collect()}
+
+
+def test_garbage_in_long_texts_is_judged_by_what_lies_around(spark):
+    text = "é😀 " + " ".join(f"Ann{'x' * (k % 7)} Leeé{k}" for k in range(900)) + " " + "B" * 3000 + " end"
+    words = [(m.start(), m.end() - (k % 3 == 0)) for k, m in enumerate(regex.finditer(r"\S+", text))]
+    df = _docs(spark, [text]).withColumn("s", F.array(*(F.expr(S.make(str(a), str(b), "'ID'", "0.9D", "'regex'", "0")) for a, b in words)))
+    kept = {(x["start"], x["end"]) for x in df.select(F.expr(refine.clean("text", "s")).alias("s")).first()["s"]}
+    assert kept == {(a, b) for a, b in words if b - a > 2 and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())} - {(0, 1), (0, 2)}
+    each = df.select(F.expr(S.around("text", "s", lambda near: f"transform(s, z -> {near('z', 1, 2)})")).alias("v")).first()["v"]
+    assert each == [text[max(0, a - 1) : b + 2] for a, b in words]

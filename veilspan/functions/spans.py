@@ -21,6 +21,8 @@ MARK, _BESIDE = "\x01", "\x02"
 _NAMES_MARK = re.compile(r"[\x01\x02]|\\[xu0cN]")
 #: Elements that a fold appends to before a new block begins; keeps appending linear for long texts.
 BLOCK = 128
+#: Characters of a block of ``around``.
+CUT = 1024
 
 _names = count()
 
@@ -107,6 +109,25 @@ def value_of(text: str, span: str) -> str:
     return f"substring({text}, {span}.start + 1, {span}.end - {span}.start)"
 
 
+def around(text: str, spans: str, body) -> str:
+    """``body(near)``; ``near(span, before, after)`` gives the span's value with so many characters on either side, as far as there are.
+
+    A substring costs the way from the text's beginning, so a long text is cut into blocks once."""
+    low = lambda s, before: f"greatest({s}.start - {before}, 0)"
+    whole = lambda s, before, after: f"substring({text}, {low(s, before)} + 1, {s}.end + {after} - {low(s, before)})"
+
+    def near(blocks: str):
+        def one(s: str, before: int = 0, after: int = 0) -> str:
+            a = low(s, before)
+            two = f"concat({blocks}[CAST({a} div {CUT} AS INT)], coalesce(get({blocks}, CAST({a} div {CUT} AS INT) + 1), ''))"
+            return f"CASE WHEN size({blocks}) = 0 OR {s}.end + {after} - {a} > {CUT} THEN {whole(s, before, after)} ELSE substring({two}, {a} % {CUT} + 1, {s}.end + {after} - {a}) END"
+
+        return one
+
+    cut = f"CASE WHEN length({text}) > {2 * CUT} AND size({spans}) > 8 THEN regexp_extract_all({text}, '(?s).{{1,{CUT}}}', 0) ELSE CAST(array() AS array<string>) END"
+    return let(cut, lambda b: body(near(b)))
+
+
 def make(start: str, end: str, label: str, score: str, source: str, ord_: str) -> str:
     return f"named_struct('start', CAST({start} AS INT), 'end', CAST({end} AS INT), 'label', {label}, 'score', CAST({score} AS DOUBLE), 'source', {source}, 'ord', CAST({ord_} AS INT))"
 

@@ -51,10 +51,12 @@ def _gate(text: str, about: str, pattern: str) -> str | None:
     tests = []
     if keys := getattr(pattern, "keys", ()):
         tests.append("(" + " OR ".join(f"contains({about}.f, {quoted(k)})" for k in keys) + ")")
+    if need := getattr(pattern, "need", ""):
+        tests.append(f"{about}.t RLIKE {quoted(FLAGS + need)}")
     if "@" in pattern:
         tests.append(f"contains({text}, '@')")
     if _has_digit(re._parser.parse(pattern, re.I)):
-        tests.append(f"{about}.d")
+        tests.insert(0, f"{about}.d")
     return " AND ".join(tests) or None
 
 
@@ -103,6 +105,22 @@ def regex(text: str, policy: Policy, custom: dict | None = None, country: str |
     return by_rules(text, policy_rules(policy, custom), checks=(country or policy.country) == "AU")
 
 
+def counts(text: str, policy: Policy, country: str | None = None) -> str:
+    """array<struct<label,n>>: how many spans ``regex`` gives of each label that has one; places are not worked out."""
+    checked = validators.CHECKS if (country or policy.country) == "AU" else {}
+    shared: dict[str, list[str]] = {}
+    for rule in policy.rules:
+        shared.setdefault(rule.pattern, []).append(rule.label)
+    found, fold, f, v, n = [], var("fold"), var("f"), var("v"), var("n")
+    for pattern, labels in shared.items():
+        number = lambda label: f"size(filter({v}, {n} -> {checked[label](n)}))" if label in checked else f"size({v})"
+        each = ", ".join(f"named_struct('label', {quoted(label)}, 'n', {number(label)})" for label in labels)
+        counted = f"transform(array(regexp_extract_all({text}, {quoted(FLAGS + pattern)}, 0)), {v} -> array({each}))[0]"
+        test = _gate(text, fold, pattern)
+        found.append(f"CASE WHEN {test} THEN {counted} ELSE CAST(array() AS array<struct<label:string,n:int>>) END" if test else counted)
+    return f"coalesce(filter(flatten(transform(array({_about(text)}), {fold} -> flatten(array({', '.join(found)})))), {f} -> {f}.n > 0), CAST(array() AS array<struct<label:string,n:int>>))"
+
+
 def _allowed(value: str, rule: dict) -> str:
     tests = ["true"]
     if "min_length" in rule:
@@ -221,13 +239,27 @@ def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("term", "n", (F.col("n") / F.col("total")).alias("freq"))
 
 
+def _rare(words: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
+    """Of words those that are rare in ``docs``. What is not rare is at most 1 / ``threshold`` terms, so no word is moved."""
+    frequent = term_frequencies(docs, text).where(F.col("freq") >= threshold).select("term")
+    return words.where((F.length("term") > 2) & ~F.col("term").isin(COMMON)).join(F.broadcast(frequent), "term", "left_anti")
+
+
+def rare_words(docs: DataFrame, id_: str = "doc_id", text: str = "text", threshold: float = 0.01) -> DataFrame:
+    """(id, term): words that are rare in the corpus, one row each, where their places don't matter."""
+    words = docs.select(id_, F.explode(F.expr(rf"regexp_extract_all(lower({text}), '(?U)\\w+', 0)")).alias("term"))
+    return _rare(words, docs, text, threshold).select(id_, "term")
+
+
 def rare_terms(docs: DataFrame, id_: str = "doc_id", text: str = "text", threshold: float = 0.01) -> DataFrame:
-    """Words that are rare in the corpus, one row each: two passes, joined by term."""
+    """Words that are rare in the corpus, one row each: two passes; the rare ones are joined to their share by term."""
     freq = term_frequencies(docs, text).where((F.col("freq") < threshold) & (F.length("term") > 2) & ~F.col("term").isin(COMMON))
-    low = docs.select(id_, F.expr(f"lower({text})").alias("t"))
-    words = low.select(id_, "t", F.explode(F.expr(S.ranges("t", r"(?U)\w+"))).alias("r")).select(id_, F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.expr(S.value_of("t", "r")).alias("term"))
+    r, w = var("r"), var("w")
+    # terms are what the pattern matched: cut out of the text, each would cost the way from its beginning
+    found = rf"zip_with({S.ranges('t', r'(?U)\w+')}, regexp_extract_all(t, '(?U)\\w+', 0), ({r}, {w}) -> struct({r}.start AS start, {r}.end AS end, {w} AS term))"
+    words = docs.select(id_, F.expr(f"lower({text})").alias("t")).select(id_, F.explode(F.expr(found)).alias("r")).select(id_, "r.start", "r.end", "r.term")
     score = F.least(F.lit(0.8), (threshold - F.col("freq")) / threshold)
-    return words.join(freq, "term").select(id_, "start", "end", F.lit("RARE_TERM").alias("label"), score.alias("score"), F.lit("frequency").alias("source"), "term")
+    return _rare(words, docs, text, threshold).join(freq, "term").select(id_, "start", "end", F.lit("RARE_TERM").alias("label"), score.alias("score"), F.lit("frequency").alias("source"), "term")
 
 
 BOOST = {

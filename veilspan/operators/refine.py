@@ -74,8 +74,11 @@ def _in(value: str, words: list[str]) -> str:
 
 def keep(value: str, label: str, score: str, before: str, after: str) -> str:
     """Whether a span is no garbage. ``before`` and ``after``: the characters next to it, or ''."""
-    v = rf"regexp_replace({value}, '(?U)^\\s+|\\s+$', '')"
-    low = f"lower({v})"
+    trimmed = rf"regexp_replace({value}, '(?U)^\\s+|\\s+$', '')"
+    return S.let(trimmed, lambda v: _keep(value, v, f"lower({v})", label, score, before, after))
+
+
+def _keep(value: str, v: str, low: str, label: str, score: str, before: str, after: str) -> str:
     medical = f"({_in(label, _MEDICAL_LABELS)} OR {v} RLIKE {quoted(rf'(?iU)\b\w+(?:{"|".join(_SUFFIXES)})\b')} OR {v} RLIKE {quoted(r'(?iU)\d+\s*(?:mg|ml|mcg|g|l|cc|iu|units?)\b')})"
     alnum = lambda c: rf"coalesce({c} RLIKE '^[\\p{{L}}\\p{{N}}]', false)"
     digit = lambda c: rf"coalesce({c} RLIKE '^\\p{{Nd}}', false)"
@@ -94,6 +97,10 @@ def keep(value: str, label: str, score: str, before: str, after: str) -> str:
 def clean(text: str, spans: str) -> str:
     """Without garbage."""
     s = var("s")
-    before = f"IF({s}.start > 0, substring({text}, {s}.start, 1), '')"
-    test = S.let(S.value_of(text, s), lambda v: keep(v, f"{s}.label", f"{s}.score", before, f"substring({text}, {s}.end + 1, 1)"))
-    return f"filter({spans}, {s} -> {test})"
+    lead = f"IF({s}.start > 0, 1, 0)"
+
+    def test(near: str) -> str:
+        parts = f"struct(substring({near}, {lead} + 1, {s}.end - {s}.start) AS v, IF({s}.start > 0, substring({near}, 1, 1), '') AS b, substring({near}, {lead} + {s}.end - {s}.start + 1, 1) AS a)"
+        return S.let(parts, lambda p: keep(f"{p}.v", f"{s}.label", f"{s}.score", f"{p}.b", f"{p}.a"))
+
+    return S.let(spans, lambda all_: S.around(text, all_, lambda near: f"filter({all_}, {s} -> {S.let(near(s, 1, 1), test)})"))

@@ -20,9 +20,17 @@ WORD = r"[A-Z][a-z]+"
 
 
 class Keyed(str):
-    """A pattern that no text matches without one of ``keys`` (in upper case) in it."""
+    """A pattern that no text matches without one of ``keys`` (in upper case) in it, nor without a match of ``need``."""
 
     keys: tuple[str, ...] = ()
+    need: str = ""
+
+
+def needing(pattern: str, need: str) -> Keyed:
+    """``need``: a part that every match has in it, and that is looked for with far less steps."""
+    out = Keyed(pattern)
+    out.need = need
+    return out
 
 
 def keyed(pattern: str, *words: str) -> Keyed:
@@ -138,7 +146,7 @@ AU = _policy("AU", "mask", [
     ("POSTCODE_AU", digits(4)),
     ("ADDRESS_STREET", rf"{B}\d+[A-Za-z]?\s+(?:{WORD}\s){{0,{MOST_WORDS}}}?" + any_of("Ave Avenue Boulevard Bvd Cct Circuit Cl Close Court Cres Crescent Ct Dr Drive Gr Grove Highway Hwy Lane Ln Pl Place Rd Road St Street Tce Terrace Way") + B),
     ("ADDRESS_STATE", edge(any_of("Victoria VIC Tasmania TAS Queensland QLD New_South_Wales NSW Northern_Territory NT Australian_Capital_Territory ACT Western_Australia WA South_Australia SA"))),
-    ("SUBURB_AU", rf"{B}{WORD}(?:\s+{WORD}){{0,{MOST_WORDS}}}\s+{any_of('ACT NSW NT QLD SA TAS VIC WA')}\s+\d{{4}}{B}"),
+    ("SUBURB_AU", needing(rf"{B}{WORD}(?:\s+{WORD}){{0,{MOST_WORDS}}}\s+{any_of('ACT NSW NT QLD SA TAS VIC WA')}\s+\d{{4}}{B}", rf"\s{any_of('ACT NSW NT QLD SA TAS VIC WA')}\s+\d{{4}}{B}")),
     ("EMPLOYEE_ID_AU", edge("(?:STAFF|EMP(?:L(?:OYEE)?)?)" + SEP + run(4, 8))),
     ("STUDENT_ID_AU", edge("STU(?:D(?:ENT)?)?" + SEP + run(6, 10))),
     ("CENTRELINK_CRN", edge(run(9) + "[A-Z]")),
@@ -147,7 +155,7 @@ AU = _policy("AU", "mask", [
     ("VEHICLE_REGO_VIC", edge(SEP.join((r"\d[A-Z]{2}", r"\d[A-Z]{2}")))),
     ("VEHICLE_VIN", CHASSIS),
     ("AU_TITLE", edge(any_of("Dame Dr Hon Justice Miss Mr Mrs Ms Prof Rev Sir")) + r"\.?"),
-    ("AU_ORGANIZATION", rf"{B}[A-Z][A-Za-z\s&]+" + any_of("Center Centre Clinic College Co Company Corp Corporation Foundation Group Holdings Hospital Institute Limited Ltd Partnership Proprietary Pty Trust University") + rf"\.?{B}"),
+    ("AU_ORGANIZATION", needing(rf"{B}[A-Z][A-Za-z\s&]+" + any_of("Center Centre Clinic College Co Company Corp Corporation Foundation Group Holdings Hospital Institute Limited Ltd Partnership Proprietary Pty Trust University") + rf"\.?{B}", any_of("Center Centre Clinic College Co Company Corp Corporation Foundation Group Holdings Hospital Institute Limited Ltd Partnership Proprietary Pty Trust University") + rf"\.?{B}")),
 ])
 
 US = _policy("US", "hash", [
