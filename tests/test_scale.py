@@ -102,3 +102,15 @@ def test_garbage_in_long_texts_is_judged_by_what_lies_around(spark):
     assert kept == {(a, b) for a, b in words if b - a > 2 and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())} - {(0, 1), (0, 2)}
     each = df.select(F.expr(S.around("text", "s", lambda near: f"transform(s, z -> {near('z', 1, 2)})")).alias("v")).first()["v"]
     assert each == [text[max(0, a - 1) : b + 2] for a, b in words]
+
+
+def test_files_are_taken_a_few_at_a_time(spark):
+    from veilspan.plans import service
+
+    rows = [(str(k), None if k == 7 else f"mail a{k}@b.org é".encode(), "image/png" if k == 9 else "text/plain") for k in range(150)]
+    out = service.processed_files(spark.createDataFrame(rows, "path string, content binary, content_type string").coalesce(1))
+    assert "MapInPandas" not in _plan(out) and "MapInArrow" in _plan(out)
+    got = {r["path"]: r for r in out.collect()}
+    assert len(got) == 150 and {k for k, r in got.items() if not r["success"]} == {"7", "9"} and got["9"]["error"] == "unsupported type: image/png"
+    assert all(b"@b.org" not in r["redacted_content"] and r["original_size"] == len(rows[int(k)][1]) for k, r in got.items() if r["success"])
+    assert [p.num_rows for p in service._parts([out.limit(1).toArrow().to_batches()[0], *spark.range(150).coalesce(1).toArrow().to_batches()])] == [1, 64, 64, 22]
