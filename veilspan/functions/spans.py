@@ -22,7 +22,7 @@ _NAMES_MARK = re.compile(r"[\x01\x02]|\\[xu0cN]")
 #: Elements that a fold appends to before a new block begins; keeps appending linear for long texts.
 BLOCK = 128
 #: Characters of a block of ``around``.
-CUT = 1024
+CUT = 256
 
 _names = count()
 

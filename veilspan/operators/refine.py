@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import spans as S
 from ..functions.spans import quoted, var
+from ..sources.policies import any_of
 
 
 def propagated(text: str, spans: str, threshold: float = 0.9) -> str:
@@ -75,11 +76,14 @@ def _in(value: str, words: list[str]) -> str:
 def keep(value: str, label: str, score: str, before: str, after: str) -> str:
     """Whether a span is no garbage. ``before`` and ``after``: the characters next to it, or ''."""
     trimmed = rf"regexp_replace({value}, '(?U)^\\s+|\\s+$', '')"
-    return S.let(trimmed, lambda v: _keep(value, v, f"lower({v})", label, score, before, after))
+    return S.let(trimmed, lambda v: S.let(f"lower({v})", lambda low: _keep(value, v, low, label, score, before, after)))
 
 
 def _keep(value: str, v: str, low: str, label: str, score: str, before: str, after: str) -> str:
-    medical = f"({_in(label, _MEDICAL_LABELS)} OR {v} RLIKE {quoted(rf'(?iU)\b\w+(?:{"|".join(_SUFFIXES)})\b')} OR {v} RLIKE {quoted(r'(?iU)\d+\s*(?:mg|ml|mcg|g|l|cc|iu|units?)\b')})"
+    # of plain letters, in lower case, the same is found without folding case at every step
+    folded = f"({v} RLIKE {quoted(rf'(?iU)\b\w+(?:{"|".join(_SUFFIXES)})\b')} OR {v} RLIKE {quoted(r'(?iU)\d+\s*(?:mg|ml|mcg|g|l|cc|iu|units?)\b')})"
+    plain = f"({low} RLIKE {quoted(rf'\w{any_of(" ".join(_SUFFIXES))}\b')} OR {low} RLIKE {quoted(r'\d\s*(?:mg|ml|mcg|g|l|cc|iu|units?)\b')})"
+    medical = f"({_in(label, _MEDICAL_LABELS)} OR IF(octet_length({v}) = length({v}), {plain}, {folded}))"
     alnum = lambda c: rf"coalesce({c} RLIKE '^[\\p{{L}}\\p{{N}}]', false)"
     digit = lambda c: rf"coalesce({c} RLIKE '^\\p{{Nd}}', false)"
     return (
